@@ -553,11 +553,11 @@ def backlinks(cat: Catalog, namespace: int, title: str) -> DataFrame:
 
 
 def last_contributions(cat: Catalog) -> DataFrame:
-    """Time of each named user's last revision; the epoch minimum when there is none."""
+    """Time of each named user's last revision; the smallest timestamp when there is none."""
     last = cat["revision"].groupBy("rev_user").agg(F.max("rev_timestamp").alias("last"))
     df = cat["users"].where("user_id > 0").join(last, F.col("user_id") == F.col("rev_user"), "left")
     return df.select(
-        "user_id", "user_name", F.coalesce("last", as_timestamp("1970-01-01 00:00:00")).alias("last_contribution")
+        "user_id", "user_name", F.coalesce("last", as_timestamp("0001-01-01 00:00:00")).alias("last_contribution")
     )
 
 

@@ -334,10 +334,10 @@ def backlinks(cat):
 
 
 @query("l16_last_contribution", """
-  select u.user_id, u.user_name, coalesce(max(r.rev_timestamp), timestamp '1970-01-01 00:00:00') as last_contribution
+  select u.user_id, u.user_name, cast(coalesce(max(r.rev_timestamp), timestamp '0001-01-01 00:00:00') as varchar) as last_contribution
   from @users u left join @revision r on r.rev_user = u.user_id where u.user_id > 0 group by 1, 2""")
 def last_contribution(cat):
-    return L.last_contributions(cat)
+    return L.last_contributions(cat).withColumn("last_contribution", F.col("last_contribution").cast("string"))
 
 
 @query("l17_change_tags", """

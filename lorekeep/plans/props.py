@@ -14,12 +14,12 @@ def _title(alias: str, column: str) -> str:
     return f"(case when coalesce({alias}.nss_name, '') = '' then {column} else {alias}.nss_name || ':' || {column} end)"
 
 
-# the page set most properties below are asked for: every page of three namespaces
-_SET = "(select page_id, page_namespace, page_title from @page where page_namespace in (0, 10, 14))"
+# the page set the properties below are asked for: every page
+_SET = "(select page_id, page_namespace, page_title from @page)"
 
 
 def _pages(cat):
-    return cat["page"].where("page_namespace in (0, 10, 14)").select("page_id", "page_namespace", "page_title")
+    return cat["page"].select("page_id", "page_namespace", "page_title")
 
 
 # requests derived from the link table: linked titles, written in the odd ways users write them
@@ -151,7 +151,7 @@ def merged_items(cat):
          'ltr' as pagelanguagedir,
          coalesce(nullif(d.pp_value, ''), {_title('n', 'p.page_title')}) as displaytitle
   from @page p left join @page_props d on d.pp_page = p.page_id and d.pp_propname = 'displaytitle'
-  left join @namespace_starname n on n.nss_id = p.page_namespace where p.page_namespace in (0, 10, 14)""")
+  left join @namespace_starname n on n.nss_id = p.page_namespace""")
 def info(cat):
     return P.info(cat, _pages(cat), display_title=True)
 
