@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _WHITESPACE = " \t\n\r\x0b\x0c"
 
@@ -92,19 +93,19 @@ def _to_base36(digest: str | None) -> str | None:
     return out.rjust(31, "0")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def sha1_to_base36(digest: pd.Series) -> pd.Series:
     """Hex digest to the 31-digit base-36 storage form (160 bits exceed ``conv``)."""
     return digest.map(_to_base36, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def sha1_from_base36(stored: pd.Series) -> pd.Series:
     """31-digit base-36 storage form to the 40-digit hex digest."""
     return stored.map(lambda x: f"{int(x, 36):040x}" if x else None, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape_entities(text: pd.Series) -> pd.Series:
     """HTML entities to characters; call it on text that contains an ``&``."""
     return text.map(html.unescape, na_action="ignore")

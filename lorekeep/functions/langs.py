@@ -117,8 +117,8 @@ def title_language(title: Column) -> Column:
     return F.when(found.isin(LANGUAGE_NAMES), found).otherwise(F.lit(LOCAL_LANGUAGE))
 
 
-def pure_title(title: Column) -> Column:
-    """Title without the language suffix of the page and of its subpage parts."""
+def pure_title(title: Column, every_part: bool = True) -> Column:
+    """Title without the language suffix of the page and, by default, of its subpage parts."""
     found = _suffix_language(title)
     first = F.substring_index(title, "/", 1)
     whole = title.rlike(_SUFFIXED)
@@ -127,26 +127,27 @@ def pure_title(title: Column) -> Column:
         F.when(base, F.regexp_extract(first, _SUFFIXED, 1)).otherwise(title)
     )
     rest = F.when(~whole & base, F.substring(title, F.length(first) + 1, F.length(title))).otherwise("")
-    same_language = lambda part: F.regexp_extract(part, _SUFFIXED, 2) == found
-    parts = F.transform(
-        F.split(stripped, "/"),
-        lambda part: F.when(same_language(part), F.regexp_extract(part, _SUFFIXED, 1)).otherwise(part),
-    )
-    return F.when(found.isin(LANGUAGE_NAMES), F.concat(F.array_join(parts, "/"), rest)).otherwise(title)
+    if every_part:
+        same_language = lambda part: F.regexp_extract(part, _SUFFIXED, 2) == found
+        parts = F.transform(
+            F.split(stripped, "/"),
+            lambda part: F.when(same_language(part), F.regexp_extract(part, _SUFFIXED, 1)).otherwise(part),
+        )
+        stripped = F.array_join(parts, "/")
+    return F.when(found.isin(LANGUAGE_NAMES), F.concat(stripped, rest)).otherwise(title)
 
 
-def localized_title(title: Column, language: Column) -> Column:
+def localized_title(title: Column, language: Column, every_part: bool = True) -> Column:
     """Inverse of :func:`pure_title`; NULL for an unknown language name."""
     suffix = F.concat(F.lit(" ("), language, F.lit(")"))
     internal = tag_of_language(language).isin(INTERNAL_TAGS)
-    every_part = F.array_join(
-        F.transform(F.split(title, "/"), lambda part: F.concat(part, suffix)), "/"
-    )
+    parts = F.array_join(F.transform(F.split(title, "/"), lambda part: F.concat(part, suffix)), "/")
+    all_parts = internal & F.contains(title, F.lit("/")) & F.lit(every_part)
     return (
         F.when(~language.isin(LANGUAGE_NAMES), F.lit(None).cast("string"))
         .when(language == LOCAL_LANGUAGE, title)
         .when(F.lower(title) == F.concat(F.lit("category:"), F.lower(language)), title)
-        .when(internal & F.contains(title, F.lit("/")), every_part)
+        .when(all_parts, parts)
         .otherwise(F.concat(title, suffix))
     )
 

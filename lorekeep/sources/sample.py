@@ -47,9 +47,17 @@ def title(key: str) -> str:
 def namespace(key: str) -> str:
     g = _group(key)
     return (
-        f"cast(case {g} % 16 when 5 then 1 when 6 then 4 when 7 then 10 when 8 then 14"
+        f"cast(case when {g} % 16 = 8 and ({key}) % 4 = 3 then 0 else (case {g} % 16 when 5 then 1 when 6 then 4 when 7 then 10 when 8 then 14"
         f" when 9 then 6 when 10 then 3 when 11 then 2 when 12 then 12 when 13 then 14"
-        f" when 14 then 10 else 0 end as int)"
+        f" when 14 then 10 else 0 end) end as int)"
+    )
+
+
+def linked_title(key: str) -> str:
+    """Title as language links spell it: with the namespace, without the language."""
+    return (
+        f"((case {namespace(key)} when 4 then 'Lore:' when 10 then 'Template:' when 12 then 'Help:'"
+        f" when 14 then 'Category:' else '' end) || {base_title(key)})"
     )
 
 
@@ -388,13 +396,18 @@ TABLES: dict[str, str] = {
         from @region where r_regionkey = 2""",
     "langlinks": f"""
         select 4 * p_partkey as ll_from, 'de' as ll_lang, {base_title('p_partkey')} as ll_title
-        from @part where p_partkey % 4 = 0
+        from @part where p_partkey % 4 = 0 or p_partkey % 12 = 3
+        union all
+        select 4 * p_partkey, 'es', {linked_title('p_partkey')} from @part
+        where p_partkey % 4 = 0 and p_partkey % 5 <> 0
         union all
-        select 4 * p_partkey, 'es', {title('p_partkey + 1')} from @part
-        where p_partkey % 4 = 0 and p_partkey % 3 <> 0
+        select 4 * p_partkey, 'cs', (case when p_partkey % 24 = 0 then {linked_title('p_partkey + 192')}
+                                          else {linked_title('p_partkey')} end)
+        from @part where p_partkey % 4 = 0 and p_partkey % 3 = 0
         union all
-        select 4 * p_partkey, 'en', {title('p_partkey - 2')} from @part
-        where p_partkey % 4 = 2 and p_partkey % 3 <> 1""",
+        select 4 * p_partkey, 'en', (case when p_partkey % 8 = 2 then {linked_title('p_partkey')}
+                                          else {linked_title('p_partkey + 64')} end)
+        from @part where p_partkey % 4 = 2""",
     "iwlinks": f"""
         select distinct 4 * src as iwl_from, 's' || cast(l_suppkey as string) as iwl_prefix,
                {title('dst')} as iwl_title from @line where l_linenumber = 2""",
