@@ -155,17 +155,19 @@ TABLES: dict[str, str] = {
               where event_type = 'error') as r""",
     "logging": f"""
         select event_id as log_id,
-               (case event_id % 13 when 0 then 'delete' when 1 then 'delete' when 2 then 'move'
+               (case when event_id % 26 = 19 then 'renameuser' when event_id % 26 = 20 then 'usermerge'
+                     else (case event_id % 13 when 0 then 'delete' when 1 then 'delete' when 2 then 'move'
                      when 3 then 'protect' when 4 then 'block' when 5 then 'block'
                      when 6 then 'rights' when 7 then 'newusers' when 8 then 'patrol'
                      when 9 then 'delete' when 10 then 'merge' when 11 then 'tag'
-                     else 'delete' end) as log_type,
-               (case event_id % 13 when 0 then 'delete' when 1 then 'restore' when 2 then 'move'
+                     else 'delete' end) end) as log_type,
+               (case when event_id % 26 = 19 then 'renameuser' when event_id % 26 = 20 then 'usermerge'
+                     else (case event_id % 13 when 0 then 'delete' when 1 then 'restore' when 2 then 'move'
                      when 3 then (case when event_id % 4 = 0 then 'unprotect' else 'protect' end)
                      when 4 then 'block' when 5 then 'unblock'
                      when 6 then 'rights' when 7 then 'create' when 8 then 'patrol'
                      when 9 then 'revision' when 10 then 'merge' when 11 then 'update'
-                     else 'event' end) as log_action,
+                     else 'event' end) end) as log_action,
                ts as log_timestamp, user_id as log_user,
                'U' || cast(user_id as string) as log_user_text,
                (case when {_USER_LOG} then 2 else {namespace(_LOG_KEY)} end) as log_namespace,
@@ -175,7 +177,17 @@ TABLES: dict[str, str] = {
                (case when {_USER_LOG} or {_LOG_KEY} >= cnt then null
                      else 4 * ({_LOG_KEY}) end) as log_page,
                (case when event_id % 5 = 0 then '' else 'because ' || event_type end) as log_comment,
-               (case event_id % 13
+               (case when event_id % 26 = 19 then
+                    (case when event_id % 52 = 19
+                     then '{{"olduser": "U' || cast((event_id * 3) % users as string)
+                          || '", "newuser": "R' || cast((event_id * 3) % users as string) || '"}}'
+                     else '{{"olduser": "R' || cast((event_id * 3) % 10 as string)
+                          || '", "newuser": "S' || cast((event_id * 3) % 10 as string) || '"}}' end)
+                  when event_id % 26 = 20 then
+                    '{{"oldId": ' || cast((event_id * 3) % users as string)
+                    || ', "newId": ' || cast((event_id * 3 + 7) % users as string)
+                    || ', "newName": "U' || cast((event_id * 3 + 7) % users as string) || '"}}'
+                  else (case event_id % 13
                   when 2 then '{{"target_ns": 0, "target_title": "Moved '
                               || cast(event_id % 97 as string) || '"}}'
                   when 6 then (case when event_id % 2 = 0
@@ -183,20 +195,20 @@ TABLES: dict[str, str] = {
                        else '{{"oldgroups": ["bot", "sysop"], "newgroups": ["maintainer"]}}' end)
                   when 8 then '{{"curid": ' || cast(event_id - event_id % 5 as string) || '}}'
                   when 9 then '{{"type": "revision", "ids": [' || cast(event_id - 1 as string) || ', '
-                              || cast(event_id - 2 as string) || '], "new_bitmask": '
-                              || cast(event_id % 16 as string) || '}}'
+                              || cast(event_id - 2 as string) || '], "new": {{"bitmask": '
+                              || cast(event_id % 16 as string) || '}}}}'
                   when 10 then '{{"dest_ns": 0, "dest_title": "'
                               || {title('(event_id * 5) % cnt')} || '", "mergepoint": "2024-01-'
-                              || (case when event_id % 2 = 0 then '10' else '20' end) || '"}}'
+                              || (case when event_id % 2 = 0 then '10' else '20' end) || 'T00:00:00Z"}}'
                   when 11 then '{{"revid": ' || cast(event_id - event_id % 7 as string)
-                              || ', "tagsadded": ["big"], "tagsremoved": ["'
+                              || ', "tagsAdded": ["big"], "tagsRemoved": ["'
                               || event_type || '"]}}'
                   when 12 then '{{"type": "logging", "ids": [' || cast(event_id - 13 as string)
-                              || '], "new_bitmask": ' || cast(event_id % 8 as string) || '}}'
-                  else props end) as log_params,
+                              || '], "new": {{"bitmask": ' || cast(event_id % 8 as string) || '}}}}'
+                  else props end) end) as log_params,
                cast(case when event_id % 23 = 0 then 1 + event_id % 15 else 0 end as int)
                  as log_deleted
-        from @activity where event_type in ('signup', 'error')""".replace("{{", "{").replace("}}", "}"),
+        from @activity where event_type in ('signup', 'error')""",
     "recentchanges": f"""
         select event_id as rc_id, ts as rc_timestamp,
                (case when user_id % 50 = 49 then null else user_id end) as rc_user,
