@@ -109,3 +109,9 @@ def sha1_from_base36(stored: pd.Series) -> pd.Series:
 def unescape_entities(text: pd.Series) -> pd.Series:
     """HTML entities to characters; call it on text that contains an ``&``."""
     return text.map(html.unescape, na_action="ignore")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def unescape_each(texts: pd.Series) -> pd.Series:
+    """HTML entities to characters in arrays of short texts, such as headings."""
+    return texts.map(lambda items: None if items is None else [html.unescape(x) for x in items])

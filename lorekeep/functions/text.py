@@ -95,8 +95,8 @@ def is_struck_through(title: Column) -> Column:
 
 def transcluded_part(text: Column) -> Column:
     """What a page contributes where it is transcluded (flat tags, not nested)."""
-    only = F.regexp_extract_all(text, F.lit(r"(?s)<onlyinclude>(.*?)</onlyinclude>"), F.lit(1))
-    kept = F.when(F.size(only) > 0, F.array_join(only, "")).otherwise(text)
+    only = r"(?s)<onlyinclude>(.*?)</onlyinclude>"
+    kept = F.when(text.rlike(only), F.regexp_extract(text, only, 1)).otherwise(text)
     kept = F.regexp_replace(kept, r"(?s)<noinclude>.*?(</noinclude>|$)", "")
     return F.regexp_replace(kept, r"</?includeonly>", "")
 
@@ -115,6 +115,26 @@ def phrase_count(text: Column, phrase: str) -> Column:
     return (gone / len(needle)).cast("int")
 
 
+def unique_anchors(anchors: Column) -> Column:
+    """Give repeated anchors a numeric suffix, in order, without regard to case.
+
+    Each anchor takes the first of ``a, a_2, a_3, ...`` that no earlier final anchor
+    equals, so suffixed anchors can push later ones further. The fold runs inside
+    the JVM on one page's headings.
+    """
+
+    def step(done: Column, anchor: Column) -> Column:
+        taken = F.transform(done, lambda x: F.lower(x))
+        tries = F.transform(
+            F.sequence(F.lit(2), F.size(done) + 2), lambda j: F.concat(anchor, F.lit("_"), j.cast("string"))
+        )
+        free = F.filter(tries, lambda x: ~F.array_contains(taken, F.lower(x)))
+        chosen = F.when(F.array_contains(taken, F.lower(anchor)), F.element_at(free, 1)).otherwise(anchor)
+        return F.concat(done, F.array(chosen))
+
+    return F.aggregate(anchors, F.array().cast("array<string>"), step)
+
+
 def category_sort_key(title: Column, prefix: Column) -> Column:
     """Upper-case title, behind the upper-case prefix and a line break if there is one."""
     return F.when(F.coalesce(prefix, F.lit("")) != "", F.concat(F.upper(prefix), F.lit("\n"), F.upper(title))).otherwise(

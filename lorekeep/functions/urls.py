@@ -16,7 +16,8 @@ RESERVED_BLOCKS = [
 PRIVATE_HOSTS = ["localhost", "pi.hole", "ui.reclaim"]
 PRIVATE_SUFFIXES = [".localhost", ".onion"]
 
-_OCTETS = r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$"
+_OCTET = r"(25[0-5]|2[0-4]\d|1?\d?\d)"
+_IPV4 = rf"^{_OCTET}(\.{_OCTET}){{3}}$"
 
 
 def url_part(url: Column, part: str) -> Column:
@@ -28,13 +29,17 @@ def url_host(url: Column) -> Column:
     return F.lower(url_part(url, "HOST"))
 
 
+def _bound(value: Column, test) -> Column:
+    """``test(value)`` with the value evaluated once, however often the test uses it."""
+    return F.exists(F.array(value), test)
+
+
 def ipv4_number(host: Column) -> Column:
     """Dotted quad as a number, NULL for anything else."""
-    octet = [F.regexp_extract(host, _OCTETS, i).try_cast("long") for i in range(1, 5)]
-    valid = host.rlike(_OCTETS)
-    for part in octet:
-        valid = valid & (part <= 255)
-    return F.when(valid, ((octet[0] * 256 + octet[1]) * 256 + octet[2]) * 256 + octet[3])
+    number = F.aggregate(
+        F.split(host, r"\."), F.lit(0).cast("long"), lambda acc, part: acc * 256 + part.try_cast("long")
+    )
+    return F.when(host.rlike(_IPV4), number)
 
 
 def _block_range(block: str) -> tuple[int, int]:
@@ -46,27 +51,27 @@ def _block_range(block: str) -> tuple[int, int]:
 
 
 def is_reserved_address(host: Column) -> Column:
-    number = ipv4_number(host)
-    hit = F.lit(False)
-    for first, last in map(_block_range, RESERVED_BLOCKS):
-        hit = hit | number.between(first, last)
-    return F.coalesce(hit, F.lit(False))
+    def reserved(number: Column) -> Column:
+        hit = F.lit(False)
+        for first, last in map(_block_range, RESERVED_BLOCKS):
+            hit = hit | number.between(first, last)
+        return hit
+
+    return F.coalesce(host.rlike(_IPV4) & _bound(ipv4_number(host), reserved), F.lit(False))
 
 
 def is_checkable(url: Column, schemes: tuple[str, ...] = ("http", "https")) -> Column:
     """Whether the URL names a public host that a checker may contact."""
-    host = url_host(url)
-    private = host.isin(PRIVATE_HOSTS)
-    for suffix in PRIVATE_SUFFIXES:
-        private = private | F.endswith(host, F.lit(suffix))
-    good = (
-        F.lower(url_part(url, "PROTOCOL")).isin(list(schemes))
-        & host.isNotNull()
-        & (F.coalesce(url_part(url, "USERINFO"), F.lit("")) == "")
-        & F.contains(host, F.lit("."))
-        & ~private
-        & ~is_reserved_address(host)
-    )
+
+    def public(host: Column) -> Column:
+        private = host.isin(PRIVATE_HOSTS)
+        for suffix in PRIVATE_SUFFIXES:
+            private = private | F.endswith(host, F.lit(suffix))
+        return F.contains(host, F.lit(".")) & ~private & ~is_reserved_address(host)
+
+    # the cheap test on the text comes first
+    wanted = F.lower(F.substring_index(url, ":", 1)).isin(list(schemes))
+    good = wanted & _bound(url_host(url), public) & (F.coalesce(url_part(url, "USERINFO"), F.lit("")) == "")
     return F.coalesce(good, F.lit(False))
 
 

@@ -284,7 +284,8 @@ TABLES: dict[str, str] = {
     # page text: the sample html rewritten as wikitext
     "wikitext_raw": """
         select page_id as key, url, html,
-          upper(substr(#x(html, 'href="/([^"]*)"', 1)#, 1, 1))
+          (case when substr(#x(html, 'href="/([^"]*)"', 1)#, 1, 1) = 'ß' then 'SS'
+                else upper(substr(#x(html, 'href="/([^"]*)"', 1)#, 1, 1)) end)
             || substr(#x(html, 'href="/([^"]*)"', 1)#, 2) as word,
           #r(#r(#r(#r(#r(#r(#r(#r(#r(#r(#r(#r(#r(#r(html,
             '<script>[^<]*</p>[^<]*</script>', '')#,
@@ -383,7 +384,8 @@ TABLES: dict[str, str] = {
     "templatelinks": f"""
         select distinct 4 * src as tl_from, {namespace('dst')} as tl_namespace,
                {title('dst')} as tl_title from @line
-        where l_returnflag = 'R' and l_linenumber in (1, 5)""",
+        where (l_linenumber = 1 and {namespace('dst')} = 10)
+           or (l_linenumber = 5 and l_returnflag = 'R' and dst % 20 = 0)""",
     "imagelinks": f"""
         select distinct 4 * src as il_from, {title('dst')} as il_to from @line
         where l_linenumber = 6""",
