@@ -26,6 +26,17 @@ def prefixed(namespace: Column, title: Column) -> Column:
     )
 
 
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that later steps use many times.
+
+    A one-element ``inline`` keeps the optimizer from copying long expressions into
+    every filter and column that mentions them, so each is evaluated once per row.
+    """
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    kept = [x for x in df.columns if x not in columns]
+    return df.select(*kept, F.inline(F.array(row)))
+
+
 def _after(text: Column, mark: str) -> Column:
     """Text behind the first ``mark``; empty when there is none."""
     place = F.instr(text, mark)
@@ -68,23 +79,24 @@ def parse_titles(df: DataFrame, column: str, interwiki: DataFrame, names: DataFr
     ).join(spaces, "_ns_key", "left")
     pure = F.when(F.col("namespace").isNotNull(), _after(F.col("_rest"), ":")).otherwise(F.col("_rest"))
     out = out.withColumn("_pure", pure)
-    name = url_decode(F.substring_index("_pure", "#", 1))
-    out = out.withColumn("_name", name).withColumn("_section", anchor_text(_after(F.col("_pure"), "#")))
+    out = computed_once(
+        out, _name=url_decode(F.substring_index("_pure", "#", 1)), _section=anchor_text(_after(F.col("_pure"), "#"))
+    )
     error = (
         F.when(~is_iw & F.startswith("_body", F.lit(":")), F.lit("colon"))
         .when(F.startswith("_name", F.lit(":")), F.lit("colon"))
         .when(F.col("_name").isNull() | F.col("_name").rlike(_ILLEGAL), F.lit("character"))
     )
-    good = error.isNull()
+    out = computed_once(out, title_error=error, _title=canonical_title(F.col("_name")))
+    good = F.col("title_error").isNull()
     return (
-        out.withColumn("title_error", error)
-        .withColumn("pagename", F.when(good, canonical_title(F.col("_name"))))
+        out.withColumn("pagename", F.when(good, F.col("_title")))
         .withColumn("sectionname", F.when(good, F.col("_section")))
         .withColumn("leading_colon", F.startswith(raw, F.lit(":")))
         .withColumn("iwprefix", F.when(good, F.coalesce("iwprefix", F.lit(""))))
         .withColumn("ns_id", F.when(good, F.coalesce("ns_id", F.lit(0))))
         .withColumn("namespace", F.when(good, F.coalesce("namespace", F.lit(""))))
-        .drop("_body", "_iw_key", "_iw_local", "_rest", "_ns_key", "_pure", "_name", "_section")
+        .drop("_body", "_iw_key", "_iw_local", "_rest", "_ns_key", "_pure", "_name", "_section", "_title")
     )
 
 

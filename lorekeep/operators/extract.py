@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lorekeep.functions import text as W
 from lorekeep.functions.encodings import dot_encode, unescape_each, unescape_entities
 from lorekeep.functions.langs import LANGUAGE_TAGS
-from lorekeep.functions.titles import absolute_link, canonical_title, parse_titles, prefixed
+from lorekeep.functions.titles import absolute_link, canonical_title, computed_once, parse_titles, prefixed
 from lorekeep.functions.urls import has_host
 from lorekeep.operators.activity import keep_last
 from lorekeep.operators.changes import CASCADES, upsert
@@ -96,7 +96,7 @@ def classify_links(cat: Catalog, parsed: DataFrame) -> DataFrame:
     relative = local & (F.col("namespace") == "") & (
         (F.col("pagename") == "") | (~F.col("leading_colon") & F.col("pagename").rlike(r"^(/|\.\./)"))
     )
-    df = df.withColumn("_relative", relative).withColumn("_target", target)
+    df = computed_once(df, _relative=relative, _target=target)
     df = df.withColumn("ns_id", F.when(F.col("_relative"), F.col("page_namespace")).otherwise(F.col("ns_id")))
     df = df.withColumn("namespace", F.col("_target.namespace")).withColumn("pagename", F.col("_target.pagename"))
     special = ~(F.col("is_redirect") & (F.col("position") == 0))
