@@ -92,9 +92,12 @@ _SITE = """
 """
 
 
-def read_site(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Site snapshot: namespaces, names, interwiki prefixes and tags. A flag is set when its key is there."""
-    site = spark.read.schema(_SITE).option("multiLine", True).json(path)
+def read_site(spark: SparkSession, path: str, lines: bool = False) -> dict[str, DataFrame]:
+    """Site snapshot: namespaces, names, interwiki prefixes and tags. A flag is set when its key is there.
+
+    Files hold one document each, or one per line with ``lines``.
+    """
+    site = spark.read.schema(_SITE).option("multiLine", not lines).json(path)
 
     def rows(field: str) -> DataFrame:
         return site.select(F.explode(field).alias("x"))
@@ -136,9 +139,9 @@ def package_lines(lines: DataFrame) -> DataFrame:
     return lines.select(name.alias("name")).where((F.col("name") != "") & ~F.startswith("name", F.lit("#")))
 
 
-def read_recovered(spark: SparkSession, path: str) -> DataFrame:
-    """JSON list of recovered revisions, in the columns of ``revision``."""
-    return spark.read.schema(SCHEMAS["revision"]).option("multiLine", True).json(path)
+def read_recovered(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """JSON lists of recovered revisions (or one per line), in the columns of ``revision``."""
+    return spark.read.schema(SCHEMAS["revision"]).option("multiLine", not lines).json(path)
 
 
 # ---- wiki tables --------------------------------------------------------------------------
