@@ -58,7 +58,7 @@ def wikilinks(text: Column) -> Column:
 def transclusions(text: Column) -> Column:
     """Names in ``{{name|...}}``, trimmed, in order."""
     found = F.regexp_extract_all(text, F.lit(TRANSCLUSION), F.lit(1))
-    return F.transform(found, F.trim)
+    return F.transform(found, lambda name: F.trim(name))
 
 
 def external_urls(text: Column) -> Column:

@@ -69,9 +69,10 @@ def update_column(old: DataFrame, key: str, changes: DataFrame, column: str) ->
 
 def keep_only(old: DataFrame, touched: DataFrame, kept: DataFrame, key: str, item: str) -> DataFrame:
     """Within touched keys drop the items that are not kept; other keys stay whole."""
-    inside = old.join(touched.select(key).distinct(), key, "left_semi")
-    outside = old.join(touched.select(key), key, "left_anti")
-    return outside.unionByName(inside.join(kept.select(key, item), [key, item], "left_semi").select(*old.columns))
+    inside = touched.select(key).distinct().withColumn("_touched", F.lit(True))
+    keep = kept.select(key, item).distinct().withColumn("_kept", F.lit(True))
+    df = old.join(inside, key, "left").join(keep, [key, item], "left")
+    return df.where("_touched is null or _kept is not null").select(*old.columns)
 
 
 def with_new_ids(df: DataFrame, column: str, existing: DataFrame) -> DataFrame:

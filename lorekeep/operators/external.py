@@ -141,7 +141,7 @@ PUBLIC_RULES = [
 
 
 def site_rules(domain: str, git_group: str, channels: str | None = None) -> list[UrlRule]:
-    """Rewriting rules for one site's own old addresses.
+    """Rewriting rules for one site's own old addresses; put them before the public ones.
 
     ``domain`` is the site's bare domain and ``git_group`` its group on the git
     host; ``channels`` is a pattern of chat channels that moved networks.

@@ -81,14 +81,19 @@ def nested(entries: DataFrame, name: str, size: int = 1000, order: list[Column]
 
     Nearly every page has one part. A page with more entries than ``size`` gets
     several parts, filled by a hash of the entry, so no task ever collects an
-    unbounded array; the parts together hold every entry. Arrays are sorted.
+    unbounded array; the parts together hold every entry. Arrays are sorted. Only
+    the few crowded pages are looked up, and the explicit repartitioning by page
+    and part spreads them over the cluster.
     """
     fields = [x for x in entries.columns if x != "page_id"]
-    entry = F.struct(*fields)
     counts = entries.groupBy("page_id").agg(F.count(F.lit(1)).alias("_n"))
+    crowded = counts.where(F.col("_n") > size)
     spread = F.pmod(F.xxhash64(*fields), F.ceil(F.col("_n") / size))
-    rows = entries.join(counts, "page_id").select("page_id", spread.cast("long").alias("part"), entry.alias("_e"))
-    return rows.groupBy("page_id", "part").agg(F.sort_array(F.collect_list("_e")).alias(name))
+    rows = entries.join(crowded, "page_id", "left").select(
+        "page_id", F.coalesce(spread, F.lit(0)).cast("long").alias("part"), F.struct(*fields).alias("_e")
+    )
+    spread_rows = rows.repartition("page_id", "part")
+    return spread_rows.groupBy("page_id", "part").agg(F.sort_array(F.collect_list("_e")).alias(name))
 
 
 def attach(pages: DataFrame, parts: dict[str, DataFrame], size: int = 1000) -> DataFrame:

@@ -296,7 +296,7 @@ _NEW = r"""(case id % 12
 
 @query("x16_rewritten_urls", f"select id, url, {_NEW} as new_url from {_REWRITABLE} u")
 def rewritten_urls(cat):
-    rules = E.PUBLIC_RULES + E.site_rules("example.org", "group")
+    rules = E.site_rules("example.org", "group") + E.PUBLIC_RULES
     urls = cat.sql(f"select * from {_REWRITABLE}")
     return urls.select("id", "url", E.rewrite_url(F.col("url"), rules)["url"].alias("new_url"))
 
@@ -309,7 +309,7 @@ def rewritten_urls(cat):
     when 8 then 'package repositories moved' when 9 then 'mailing lists moved' end as summary, count(*) as urls
   from {_REWRITABLE} u group by 1""")
 def first_rule(cat):
-    rules = E.PUBLIC_RULES + E.site_rules("example.org", "group")
+    rules = E.site_rules("example.org", "group") + E.PUBLIC_RULES
     urls = cat.sql(f"select * from {_REWRITABLE}")
     picked = urls.select(E.rewrite_url(F.col("url"), rules)["summary"].alias("summary"))
     return picked.groupBy("summary").agg(F.count(F.lit(1)).alias("urls"))

@@ -189,7 +189,7 @@ def parse_wiki_tables(df: DataFrame, text: str) -> DataFrame:
 
 def read_wiki_table(spark: SparkSession, path: str) -> DataFrame:
     """One file per table: ``path, fields, row, cells``."""
-    files = spark.read.option("wholetext", True).text(path).withColumn("path", F.input_file_name())
+    files = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
     fields = F.regexp_extract_all("value", F.lit(r"(?m)^!\s*(.*?)$"), F.lit(1))
     return parse_wiki_tables(files.withColumn("fields", fields), "value")
 
