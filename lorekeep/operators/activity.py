@@ -77,7 +77,8 @@ def streaks(days: DataFrame) -> DataFrame:
     return out.select(
         "user_name", F.col("streak").cast("long").alias("streak"),
         (days_between(F.col("_first"), F.col("_last")) + 1).alias("length"), "start", "end", "edits",
-        (F.datediff("end", "start") + 1).cast("long").alias("calendar_days"), F.col("_last").alias("last_ts"),
+        (F.datediff("end", "start") + 1).cast("long").alias("calendar_days"), F.col("_first").alias("first_ts"),
+        F.col("_last").alias("last_ts"),
     )
 
 
@@ -116,6 +117,27 @@ def active_span(days: DataFrame) -> DataFrame:
     )
 
 
+def user_summaries(runs: DataFrame, today: Time) -> DataFrame:
+    """Totals, averages, longest and current streak of each user, in one pass over the streaks.
+
+    The streaks are already partitioned by user, so this adds no shuffle.
+    """
+    early = F.struct(F.col("length"), (-F.unix_date("start")).alias("early"))
+    out = runs.groupBy("user_name").agg(
+        F.sum("edits").alias("total_edits"), F.min("first_ts").alias("_first"), F.max("last_ts").alias("_last"),
+        F.max_by(_streak_facts(), early).alias("longest"), F.max_by(_streak_facts(), "start").alias("_current"),
+    )
+    recent = F.col("_last") >= as_timestamp(today) - F.expr("interval 1 day")
+    current = F.when(recent, F.col("_current"))
+    facts = ("length", "start", "end", "edits")
+    return out.select(
+        "user_name", "total_edits",
+        (F.col("total_edits") / (days_between(F.col("_first"), F.col("_last")) + 1)).alias("active_average"),
+        *[F.col("longest." + x).alias("longest_" + x) for x in facts],
+        *[current[x].alias("current_" + x) for x in facts],
+    )
+
+
 def user_statistics(
     cat: Catalog, today: Time, *, active_days: int = 30, min_total: int = 1000, min_recent: int = 1
 ) -> DataFrame:
@@ -125,31 +147,22 @@ def user_statistics(
     recent ones, unless blocked for ever. Ranked by recent edits, total edits,
     registration and name.
     """
-    days = user_days(every_revision(cat, today))
-    runs = streaks(days)
-    longest = longest_streaks(runs).select(
-        "user_name", *[F.col(x).alias("longest_" + x) for x in ("length", "start", "end", "edits")]
-    )
-    current = current_streaks(runs, today).select(
-        "user_name", *[F.col(x).alias("current_" + x) for x in ("length", "start", "end", "edits")]
-    )
+    summaries = user_summaries(streaks(user_days(every_revision(cat, today))), today)
     banned = cat["ipblocks"].where(F.col("ipb_expiry") >= never())
     users = cat["users"].where("user_id > 0").join(banned, F.col("user_id") == F.col("ipb_user"), "left_anti")
     groups = user_group_sets(cat)
     df = (
         users.join(recent_edits(cat, today, active_days), "user_name", "left")
         .where((F.coalesce("user_editcount", F.lit(0)) >= min_total) | (F.col("recent_edits") >= min_recent))
-        .join(active_span(days), "user_name", "left")
-        .join(longest, "user_name", "left")
-        .join(current, "user_name", "left")
+        .join(summaries, "user_name", "left")
         .join(groups, F.col("user_id") == F.col("ug_user"), "left")
     )
     total = F.coalesce("total_edits", F.lit(0))
+    facts = [x for x in summaries.columns if x.startswith(("longest_", "current_"))]
     out = df.select(
         "user_name", F.coalesce("recent_edits", F.lit(0)).alias("recent_edits"), total.alias("total_edits"),
         F.col("user_registration").alias("registration"),
-        F.coalesce(F.array_join("user_groups", ", "), F.lit("")).alias("groups"),
-        *[x for x in longest.columns[1:]], *[x for x in current.columns[1:]],
+        F.coalesce(F.array_join("user_groups", ", "), F.lit("")).alias("groups"), *facts,
         edits_per_day(total, F.col("user_registration"), today).alias("total_average"), "active_average",
     )
     return out.orderBy(*ranking())

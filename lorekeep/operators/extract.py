@@ -158,7 +158,9 @@ def external_links(pages: DataFrame) -> DataFrame:
     urls = urls.distinct()
     encoded = F.contains("el_to", F.lit("&"))
     plain = urls.where(~encoded)
-    decoded = urls.where(encoded).withColumn("el_to", unescape_entities("el_to"))
+    decoded = urls.where(encoded).withColumn("_decoded", unescape_entities("el_to"))
+    # evaluated once, although the host test below uses it again
+    decoded = computed_once(decoded, el_to=F.col("_decoded")).select("el_from", "el_to")
     return plain.unionByName(decoded).where(has_host(F.col("el_to"))).distinct()
 
 
@@ -169,11 +171,14 @@ def sections(pages: DataFrame) -> DataFrame:
     plain = unescape_each(F.transform("head", lambda h: W.plain_text(h["title"])))
     heads = heads.withColumn("plain", plain)
     anchors = W.unique_anchors(F.transform("plain", lambda x: dot_encode(x)))
-    listed = heads.withColumn("anchor", anchors).select("page_id", F.arrays_zip("head", "anchor").alias("s"))
-    rows = listed.select(F.col("page_id").alias("sec_page"), F.posexplode("s").alias("place", "s"))
+    # exploding the headings, not the anchors, keeps the Python step out of inferred filters
+    rows = heads.withColumn("anchors", anchors).select(
+        F.col("page_id").alias("sec_page"), "anchors", F.posexplode("head").alias("place", "h")
+    )
+    number = F.col("place") + 1
     return rows.select(
-        "sec_page", (F.col("place") + 1).alias("sec_number"), F.col("s.head.level").alias("sec_level"),
-        F.col("s.head.title").alias("sec_title"), F.col("s.anchor").alias("sec_anchor"),
+        "sec_page", number.alias("sec_number"), F.col("h.level").alias("sec_level"), F.col("h.title").alias("sec_title"),
+        F.element_at("anchors", number).alias("sec_anchor"),
     )
 
 

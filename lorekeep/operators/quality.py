@@ -15,7 +15,7 @@ from lorekeep.functions.langs import (
     language_of_tag, localized_title, pure_title, tag_of_language, title_language,
 )
 from lorekeep.functions.text import count_capitalized, is_struck_through, word_count
-from lorekeep.functions.titles import article_space, parse_titles, prefixed
+from lorekeep.functions.titles import article_space, computed_once, parse_titles, prefixed
 from lorekeep.operators import common as c
 from lorekeep.operators.families import CONTENT_NAMESPACES
 from lorekeep.sources.catalog import Catalog
@@ -357,8 +357,9 @@ def anchor_suggestions(cat: Catalog, broken: DataFrame) -> DataFrame:
     anchors = cat["section"].groupBy(F.col("sec_page").alias("target_page")).agg(F.collect_set("sec_anchor").alias("anchors"))
     wanted = broken.where("not via_section").select("target_page", "anchor").distinct()
     scored = wanted.join(anchors, "target_page").select(
-        "target_page", "anchor", closest_anchor("anchor", "anchors").alias("suggestion")
+        "target_page", "anchor", closest_anchor("anchor", "anchors").alias("_closest")
     )
+    scored = computed_once(scored, suggestion=F.col("_closest")).drop("_closest")
     return broken.join(scored.where("suggestion is not null"), ["target_page", "anchor"])
 
 

@@ -153,7 +153,7 @@ def active_span(cat):
   select user_name, streak, length, cast("start" as varchar) as "start", cast("end" as varchar) as "end", edits,
          calendar_days, last_ts from {STREAKS} s""")
 def streaks(cat):
-    return _text(A.streaks(_days(cat)), "start", "end")
+    return _text(A.streaks(_days(cat)), "start", "end").drop("first_ts")
 
 
 @query("w02_longest_streak", f"""
