@@ -194,6 +194,42 @@ def site_rules(domain: str, git_group: str, channels: str | None = None) -> list
     return rules
 
 
+def project_rules(domain: str, targets: dict[str, str], branch: str = "master") -> list[UrlRule]:
+    """Old git addresses of single projects; ``targets`` maps a project to its new address."""
+    start = rf"https?://(?:projects|git)\.{domain.replace('.', chr(92) + '.')}"
+    summary = "project repositories moved"
+    rules = []
+    for project, new in targets.items():
+        old = rf"{start}/{project.replace('.', chr(92) + '.')}\.git"
+        for kind, name in (("commit", "commit"), ("tree", "tree"), ("plain", "raw"), ("log", "commits")):
+            path, version = r"(?:/|(/[^?#]+?))?", r"(?:\?h=[^&#?]+?)?[&?]id=([0-9A-Fa-f]+)"
+            for tail, mark in ((r"#n(\d+)", "#L$3"), ("", "")):
+                rules += [
+                    UrlRule(summary, rf"{old}/{kind}{path}{version}{tail}", f"{new}/{name}/$2$1{mark}"),
+                    UrlRule(summary, rf"{old}/{kind}{path}\?h=([^&#?]+?){tail}", f"{new}/{name}/$2$1{mark}"),
+                ]
+            rules += [
+                UrlRule(summary, rf"{old}/{kind}(?:/|(/[^?#]+?))#n(\d+)", f"{new}/{name}/{branch}$1#L$2"),
+                UrlRule(summary, rf"{old}/{kind}(?:/|(/[^?#]+?))", f"{new}/{name}/{branch}$1"),
+                UrlRule(summary, rf"{old}/{kind}", f"{new}/{name}"),
+            ]
+        rules.append(UrlRule(summary, rf"{old}(?:/[^?#]*)?", new))
+    return rules
+
+
+def moved_repository_rules(old: str, targets: dict[str, str]) -> list[UrlRule]:
+    """Repositories that moved from ``old`` to the addresses in ``targets``, with commits."""
+    base = "https?://" + old.replace(".", r"\.")
+    rules = []
+    for name, new in targets.items():
+        repo = f"{base}/" + name.replace(".", r"\.")
+        rules += [
+            UrlRule("repository moved", rf"{repo}(\.git)?", f"{new}$1"),
+            UrlRule("repository moved", rf"{repo}(?:\.git)?/commit/([0-9A-Fa-f]+)", f"{new}/commit/$1"),
+        ]
+    return rules
+
+
 def rewrite_url(url: Column, rules: list[UrlRule] = PUBLIC_RULES) -> Column:
     """``struct(url, summary)`` of the first rule that matches the whole URL, else NULL.
 

@@ -249,6 +249,22 @@ def test_url_rules(values):
     assert values(new, list(cases)) == list(cases.values())
 
 
+def test_repository_rules(values):
+    rules = external.project_rules("example.org", {"tool": "https://forge.example.org/tool/tool"})
+    rules += external.moved_repository_rules("github.com/group", {"site": "https://forge.example.org/group/site"})
+    new = lambda x: external.rewrite_url(x, rules)["url"]
+    cases = {
+        "https://projects.example.org/tool.git": "https://forge.example.org/tool/tool",
+        "https://git.example.org/tool.git/tree/src/a.c?id=abc#n7": "https://forge.example.org/tool/tool/tree/abc/src/a.c#L7",
+        "https://git.example.org/tool.git/plain/a?h=dev": "https://forge.example.org/tool/tool/raw/dev/a",
+        "https://git.example.org/tool.git/log/": "https://forge.example.org/tool/tool/commits/master",
+        "https://git.example.org/tool.git/commit/?id=abc": "https://forge.example.org/tool/tool/commit/abc",
+        "https://github.com/group/site.git": "https://forge.example.org/group/site.git",
+        "https://github.com/group/site/commit/abc": "https://forge.example.org/group/site/commit/abc",
+    }
+    assert values(new, list(cases)) == list(cases.values())
+
+
 def test_https_upgrade_prefers_specific_rule(spark):
     rules = spark.createDataFrame([("example.org", True), ("a.example.org", False), ("b.org", False)], "rule string, with_subdomains boolean")
     hosts = spark.createDataFrame([("a.example.org",), ("x.a.example.org",), ("b.org",), ("c.b.org",)], "host string")
