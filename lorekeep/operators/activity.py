@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions.times import as_timestamp, days_between, never
-from lorekeep.operators import common as c
 from lorekeep.operators.common import Time
 from lorekeep.operators.lists import user_group_sets
 from lorekeep.sources.catalog import Catalog

@@ -602,8 +602,15 @@ def validate(
     for table, key in unique_keys:
         groups = cat[table].groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
         add(groups.where("n > 1"), "unique", f"{table}({', '.join(key)})")
-    for table, rule in predicates:
-        add(cat[table].where(f"not ({rule})"), "check", f"{table}: {rule}")
+    # all rules of one table in a single scan
+    for table in dict.fromkeys(name for name, _ in predicates):
+        rules = [rule for name, rule in predicates if name == table]
+        counts = [F.count_if(F.expr(f"not ({rule})")).alias(f"v{i}") for i, rule in enumerate(rules)]
+        rows = [
+            F.struct(F.lit(f"{table}: {rule}").alias("rule"), F.lit("check").alias("kind"), F.col(f"v{i}").alias("violations"))
+            for i, rule in enumerate(rules)
+        ]
+        parts.append(cat[table].agg(*counts).select(F.inline(F.array(*rows))))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -313,9 +313,9 @@ def category_members(cat):
 @query("l14_embeddedin", """
   select p.page_id, p.page_namespace, p.page_title, p.page_is_redirect from @page p
   where p.page_namespace in (0, 4, 10) and not p.page_is_redirect and p.page_id in (
-    select tl_from from @templatelinks where tl_namespace = 10 and tl_title = 'Topic Y3')""")
+    select tl_from from @templatelinks where tl_namespace = 10 and tl_title = 'Topic X95')""")
 def embedded_in(cat):
-    return L.embedding_pages(cat, 10, "Topic Y3", namespaces={0, 4, 10}, redirects="nonredirects")
+    return L.embedding_pages(cat, 10, "Topic X95", namespaces={0, 4, 10}, redirects="nonredirects")
 
 
 @query("l15_backlinks", """

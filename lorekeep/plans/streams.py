@@ -107,6 +107,25 @@ def page_actions(cat):
     return rows.select("log_namespace", "log_title", "action")
 
 
+@query("st07_late_events", f"""
+  select rc_id, {_SECOND.format(x='rc_timestamp')} as rc_timestamp from @recentchanges
+  where cast(rc_timestamp as date) <> '2024-01-03'""")
+def late_events(cat):
+    # day 3 lands after the rest of the month and is older than the watermark by then
+    path, root = scratch_folder(cat.spark, "landing-late"), scratch_folder(cat.spark, "stream")
+    rows, day = cat["recentchanges"], F.to_date("rc_timestamp")
+
+    def run():
+        stream = ST.read_changes(cat.spark, path)
+        return ST.run_available(
+            ST.deduplicated(stream, ["rc_id"], "rc_timestamp", "7 days"), root + "/data", root + "/checkpoint")
+
+    rows.where(day != "2024-01-03").write.json(path + "/1")
+    run()
+    rows.where(day == "2024-01-03").write.json(path + "/2")
+    return run().select("rc_id", "rc_timestamp")
+
+
 @query("st08_enriched", """
   select l.log_id, n.nss_name, u.user_name, p.page_id from @logging l
   left join @namespace_starname n on n.nss_id = l.log_namespace left join @users u on u.user_id = l.log_user

@@ -334,10 +334,10 @@ TABLES: dict[str, str] = {
                cast('2024-01-02 00:00:00' as #ts), cast(0 as bigint), cast(length(body) as bigint),
                'wikitext', 'en' from @wikitext
         union all
-        select 4 * conv_id + 2, cast(1 as int), {title('conv_id * 3')}, conv_id % 6 = 1, false,
+        select 4 * conv_id + 2, cast(1 as int), {title('conv_id * 2')}, conv_id % 6 = 1, false,
                cast('2024-01-03 00:00:00' as #ts), cast(0 as bigint),
                cast(sum(length(text)) as bigint), 'wikitext', 'en'
-        from @conversations where {namespace('conv_id * 3')} <> 1 group by conv_id
+        from @conversations where {namespace('conv_id * 2')} <> 1 group by conv_id
         union all
         select cast(8 * r_regionkey + 3 as bigint), cast(14 as int), r_name, false, false,
                cast('2024-01-04 00:00:00' as #ts), cast(0 as bigint), cast(10 as bigint),
@@ -462,15 +462,15 @@ TABLES: dict[str, str] = {
               from @part where p_partkey % 3 <> 0) as e
         union all
         select 4 * conv_id + 2, (case when conv_id % 12 = 1 then 1 else 0 end),
-               {title('conv_id * 21 + 3')}, cast(null as string), cast(null as string)
-        from @conversations where turn = 0 and conv_id % 6 = 1 and {namespace('conv_id * 3')} <> 1""",
+               {title('conv_id * 14 + 3')}, cast(null as string), cast(null as string)
+        from @conversations where turn = 0 and conv_id % 6 = 1 and {namespace('conv_id * 2')} <> 1""",
     "section": f"""
         select 4 * conv_id + 2 as sec_page, cast(turn + 1 as int) as sec_number,
                cast(2 as int) as sec_level,
                (case when conv_id % 5 = 2 then '<s>' || role || ' ' || cast(turn as string) || '</s>'
                      else role || ' ' || cast(turn as string) end) as sec_title,
                role || '_' || cast(turn as string) as sec_anchor
-        from @conversations where {namespace('conv_id * 3')} <> 1
+        from @conversations where {namespace('conv_id * 2')} <> 1
         union all
         select 4 * p_partkey, cast(1 as int), cast(2 as int), 'Section 0', 'Section_0'
         from @part where p_partkey % 2 = 0
