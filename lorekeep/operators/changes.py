@@ -156,7 +156,8 @@ def apply_bitmask(df: DataFrame, id_column: str, bits_column: str, changes: Data
 
 def apply_visibility(cat: Catalog, log: DataFrame) -> dict[str, DataFrame]:
     """Visibility events applied to revisions, archive, log and recent changes."""
-    revisions, events = bitmask_changes(log, "revision"), bitmask_changes(log, "event")
+    # the log is read once; the net changes are few and feed several tables
+    revisions, events = cut_lineage(bitmask_changes(log, "revision")), cut_lineage(bitmask_changes(log, "event"))
     changes = apply_bitmask(cat["recentchanges"], "rc_this_oldid", "rc_deleted", revisions)
     return {
         "revision": apply_bitmask(cat["revision"], "rev_id", "rev_deleted", revisions),
@@ -231,7 +232,7 @@ def _split(df: DataFrame, keys: DataFrame, column: str, key: str) -> tuple[DataF
 
 def delete_pages(cat: Catalog, page_ids: DataFrame) -> dict[str, DataFrame]:
     """Delete pages (``page_id``): revisions and tags move to the archive, the rest cascades."""
-    gone = page_ids.select(F.col("page_id").alias("_gone")).distinct()
+    gone = cut_lineage(page_ids.select(F.col("page_id").alias("_gone")).distinct())
     stay, leave = _split(cat["revision"], gone, "rev_page", "_gone")
     titles = cat["page"].select("page_id", "page_namespace", "page_title")
     moved = leave.join(titles, F.col("rev_page") == F.col("page_id")).select(
@@ -480,7 +481,8 @@ def apply_tags(tagged: DataFrame, table: str, actions: DataFrame, tags: DataFram
 def apply_tag_events(cat: Catalog, log: DataFrame) -> dict[str, DataFrame]:
     """Tag events applied to revisions, archived revisions, log events and recent changes."""
     tags = cat["tag"]
-    revisions, events = tag_actions(log, "revid"), tag_actions(log, "logid")
+    # the log is read once; the net actions are few and feed several tables
+    revisions, events = cut_lineage(tag_actions(log, "revid")), cut_lineage(tag_actions(log, "logid"))
     rev = cat["revision"].select(F.col("rev_id").alias("id"))
     archived = revisions.join(rev, "id", "left_anti")
     changes = cat["recentchanges"]

@@ -311,7 +311,7 @@ TABLES: dict[str, str] = {
                           || (case when w.key % 2 = 0 then '#Part ' || cast(w.key as string)
                                    else '' end) || ']]'
                      else w.body end) as body,
-               w.url as url
+               w.url as url, w.key % 9 = 4 as is_redirect, length(w.html) as html_length
         from @wikitext_raw as w
         join (select word, min(key) as first_key from @wikitext_raw group by word) as f
           on w.word = f.word""",
@@ -330,8 +330,8 @@ TABLES: dict[str, str] = {
                      else 'en' end) as page_lang
         from @part as p left join @page_latest as l on 4 * p.p_partkey = l.rev_page
         union all
-        select page_id, namespace, title, substr(body, 1, 9) = '#REDIRECT', false,
-               cast('2024-01-02 00:00:00' as #ts), cast(0 as bigint), cast(length(body) as bigint),
+        select page_id, namespace, title, is_redirect, false,
+               cast('2024-01-02 00:00:00' as #ts), cast(0 as bigint), cast(html_length as bigint),
                'wikitext', 'en' from @wikitext
         union all
         select 4 * conv_id + 2, cast(1 as int), {title('conv_id * 2')}, conv_id % 6 = 1, false,
