@@ -45,11 +45,12 @@ def exact_groups(
         value.alias("_radix_text"),
     )
     keys = ["_radix_size", "_radix_digit"]
+    # merge joins throughout: whether a table is small must not decide what is shuffled
     groups = settle(
         rows.groupBy(*keys).agg(F.count("*").alias("_radix_n")).where("_radix_n > 1")
         .withColumn("_radix_group", F.monotonically_increasing_id()).drop("_radix_n"),
         "radix",
-    )
+    ).hint("merge")
     out = [f"_radix_c{i}" for i in range(len(carry))]
     alone = rows.join(groups, keys, "left_anti").select(
         *out, F.col("_radix_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept")
@@ -70,7 +71,7 @@ def exact_groups(
                 F.max_by("_radix_row", ranked).alias("_radix_kept"),
             ).where("group_size > 1").withColumn("_radix_next", F.monotonically_increasing_id()),
             "radix",
-        )
+        ).hint("merge")
         single, ended = F.col("group_size").isNull(), F.col("_radix_size") <= offset + width
         done = single | ended
         split = settle(
