@@ -8,12 +8,13 @@
   class; only its smallest id goes on, so thousands of copies cost one signature each and no pair.
 * **Banding.** ``bands`` bands of ``rows`` slots; documents that agree in a band share a bucket. At
   similarity 0.8 a pair is in no common bucket with a probability of 3e-6.
-* **Links.** In the first round each bucket tests its members against one hub, its smallest id.
-  Links found are merged into components. In later rounds each bucket that still holds more than
-  one component tests its members against up to ``LANES`` further hubs, taken in id order from all
-  but its largest component, until every pair across components has been tested. Pairs inside a
-  component are never tested: they cannot change the result. So no bucket is gathered, no group's
-  pairs are all built, and no link is lost to a cap.
+* **Links.** Each bucket tests its members against one hub, its smallest id, and links found are
+  merged into components. What is then still apart, the members of buckets with more than one
+  component, goes through an exact similarity join: sets are ordered from the rarest shingle on, a
+  similar pair shares one of the first shingles, and their places bound what it can have in common.
+  Only pairs of different components that pass the bound are tested; others cannot be linked, or
+  cannot change the result. So no bucket is gathered, no group's pairs are all built, and no link
+  is lost to a cap.
 * **Verification** is exact, on the full shingle sets of the two texts.
 
 Defined cases: a document without words, or null, has no shingles and is its own component; with
@@ -29,14 +30,13 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.llm.common import map_rows, settle, text_of
 from lorekeep.llm.components import merge_components, renamed
 
 BANDS, ROWS = 32, 5
-LANES = 16
 CACHED_WORDS = 300_000
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -195,36 +195,71 @@ def linked(members: DataFrame, docs: DataFrame, width: int, percent: int, text:
     pairs = settle(_first_pairs(buckets), "pairs")
     tested = pairs
     names = merge_components(names, settle(_verified(pairs, texts, width, percent), "links"))
-    lane = F.pmod(F.xxhash64("id"), F.lit(LANES)).cast("int")
-    anchors = tried = None
-    while True:
-        labelled = renamed(buckets.withColumn("component", F.col("id")), "component", names)
-        open_keys = labelled.groupBy("key").agg(
-            F.min("component").alias("low"), F.max("component").alias("high")
-        ).where("low < high").select("key")
-        open_rows = settle(labelled.join(open_keys, "key", "left_semi"), "buckets")
-        if anchors is None:
-            # the largest component of a bucket needs no hubs: every pair across has another end
-            parts = open_rows.groupBy("key", "component").agg(F.min("id").alias("anchor"), F.count("*").alias("n"))
-            anchors = settle(parts.groupBy("key").agg(F.max_by("anchor", "n").alias("anchor")), "anchors")
-            tried = docs.sparkSession.createDataFrame([], "key long, lane int, last long")
-        apart = renamed(anchors.withColumn("of_anchor", F.col("anchor")), "of_anchor", names).drop("anchor")
-        candidates = open_rows.join(apart, "key").where("component <> of_anchor").withColumn("lane", lane)
-        candidates = candidates.join(tried, ["key", "lane"], "left").where("last is null or id > last")
-        hubs = settle(
-            candidates.groupBy("key", "lane").agg(F.min("id").alias("a"), F.min_by("component", "id").alias("of_a")),
-            "hubs",
-        )
-        if hubs.isEmpty():
-            return names
-        cross = open_rows.join(hubs, "key").where("component <> of_a")
-        new = cross.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-        new = settle(new.join(tested, ["a", "b"], "left_anti"), "pairs")
-        moved = tried.unionByName(hubs.select("key", "lane", F.col("a").alias("last")))
-        tried = settle(moved.groupBy("key", "lane").agg(F.max("last").alias("last")), "tried")
-        if not new.isEmpty():
-            tested = tested.unionByName(new)
-            names = merge_components(names, settle(_verified(new, texts, width, percent), "links"))
+    return _swept(buckets, texts, names, tested, width, percent)
+
+
+def _open(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """Rows of the buckets that still hold more than one component."""
+    labelled = renamed(rows.withColumn("component", F.col("id")), "component", names)
+    keys = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    return settle(labelled.join(keys.where("low < high").select("key"), "key", "left_semi"), "buckets")
+
+
+def _prefixes(ids: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(shingle, id, component, n, rest) of the rarest shingles of each of ``ids``.
+
+    A set's shingles are ordered by how many of ``ids`` have them; ``rest`` is how many are left from
+    this one on. Two sets as similar as ``percent`` share one of the first ``n - percent n + 1``.
+    Shingles of a single id are counted, for the places of the others, and dropped.
+    """
+
+    def build():
+        hashes = WordHashes()
+
+        def step(batch):
+            sets = shingle_sets(batch["text"], hashes, width)
+            sizes = np.array([len(s) for s in sets], np.int64)
+            ids = np.repeat(np.array(batch["id"], np.int64), sizes)
+            flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
+            return {"id": pa.array(ids), "shingle": pa.array(flat), "n": pa.array(np.repeat(sizes, sizes))}
+
+        return step
+
+    rows = map_rows(texts.join(ids, "id", "left_semi"), "id long, shingle long, n long", build)
+    rows = settle(rows, "shingles")
+    held = rows.groupBy("shingle").agg(F.count("*").alias("holders")).where("holders > 1")
+    # one document's shingles lie in one window, as its text lies in one row
+    own = Window.partitionBy("id")
+    ordered = rows.join(held, "shingle").withColumns({
+        "place": F.row_number().over(own.orderBy("holders", "shingle")), "shared": F.count("*").over(own),
+    })
+    rest = F.col("shared") - F.col("place") + 1
+    first = ordered.withColumn("rest", rest).where(100 * F.col("rest") >= percent * F.col("n"))
+    return first.join(ids, "id").select("shingle", "id", "component", "n", "rest")
+
+
+def _swept(
+    buckets: DataFrame, texts: DataFrame, names: DataFrame, tested: DataFrame, width: int, percent: int
+) -> DataFrame:
+    """Find the links between components that the first round left apart."""
+    rows = _open(buckets, names)
+    if rows.isEmpty():
+        return names
+    ids = settle(rows.select("id", "component").distinct(), "open")
+    prefixes = settle(_prefixes(ids, texts, width, percent), "prefixes")
+    # of a shingle's components the largest needs no probes: every pair across has another end
+    parts = prefixes.groupBy("shingle", "component").agg(F.count("*").alias("n"))
+    largest = parts.groupBy("shingle").agg(F.max_by("component", "n").alias("largest"), F.count("*").alias("parts"))
+    probes = prefixes.join(largest.where("parts > 1"), "shingle").where("component <> largest").select(
+        "shingle", F.col("id").alias("a"), F.col("component").alias("of_a"), F.col("n").alias("n_a"),
+        F.col("rest").alias("rest_a"),
+    )
+    # at their first common shingle, two sets have at most the shorter rest in common
+    may = (100 + percent) * F.least("rest", "rest_a") >= percent * (F.col("n") + F.col("n_a"))
+    cross = prefixes.join(probes, "shingle").where((F.col("component") != F.col("of_a")) & may)
+    new = cross.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+    new = settle(new.join(tested, ["a", "b"], "left_anti"), "pairs")
+    return merge_components(names, settle(_verified(new, texts, width, percent), "links"))
 
 
 def near_duplicates(
