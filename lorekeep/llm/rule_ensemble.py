@@ -10,7 +10,7 @@ labels all are used. Held-out rows (crc32 of the id modulo 5 is 0) never take pa
 
 Defined cases: null is the empty text, whose statistics are 0 and whose score is the model's for
 them; labels of ids that don't occur, null labels and null ids are ignored; repeated rows give
-equal rows; without labels of both kinds the score is the share of label 1 (0.5 without any); an
+equal rows; without labels of both kinds, or without a rule, the score is the share of label 1 (0.5 without any); an
 empty table gives an empty result; other columns are ignored.
 """
 
@@ -137,9 +137,10 @@ def lasso_logistic(r: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 6
 
 def fit(x: np.ndarray, y: np.ndarray) -> Model:
     """``x``: rows of statistics, ``y``: 0 or 1."""
+    share = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
+    plain = Model(float(np.log(share / (1 - share))), [])
     if not len(y) or y.min() == y.max():
-        share = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
-        return Model(float(np.log(share / (1 - share))), [])
+        return plain
     rng = np.random.default_rng(SEED)
     rules: dict[Rule, None] = {}
     wide = max(2, int(np.ceil(x.shape[1] / 2)))
@@ -152,6 +153,8 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
         hit = applies(rule, x)
         if 0 < hit.sum() < len(x):
             columns.setdefault(hit.tobytes(), (rule, hit))
+    if not columns:
+        return plain
     kept = [rule for rule, _ in columns.values()]
     base, w = lasso_logistic(np.array([h for _, h in columns.values()], float).T, y.astype(float), PENALTY)
     return Model(base, [(float(v), rule) for v, rule in zip(w, kept, strict=True) if abs(v) > 1e-6])
