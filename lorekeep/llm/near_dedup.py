@@ -11,7 +11,8 @@
 * **Links.** Each bucket tests its members against one hub, its smallest id, and links found are
   merged into components. What is then still apart, the members of buckets with more than one
   component, goes through an exact similarity join: sets are ordered from the rarest shingle on, a
-  similar pair shares one of the first shingles, and their places bound what it can have in common.
+  similar pair shares one of the first shingles, and their places, and the parities of the two sets,
+  bound what it can have in common.
   Only pairs of different components that pass the bound are tested; others cannot be linked, or
   cannot change the result. So no bucket is gathered, no group's pairs are all built, and no link
   is lost to a cap.
@@ -26,6 +27,8 @@ has a null component; an empty table gives an empty result; other columns are ig
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +41,7 @@ from lorekeep.llm.components import merge_components, renamed
 
 BANDS, ROWS = 32, 5
 CACHED_WORDS = 300_000
+_PARITIES = [f"parity{k}" for k in range(4)]
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _VALUE_BITS = 40
@@ -206,7 +210,7 @@ def _open(rows: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def _prefixes(ids: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """(shingle, id, component, n, rest) of the rarest shingles of each of ``ids``.
+    """(shingle, id, component, n, rest, parities) of the rarest shingles of each of ``ids``.
 
     A set's shingles are ordered by how many of ``ids`` have them; ``rest`` is how many are left from
     this one on. Two sets as similar as ``percent`` share one of the first ``n - percent n + 1``.
@@ -235,7 +239,12 @@ def _prefixes(ids: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     })
     rest = F.col("shared") - F.col("place") + 1
     first = ordered.withColumn("rest", rest).where(100 * F.col("rest") >= percent * F.col("n"))
-    return first.join(ids, "id").select("shingle", "id", "component", "n", "rest")
+    # parity of the shingles by 256 hash values: two sets differ in at least as many as their parities do
+    word, bit = F.col("shingle").bitwiseAND(3), F.expr("shiftleft(1L, cast(shiftright(shingle, 2) & 63 as int))")
+    parities = rows.groupBy("id").agg(
+        *[F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"parity{k}") for k in range(4)]
+    )
+    return first.join(ids, "id").join(parities, "id").select("shingle", "id", "component", "n", "rest", *_PARITIES)
 
 
 def _swept(
@@ -252,10 +261,13 @@ def _swept(
     largest = parts.groupBy("shingle").agg(F.max_by("component", "n").alias("largest"), F.count("*").alias("parts"))
     probes = prefixes.join(largest.where("parts > 1"), "shingle").where("component <> largest").select(
         "shingle", F.col("id").alias("a"), F.col("component").alias("of_a"), F.col("n").alias("n_a"),
-        F.col("rest").alias("rest_a"),
+        F.col("rest").alias("rest_a"), *[F.col(x).alias(f"{x}_a") for x in _PARITIES],
     )
     # at their first common shingle, two sets have at most the shorter rest in common
     may = (100 + percent) * F.least("rest", "rest_a") >= percent * (F.col("n") + F.col("n_a"))
+    both = F.col("n") + F.col("n_a")
+    apart = reduce(add, [F.bit_count(F.col(x).bitwiseXOR(F.col(f"{x}_a"))) for x in _PARITIES])
+    may = may & ((100 + percent) * (both - apart) >= 2 * percent * both)
     cross = prefixes.join(probes, "shingle").where((F.col("component") != F.col("of_a")) & may)
     new = cross.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
     new = settle(new.join(tested, ["a", "b"], "left_anti"), "pairs")
