@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 _REDIRECT = r"(?i)^\s*#redirect\s*:?\s*\[\[([^\[\]{}]+)\]\]"
 _HEADING = r"^((={1,6})[^\S\n]*)([^\n]+?)([^\S\n]*(\2))[^\S\n]*$"
 WIKILINK = r"\[\[([^\[\]{}|\n]+)(\|[^\[\]]*)?\]\]"
-TRANSCLUSION = r"\{\{([^{}|\[\]\n<>]+)"
+# not ``{{{name}}}``, which is a parameter
+TRANSCLUSION = r"(?<!\{)\{\{(?!\{)([^{}|\[\]\n<>]+)"
+_HIDDEN = r"(?is)<!--.*?-->|<(nowiki|pre)\b[^>]*>.*?</\1\s*>"
 EXTERNAL_LINK = r"(?:https?|ftp|ircs?|mailto):[^\s\[\]<>\"{}|]+"
 
 
@@ -39,9 +41,14 @@ def headings(text: Column) -> Column:
     )
 
 
+def visible(text: Column) -> Column:
+    """Text without comments and without what ``nowiki`` and ``pre`` protect."""
+    return F.regexp_replace(text, _HIDDEN, "")
+
+
 def wikilinks(text: Column) -> Column:
     """Links in order as ``array<struct<target, label>>``; label is NULL when absent."""
-    found = F.regexp_extract_all(text, F.lit(WIKILINK), F.lit(0))
+    found = F.regexp_extract_all(visible(text), F.lit(WIKILINK), F.lit(0))
     inner = F.transform(found, lambda link: F.substring(link, F.lit(3), F.length(link) - 4))
     return F.transform(
         inner,
@@ -57,7 +64,7 @@ def wikilinks(text: Column) -> Column:
 
 def transclusions(text: Column) -> Column:
     """Names in ``{{name|...}}``, trimmed, in order."""
-    found = F.regexp_extract_all(text, F.lit(TRANSCLUSION), F.lit(1))
+    found = F.regexp_extract_all(visible(text), F.lit(TRANSCLUSION), F.lit(1))
     return F.transform(found, lambda name: F.trim(name))
 
 

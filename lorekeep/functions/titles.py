@@ -16,7 +16,7 @@ def canonical_title(title: Column) -> Column:
     out = F.regexp_replace(F.replace(title, F.lit("_"), F.lit(" ")), r"^\s+|\s+$", "")
     out = F.regexp_replace(F.regexp_replace(out, "[‎‏]", ""), r"^\s+|\s+$", "")
     out = F.regexp_replace(out, " +", " ")
-    return F.concat(F.upper(F.substring(out, 1, 1)), F.substring(out, 2, 1_000_000))
+    return F.concat(F.upper(F.substring(out, 1, 1)), F.substr(out, F.lit(2)))
 
 
 def prefixed(namespace: Column, title: Column) -> Column:

@@ -316,7 +316,7 @@ def site_links(cat: Catalog, links: DataFrame, base: str) -> DataFrame:
     get a leading colon, so that they stay links.
     """
     head = F.lit(base)
-    path = F.substring("url", len(base) + 1, 1_000_000)
+    path = F.substr("url", F.lit(len(base) + 1))
     own = links.where(F.startswith("url", head) & path.rlike(r"^[^\s?]+$")).withColumn("_name", path)
     parsed = parse_titles(own, "_name", cat["interwiki"], cat["namespace_name"]).where("title_error is null")
     colon = F.when(F.col("ns_id").isin(-2, 6, 14) & (F.col("iwprefix") == ""), F.lit(":")).otherwise("")
@@ -343,7 +343,7 @@ def upgrade_to_https(links: DataFrame, rules: DataFrame) -> DataFrame:
     plain = links.where(F.startswith("el_to", F.lit("http://"))).withColumn("host", url_host(F.col("el_to")))
     plain = plain.where("host is not null")
     return plain.join(matching_rules(plain, rules), "host").select(
-        "el_from", "el_to", F.concat(F.lit("https://"), F.substring("el_to", len("http://") + 1, 1_000_000)).alias("new_url")
+        "el_from", "el_to", F.concat(F.lit("https://"), F.substr("el_to", F.lit(len("http://") + 1))).alias("new_url")
     )
 
 

@@ -211,7 +211,7 @@ def wanted_categories(cat: Catalog) -> DataFrame:
 
 
 def _pure(name: Column) -> Column:
-    return F.substring(pure_title(F.concat(F.lit("Category:"), name)), len("Category:") + 1, 1_000_000)
+    return F.substr(pure_title(F.concat(F.lit("Category:"), name)), F.lit(len("Category:") + 1))
 
 
 def _language(name: Column) -> Column:

@@ -265,7 +265,7 @@ def external_links(
         head = (protocol or "http") + "://"
         df = df.where(F.startswith("el_to", F.lit(head)))
         if query:
-            df = df.where(F.contains(F.substring("el_to", len(head) + 1, 1_000_000), F.lit(query)))
+            df = df.where(F.contains(F.substr("el_to", F.lit(len(head) + 1)), F.lit(query)))
     return df.join(_ids(pages), F.col("el_from") == F.col("page_id")).select("page_id", F.col("el_to").alias("url"))
 
 

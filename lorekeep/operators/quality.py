@@ -281,7 +281,7 @@ def display_title_mismatches(links: DataFrame, display: DataFrame) -> DataFrame:
     df = links.where("iwprefix = '' and ns_id >= 0 and pagename <> '' and not leading_colon")
     df = df.join(display, ["ns_id", "pagename"])
     spelled = F.substring_index("raw", "#", 1)
-    tail = lambda x: F.substring(x, 2, 1_000_000)
+    tail = lambda x: F.substr(x, F.lit(2))
     differs = tail(spelled) != tail(F.col("displaytitle"))
     upper = ~F.substring("displaytitle", 1, 1).rlike(r"^\p{Ll}$")
     only_spaces = F.replace(tail(spelled), F.lit(" "), F.lit("_")) == F.replace(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions.langs import pure_title, title_language
 from lorekeep.operators import activity as A
+from lorekeep.operators.graph import place_in_group
 from lorekeep.plans.registry import query
 from lorekeep.sources.sample import TODAY
 
@@ -83,13 +84,11 @@ def user_statistics(cat):
 @query("o04_ranked_users", f"""
   select cast(row_number() over (order by recent_edits desc, total_edits desc, registration nulls last, user_name)
               as bigint) as place, user_name, recent_edits, total_edits
-  from ({USER_TABLE}) t order by 1 limit 100""")
+  from ({USER_TABLE}) t""")
 def ranked_users(cat):
-    from pyspark.sql import Window
-
-    top = A.user_statistics(cat, TODAY, min_total=MIN_TOTAL).limit(100)
-    place = F.row_number().over(Window.orderBy(*A.ranking())).cast("long").alias("place")
-    return top.select(place, "user_name", "recent_edits", "total_edits")
+    users = A.user_statistics(cat, TODAY, min_total=MIN_TOTAL).withColumn("_all", F.lit(0))
+    placed = place_in_group(users, "_all", A.ranking())
+    return placed.select(F.col("place").cast("long").alias("place"), "user_name", "recent_edits", "total_edits")
 
 
 @query("a10_threshold_counts", f"""

@@ -116,7 +116,7 @@ def attached(cat):
   where p.page_namespace = 0 and p.page_is_redirect group by 1, 2""")
 def query_surface(cat):
     df = wiki_query(cat, generator="allpages", gapfilterredir="redirects", prop={"categories"})
-    name = lambda x: F.substring(x["title"], len("Category:") + 1, 1000)
+    name = lambda x: F.substr(x["title"], F.lit(len("Category:") + 1))
     return df.select(
         "page_id", "page_title", F.coalesce(F.size("categories"), F.lit(0)).cast("long").alias("n_categories"),
         F.array_join(F.transform("categories", name), "|").alias("cats"),

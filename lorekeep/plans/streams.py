@@ -17,7 +17,7 @@ def _landed(cat, table: str, time: str, again: str | None = None):
     df = cat[table].withColumn("day", F.to_date(time))
     df.repartitionByRange("day").write.partitionBy("day").json(path)
     if again:
-        df.where(again).drop("day").coalesce(1).write.json(path + "/again")
+        df.where(again).drop("day").write.json(path + "/again")
     return path
 
 

@@ -22,6 +22,8 @@ RUNTIME_CONF = {
 def build_session(app: str = "lorekeep", master: str | None = None, **conf: str) -> SparkSession:
     """Create a session; on a cluster the master and sizes come from spark-submit."""
     builder = SparkSession.builder.appName(app)
+    # checkpoints go when nothing refers to them any more
+    builder = builder.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if master:
         builder = builder.master(master)
     for key, value in {**RUNTIME_CONF, **conf}.items():

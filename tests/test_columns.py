@@ -162,3 +162,12 @@ def test_checkable_urls(values):
     assert values(urls.is_checkable, good) == [True] * len(good)
     assert values(urls.is_checkable, bad) == [False] * len(bad)
     assert values(lambda x: F.array_join(urls.host_suffixes(x), " "), ["a.b.c"]) == ["a.b.c b.c c"]
+
+
+def test_parameters_and_hidden_text_are_no_links(values):
+    from lorekeep.functions import text as T
+
+    names = values(T.transclusions, ["a {{{1|x}}} {{Foo|{{{name}}}}} <!-- {{Gone}} -->", "<nowiki>{{No}}</nowiki>{{Yes}}"])
+    assert names == [["Foo"], ["Yes"]]
+    links = values(T.wikilinks, ["<!-- [[Gone]] --> <nowiki>[[No]]</nowiki> <pre>[[Not]]</pre> [[Here|x]]"])
+    assert [x.target for x in links[0]] == ["Here"]
