@@ -17,22 +17,17 @@ ignored.
 from __future__ import annotations
 
 import hashlib
-import json
-import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.chunks import ChunkCache
-from lorekeep.llm.common import map_rows, ragged, text_of
+from lorekeep.llm.chunks import ChunkCache, Cutter, read_spec
+from lorekeep.llm.common import map_rows, text_of
 
 _NEVER = np.iinfo(np.int64).max
-# White space as the file's pattern means it.
-_SPACE = r"\t-\r\x20\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-
 
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
@@ -43,15 +38,11 @@ def byte_symbols() -> list[str]:
 
 class Bpe:
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
+        spec = read_spec(path)
         model = spec["model"]
         vocab, suffix = model["vocab"], model["end_of_word_suffix"] or ""
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens = {i: t for t, i in [*vocab.items(), *self.special.items()]}
-        self._special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
-        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self._pieces = regex.compile(pattern.replace(r"[^\s", f"[^{_SPACE}"))
+        self.cut = Cutter(spec)
+        self.tokens = {i: t for t, i in [*vocab.items(), *self.cut.special.items()]}
         symbols = byte_symbols()
         self.inner = np.array([vocab[s] for s in symbols], np.int64)
         self.final = np.array([vocab[s + suffix] for s in symbols], np.int64)
@@ -69,7 +60,7 @@ class Bpe:
         return np.where(self.keys[at] == key, self.ranks[at], _NEVER), self.made[at]
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of non-empty words in one array, and the number of ids of each."""
+        """Ids of non-empty pieces in one array, and the number of ids of each."""
         data = np.frombuffer(b"".join(words), np.uint8)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         if not len(words):
@@ -116,57 +107,23 @@ class Bpe:
         order = np.argsort(word, kind="stable")
         return symbol[order], np.bincount(word, minlength=len(words))
 
-    def _cut(self, chunk: str) -> list[str | int]:
-        """Pieces of a text without ASCII white space; special tokens as their ids."""
-        out: list[str | int] = []
-        at = 0
-        for match in self._special.finditer(chunk):
-            out += self._plain(chunk[at : match.start()])
-            out.append(self.special[match.group()])
-            at = match.end()
-        return out + self._plain(chunk[at:])
-
-    def _plain(self, text: str) -> list[str]:
-        if not text:
-            return []
-        if not text.isascii():
-            # lower-cased by character: no rule for a final sigma
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return self._pieces.findall(text.lower())
-
-    def encode_many(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the chunks in one array and the number of ids of each; chunks have no ASCII white space."""
-        cut = [self._cut(c) for c in chunks]
-        known: dict[str | int, int] = {}
-        codes = np.fromiter((known.setdefault(p, len(known)) for pieces in cut for p in pieces), np.int64)
-        plain = [p for p in known if isinstance(p, str)]
-        made, sizes = self.merge([p.encode() for p in plain])
-        size_of = np.ones(len(known), np.int64)
-        is_plain = np.fromiter((isinstance(p, str) for p in known), bool, len(known))
-        size_of[is_plain] = sizes
-        ends = np.cumsum(size_of)
-        ids = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64)
-        starts = ends - size_of
-        spread = np.repeat(is_plain, size_of)
-        ids[spread] = made
-        ids[~spread] = [p for p in known if not isinstance(p, str)]
-        lengths = size_of[codes]
-        flat = ids[ragged(starts[codes], lengths)]
-        per = np.fromiter(map(len, cut), np.int64, len(cut))
-        total = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(per)])]
-        return flat, np.diff(total)
-
     def decode(self, ids: list[int]) -> str:
         """The tokens with a space between, special ones included; the file names no decoder."""
         return " ".join(map(self.tokens.__getitem__, ids))
 
 
+@lru_cache(maxsize=1)
+def _loaded(vocabulary: str) -> tuple[Bpe, ChunkCache]:
+    """Once per worker process: tables and cache serve all its tasks."""
+    bpe = Bpe(vocabulary)
+    return bpe, ChunkCache(bpe.cut, lambda pieces: bpe.merge([p.encode() for p in pieces]))
+
+
 def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_tokens, ids (array) and decoded text of every document."""
 
     def build():
-        bpe = Bpe(vocabulary)
-        cache = ChunkCache(bpe.encode_many)
+        bpe, cache = _loaded(vocabulary)
 
         def step(rows):
             flat, counts = cache.encode(rows["text"])
@@ -188,8 +145,7 @@ def encoding_digests(docs: DataFrame, vocabulary: str, text: str = "text", doc_i
     """doc_id, n_tokens and the SHA-256 of ids and of decoded text, without shipping either."""
 
     def build():
-        bpe = Bpe(vocabulary)
-        cache = ChunkCache(bpe.encode_many)
+        bpe, cache = _loaded(vocabulary)
 
         def step(rows):
             flat, counts = cache.encode(rows["text"])

@@ -22,6 +22,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 # str.split() also splits at these; they belong to words here.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_ODD_ASCII = "\x1c\x1d\x1e\x1f"
 _WORDS = re.compile(WORD)
 
 
@@ -46,7 +47,8 @@ def text_of(column: str = "text") -> Column:
 
 def words_of(text: str) -> list[str]:
     """Words by ``WORD``; the fast split where it gives the same."""
-    return _WORDS.findall(text) if _ODD_SPACE.search(text) else text.split()
+    odd = any(c in text for c in _ODD_ASCII) if text.isascii() else _ODD_SPACE.search(text)
+    return _WORDS.findall(text) if odd else text.split()
 
 
 def _slices(batch: pa.RecordBatch, rows: int, size: int) -> Iterator[pa.RecordBatch]:

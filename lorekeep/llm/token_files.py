@@ -26,17 +26,19 @@ table gives empty files and no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import os
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm.chunks import ChunkCache
+from lorekeep.llm.bpe import byte_symbols
+from lorekeep.llm.chunks import ChunkCache, Cutter, read_spec
 from lorekeep.llm.common import map_rows, ragged, settle, text_of
 from lorekeep.session import ensure_checkpoint_dir
 
@@ -93,15 +95,14 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
-def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Id and code length for every value of the next ``MAX_BITS`` bits."""
+def decode_table(lengths: np.ndarray) -> np.ndarray:
+    """Id and code length, as ``id << 5 | length``, for every value of the next ``MAX_BITS`` bits."""
     used = np.flatnonzero(lengths)
     order = used[np.lexsort((used, lengths[used]))]
     spans = np.int64(1) << (MAX_BITS - lengths[order])
-    ids, bits = np.zeros(1 << MAX_BITS, np.int64), np.ones(1 << MAX_BITS, np.int64)
-    total = int(spans.sum())
-    ids[:total], bits[:total] = np.repeat(order, spans), np.repeat(lengths[order], spans)
-    return ids, bits
+    table = np.ones(1 << MAX_BITS, np.int32)
+    table[: int(spans.sum())] = np.repeat(order << 5 | lengths[order], spans)
+    return table
 
 
 def pack(ids: np.ndarray, counts: np.ndarray, lengths: np.ndarray, codes: np.ndarray):
@@ -111,15 +112,16 @@ def pack(ids: np.ndarray, counts: np.ndarray, lengths: np.ndarray, codes: np.nda
     """
     if not len(ids):
         return b"", np.zeros(len(counts), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    width = lengths[ids]
+    width = lengths.astype(np.int32)[ids]
     ends = np.cumsum(width)
     doc_end = np.cumsum(counts)
     bits = np.diff(np.concatenate([[0], np.concatenate([[0], ends])[doc_end]]))
     size = (bits + 7) // 8
     first_byte = np.cumsum(size) - size
-    inner = ends - width - np.repeat(np.cumsum(bits) - bits, counts)  # bit within the document
-    at = inner + 8 * np.repeat(first_byte, counts)
-    value = codes[ids].astype(np.uint64) << (64 - (at & 31) - width).astype(np.uint64)
+    at = ends - width
+    at += np.repeat(8 * first_byte - (np.cumsum(bits) - bits), counts)
+    aligned = codes.astype(np.uint64) << (64 - np.maximum(lengths, 1)).astype(np.uint64)
+    value = aligned[ids] >> (at & 31).view(np.uint64)
     word = at >> 5
     starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
     words = np.zeros(int(word[-1]) + 2, np.uint64)
@@ -127,18 +129,18 @@ def pack(ids: np.ndarray, counts: np.ndarray, lengths: np.ndarray, codes: np.nda
     words[word[starts]] += np.add.reduceat(value >> np.uint64(32), starts)
     words[word[starts] + 1] += np.add.reduceat(value & np.uint64(0xFFFFFFFF), starts)
     payload = words.astype(">u4").tobytes()[: int(size.sum())]
-    place = np.arange(len(ids)) - np.repeat(doc_end - counts, counts)
-    points = place % POINT == 0
-    return payload, first_byte, np.repeat(np.arange(len(counts)), counts)[points], inner[points]
+    lanes = -(-counts // POINT)
+    owner = np.repeat(np.arange(len(counts)), lanes)
+    nth = np.arange(len(owner)) - (np.cumsum(lanes) - lanes)[owner]
+    return payload, first_byte, owner, at[(doc_end - counts)[owner] + POINT * nth] - 8 * first_byte[owner]
 
 
-def unpack(payload: bytes, counts: np.ndarray, points: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def unpack(payload: bytes, counts: np.ndarray, points: np.ndarray, table: np.ndarray) -> np.ndarray:
     """All ids of a block, from every point side by side."""
-    ids_of, bits_of = table
-    out = np.zeros(int(counts.sum()), np.int64)
+    out = np.zeros(int(counts.sum()), np.int32)
     if not len(points):
         return out
-    data = np.frombuffer(payload + b"\0\0\0", np.uint8).astype(np.int64)
+    data = np.frombuffer(payload + b"\0\0\0", np.uint8).astype(np.int32)
     window = data[:-2] << 16 | data[1:-1] << 8 | data[2:]
     lanes = -(-counts // POINT)
     nth = np.arange(len(points)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
@@ -153,32 +155,39 @@ def unpack(payload: bytes, counts: np.ndarray, points: np.ndarray, table: tuple[
         if not n:
             break
         now = at[:n]
-        code = window[now >> 3] >> (8 - (now & 7)) & 0xFFFF
-        out[to[:n] + step] = ids_of[code]
-        at[:n] = now + bits_of[code]
+        found = table[window[now >> 3] >> (8 - (now & 7)) & 0xFFFF]
+        out[to[:n] + step] = found >> 5
+        now += found & 31
     return out
 
 
 # ---- jobs ---------------------------------------------------------------------------------
 
 
-def tokenize(docs: DataFrame, vocabulary: str, end_id: int, text: str, doc_id: str) -> DataFrame:
-    """doc_id, n, ids (little-endian 16-bit, or 32-bit for larger vocabularies), end id included."""
+@lru_cache(maxsize=1)
+def _loaded(vocabulary: str) -> ChunkCache:
+    """Once per worker process: the library's tokenizer behind a cache that serves all its tasks."""
+    from tokenizers import Tokenizer
 
-    def build():
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    model = Tokenizer.from_file(vocabulary).model
+    symbols = dict(enumerate(byte_symbols()))
 
-        tokenizer = Tokenizer.from_file(vocabulary)
-        tokenizer.no_padding()
-        tokenizer.no_truncation()
+    def encode_many(pieces):
+        # in byte-level vocabularies printable ASCII stands for itself
+        shown = [p if p.isascii() else p.encode().decode("latin-1").translate(symbols) for p in pieces]
+        shown = [p if p.isprintable() else p.translate(symbols) for p in shown]
+        made = [[token.id for token in model.tokenize(p)] for p in shown]
+        sizes = np.fromiter(map(len, made), np.int64, len(made))
+        return np.fromiter(chain.from_iterable(made), np.int32, int(sizes.sum())), sizes
 
-        def encode_many(chunks):
-            made = [e.ids for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, made), np.int64, len(made))
-            return np.fromiter((i for ids in made for i in ids), np.int32, int(sizes.sum())), sizes
+    return ChunkCache(Cutter(read_spec(vocabulary)), encode_many)
 
-        cache = ChunkCache(encode_many)
+
+def tokenize(docs: DataFrame, vocabulary: str, end_id: int, text: str, doc_id: str) -> DataFrame:
+    """doc_id, n, ids (little-endian 16-bit, or 32-bit for larger vocabularies), end id included."""
+
+    def build():
+        cache = _loaded(vocabulary)
 
         def step(rows):
             flat, counts = cache.encode(rows["text"])
