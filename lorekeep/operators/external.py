@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.functions.encodings import query_decode
@@ -106,207 +104,75 @@ def dead_links(links: DataFrame, checks: DataFrame) -> DataFrame:
 
 # ---- URL rewriting ------------------------------------------------------------------------
 
+# Landed rule tables. ``host`` is a host or a parent domain, NULL for rules tried on every URL;
+# ``pattern`` matches the whole URL and ``$1`` in ``replacement`` is its first group. Of the rules
+# that match, the one with the smallest ``priority`` decides.
+URL_RULES = "priority int, host string, pattern string, replacement string, lower boolean, summary string"
+LINK_RULES = "priority int, host string, pattern string, label string, prefix string, replacement string"
+
+
+def read_rules(spark: SparkSession, path: str, schema: str = URL_RULES) -> DataFrame:
+    """Rules landed as JSON lines."""
+    return spark.read.schema(schema).json(path)
+
 
-class UrlRule(NamedTuple):
-    """Whole-URL pattern and replacement (``$1`` for the first group)."""
-
-    summary: str
-    pattern: str
-    replacement: str
-    lower: bool = False
-
-
-# fixed values: rewriting rules for public sites
-PUBLIC_RULES = [
-    UrlRule("drop language codes from add-on links", r"https?://addons\.(?:mozilla\.org|thunderbird\.net)/[^/]+?/(firefox|android)(.+)?",
-            "https://addons.mozilla.org/$1$2"),
-    UrlRule("drop language codes from add-on links", r"https?://addons\.(?:mozilla\.org|thunderbird\.net)/[^/]+?/(thunderbird|seamonkey)(.+)?",
-            "https://addons.thunderbird.net/$1$2"),
-    UrlRule("mail client add-ons have their own site", r"https?://addons\.mozilla\.org/(thunderbird|seamonkey)(.+)?",
-            "https://addons.thunderbird.net/$1$2"),
-    UrlRule("link to the HTML kernel documentation", r"https?://(?:www\.)?kernel.org/doc/Documentation(/.+?)(?:\.txt|\.rst)",
-            "https://docs.kernel.org$1.html"),
-    UrlRule("link to the HTML kernel documentation", r"https?://(?:www\.)?kernel.org/doc/Documentation(/.+?)",
-            "https://docs.kernel.org$1"),
-    UrlRule("link to docs.kernel.org", r"https?://(?:www\.)?kernel\.org/doc/html/[^/]+(/.*)?", "https://docs.kernel.org$1"),
-    UrlRule("wireless documentation moved", r"https?://(?:(?:www\.)?linuxwireless|wireless\.kernel)\.org/([^#]*)(#.+)?",
-            "https://wireless.wiki.kernel.org/$1$2", lower=True),
-    UrlRule("drop user ids from short links to answers",
-            r"https?://((?:\w+\.)?stackexchange\.com|stackoverflow\.com|askubuntu\.com|serverfault\.com|superuser\.com|mathoverflow\.net)/a/(\d+)/\d+",
-            "https://$1/a/$2"),
-    UrlRule("use ircs where the network supports it",
-            r"ircs?://(\w+\.freenode\.net|irc\.libera\.chat|irc\.oftc\.net|irc\.rizon\.net|irc\.azzurra\.org)(/.*)?",
-            "ircs://$1$2"),
-]
-
-
-def site_rules(domain: str, git_group: str, channels: str | None = None) -> list[UrlRule]:
-    """Rewriting rules for one site's own old addresses; put them before the public ones.
-
-    ``domain`` is the site's bare domain and ``git_group`` its group on the git
-    host; ``channels`` is a pattern of chat channels that moved networks.
+def _with_rules(urls: DataFrame, rules: DataFrame, text: str) -> DataFrame:
+    """Rows of ``urls`` with each rule that matches ``text``; ``_whole`` is the rule's whole-URL pattern.
+
+    An equi join on the host and its parent domains, so a URL meets only the rules of
+    its own site and those without a host.
     """
-    d = domain.replace(".", r"\.")
-    site = rf"https?://(?:www\.)?{d}"
-    git = rf"https?://(?:projects|git)\.{d}"
-    old_lists = rf"https?://(?:lists\.|mailman\.|www\.)?{d}"
-    rules = [
-        UrlRule("people pages moved", rf"{site}/developers/(#.+)?", f"https://{domain}/people/developers/$1"),
-        UrlRule("people pages moved", rf"{site}/fellows/(#.+)?", f"https://{domain}/people/developer-fellows/$1"),
-        UrlRule("people pages moved", rf"{site}/trustedusers/(#.+)?", f"https://{domain}/people/trusted-users/$1"),
-        UrlRule("mailing lists moved", rf"{old_lists}(?:/mailman)?//?listinfo(/[\w-]+)/?",
-                f"https://lists.{domain}/mailman3/lists$1.lists.{domain}/"),
-        UrlRule("mailing lists moved", rf"{old_lists}(?:/mailman)?//?listinfo/?", f"https://lists.{domain}/mailman3/lists/"),
-        UrlRule("list archives moved", rf"{old_lists}/pipermail(/[\w-]+)/?",
-                f"https://lists.{domain}/archives/list$1@lists.{domain}/"),
-        UrlRule("list archives moved", rf"{old_lists}/pipermail/?", f"https://lists.{domain}/archives/"),
-        UrlRule("ancient script pages", rf"{site}/(.+?)\.php", f"https://{domain}/$1/"),
-        UrlRule("drop the www prefix", rf"https?://www\.{d}(/.*)?", f"https://{domain}$1"),
-        UrlRule("drop script names", rf"https?://aur\.{d}/index\.php/?(.*)", f"https://aur.{domain}/$1"),
-        UrlRule("drop script names", rf"https?://aur\.{d}/(packages|rpc)\.php/?(.*)", f"https://aur.{domain}/$1$2"),
-        UrlRule("package repositories moved",
-                rf"{git}/svntogit/(packages|community)\.git/commit/([^?]*/[^?]*?)(?:\?h=[^&#?]+?)?[&?]id=([0-9A-Fa-f]+)",
-                f"https://github.com/{git_group}/svntogit-$1/commit/$3/$2"),
-        UrlRule("package repositories moved",
-                rf"{git}/svntogit/(packages|community)\.git/commit/[^?/]*(?:\?h=[^&#?]+?)?[&?]id=([0-9A-Fa-f]+)",
-                f"https://github.com/{git_group}/svntogit-$1/commit/$2"),
-    ]
-    for old, new in (("tree", "blob"), ("plain", "raw"), ("log", "commits")):
-        start = rf"{git}/svntogit/(packages|community)\.git/{old}/"
-        line = r"(?:#n(\d+))"
-        for tail, mark in ((line, "#L"), ("", "")):
-            target = f"https://github.com/{git_group}/svntogit-$1/{new}/"
-            rules += [
-                UrlRule("package repositories moved", rf"{start}([^?]+?)(?:\?h=[^&#?]+?)?[&?]id=([0-9A-Fa-f]+){tail}",
-                        target + "$3/$2" + (mark + "$4" if mark else "")),
-                UrlRule("package repositories moved", rf"{start}([^?]+?)\?h=([^&#?]+?){tail}",
-                        target + "$3/$2" + (mark + "$4" if mark else "")),
-                UrlRule("package repositories moved", rf"{start}(packages[^?#]*?){tail}",
-                        target + "$2" + (mark + "$3" if mark else "")),
-                UrlRule("package repositories moved", rf"{start}([^?#]+?){tail}",
-                        target + "packages/$2" + (mark + "$3" if mark else "")),
-            ]
-    rules.append(UrlRule("package repositories moved", rf"{git}/svntogit/(packages|community)\.git(?:/tree)?/?",
-                         f"https://github.com/{git_group}/svntogit-$1"))
-    if channels:
-        rules.append(UrlRule("channels moved networks", rf"ircs?://\w+\.freenode\.net(?:/#|/|#)({channels})",
-                             "ircs://irc.libera.chat/$1"))
-    return rules
-
-
-def project_rules(domain: str, targets: dict[str, str], branch: str = "master") -> list[UrlRule]:
-    """Old git addresses of single projects; ``targets`` maps a project to its new address."""
-    start = rf"https?://(?:projects|git)\.{domain.replace('.', chr(92) + '.')}"
-    summary = "project repositories moved"
-    rules = []
-    for project, new in targets.items():
-        old = rf"{start}/{project.replace('.', chr(92) + '.')}\.git"
-        for kind, name in (("commit", "commit"), ("tree", "tree"), ("plain", "raw"), ("log", "commits")):
-            path, version = r"(?:/|(/[^?#]+?))?", r"(?:\?h=[^&#?]+?)?[&?]id=([0-9A-Fa-f]+)"
-            for tail, mark in ((r"#n(\d+)", "#L$3"), ("", "")):
-                rules += [
-                    UrlRule(summary, rf"{old}/{kind}{path}{version}{tail}", f"{new}/{name}/$2$1{mark}"),
-                    UrlRule(summary, rf"{old}/{kind}{path}\?h=([^&#?]+?){tail}", f"{new}/{name}/$2$1{mark}"),
-                ]
-            rules += [
-                UrlRule(summary, rf"{old}/{kind}(?:/|(/[^?#]+?))#n(\d+)", f"{new}/{name}/{branch}$1#L$2"),
-                UrlRule(summary, rf"{old}/{kind}(?:/|(/[^?#]+?))", f"{new}/{name}/{branch}$1"),
-                UrlRule(summary, rf"{old}/{kind}", f"{new}/{name}"),
-            ]
-        rules.append(UrlRule(summary, rf"{old}(?:/[^?#]*)?", new))
-    return rules
-
-
-def moved_repository_rules(old: str, targets: dict[str, str]) -> list[UrlRule]:
-    """Repositories that moved from ``old`` to the addresses in ``targets``, with commits."""
-    base = "https?://" + old.replace(".", r"\.")
-    rules = []
-    for name, new in targets.items():
-        repo = f"{base}/" + name.replace(".", r"\.")
-        rules += [
-            UrlRule("repository moved", rf"{repo}(\.git)?", f"{new}$1"),
-            UrlRule("repository moved", rf"{repo}(?:\.git)?/commit/([0-9A-Fa-f]+)", f"{new}/commit/$1"),
-        ]
-    return rules
-
-
-def rewrite_url(url: Column, rules: list[UrlRule] = PUBLIC_RULES) -> Column:
-    """``struct(url, summary)`` of the first rule that matches the whole URL, else NULL.
-
-    The rules are folded into one expression, so no join is needed; a rule that
-    yields the same URL ends the search without a change.
+    host = F.lower(F.regexp_extract("url", r"^[A-Za-z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    keyed = urls.withColumn("_host", F.explode(F.array_union(F.array(F.lit("")), host_suffixes(host))))
+    whole = F.concat(F.lit("^(?:"), "pattern", F.lit(")$"))
+    known = rules.withColumns({"_host": F.coalesce(F.lower("host"), F.lit("")), "_whole": whole})
+    return keyed.join(known, "_host").where(F.rlike(text, F.col("_whole")))
+
+
+def rewrite_urls(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """``url, new_url, summary`` of every distinct URL that a rule changes.
+
+    A rule that yields the same URL ends the search without a change. Each distinct
+    URL is tried once, whatever the number of links to it.
     """
-    out = None
-    for rule in rules:
-        pattern = f"^(?:{rule.pattern})$"
-        new = F.regexp_replace(url, pattern, rule.replacement)
-        new = F.lower(new) if rule.lower else new
-        value = F.struct(new.alias("url"), F.lit(rule.summary).alias("summary"))
-        out = F.when(url.rlike(pattern), value) if out is None else out.when(url.rlike(pattern), value)
-    return F.when(out["url"] != url, out)
-
-
-class LinkRule(NamedTuple):
-    """Replacement of a whole link. ``text`` tells which link texts qualify:
-    ``any``, ``none`` (no text), ``bare`` (no brackets), or ``same`` (equal to the
-    group numbered ``group``, without regard to case). ``{1}`` is a URL group and
-    ``{text}`` the link text."""
-
-    pattern: str
-    text: str
-    replacement: str
-    group: int = 1
-
-
-# fixed values: interwiki forms of encyclopedia links
-ENCYCLOPEDIA_RULES = [
-    LinkRule(r"https?://en\.wikipedia\.org/wiki/([^\]?]+)", "any", "[[Wikipedia:{1}|{text}]]"),
-    LinkRule(r"https?://en\.wikipedia\.org/wiki/([^\]?]+)", "none", "[[Wikipedia:{1}]]"),
-    LinkRule(r"https?://([a-z]+?)\.wikipedia\.org/wiki/([^\]?]+)", "any", "[[Wikipedia:{1}:{2}|{text}]]"),
-    LinkRule(r"https?://([a-z]+?)\.wikipedia\.org/wiki/([^\]?]+)", "none", "[[Wikipedia:{1}:{2}]]"),
-]
-
-
-def package_link_rules(domain: str) -> list[LinkRule]:
-    """Templates for links to a distribution's packages, user packages and bugs."""
-    d = domain.replace(".", r"\.")
-    repo = rf"https?://(?:www\.)?{d}/packages/[\w-]+/(?:any|i686|x86_64)/([a-zA-Z0-9@._+-]+)/?"
-    user = rf"https?://aur\.{d}/packages/([a-zA-Z0-9@._+-]+)/?"
-    bug = rf"https://bugs\.{d}/task/(\d+)"
-    return [
-        LinkRule(bug, "bug", "{{Bug|{1}}}"),
-        LinkRule(bug, "bare", "{{Bug|{1}}}"),
-        LinkRule(repo, "same", "{{Pkg|{1}}}"),
-        LinkRule(repo, "none", "{{Pkg|{1}}}"),
-        LinkRule(user, "same", "{{AUR|{1}}}"),
-        LinkRule(user, "none", "{{AUR|{1}}}"),
-    ]
-
-
-def replace_link(url: Column, text: Column, brackets: Column, rules: list[LinkRule]) -> Column:
-    """Wikitext that replaces an external link, NULL when no rule applies; first rule wins."""
-    plain = query_decode(url)
-    out = None
-    for rule in rules:
-        pattern = f"^(?:{rule.pattern})$"
-        group = lambda i, p=pattern: F.regexp_extract(plain, p, i)
-        condition = {
-            "any": text.isNotNull(), "none": text.isNull(), "bare": text.isNull() & ~brackets,
-            "same": F.lower(F.trim(text)) == F.lower(group(rule.group)),
-            "bug": F.regexp_replace(F.trim(text), "^(FS|flyspray) *#?", "") == group(1),
-        }[rule.text]
-        if rule.text == "bug":
-            condition = condition & F.trim(text).rlike("^(FS|flyspray) *#?")
-        pieces: list[Column] = []
-        rest = rule.replacement
-        for mark, value in (("{1}", group(1)), ("{2}", group(2) if "{2}" in rule.replacement else None), ("{text}", text)):
-            if mark in rest:
-                head, rest = rest.split(mark, 1)
-                pieces += [F.lit(head), value]
-        value = F.concat(*pieces, F.lit(rest))
-        hit = plain.rlike(pattern) & F.coalesce(condition, F.lit(False))
-        out = F.when(hit, value) if out is None else out.when(hit, value)
-    return out
+    hits = _with_rules(urls.select("url").where("url is not null").distinct(), rules, "url")
+    new = F.regexp_replace("url", F.col("_whole"), F.col("replacement"))
+    new = F.when(F.col("lower"), F.lower(new)).otherwise(new)
+    first = hits.groupBy("url").agg(F.min(F.struct("priority", new.alias("new_url"), "summary")).alias("_rule"))
+    return first.select("url", "_rule.new_url", "_rule.summary").where("new_url <> url")
+
+
+def replace_links(links: DataFrame, rules: DataFrame) -> DataFrame:
+    """External links that a rule turns into other wikitext: the columns of ``links`` and ``replacement``.
+
+    ``links`` has ``url, text, brackets`` (``text`` is NULL without a link text). The
+    rule's ``label`` tells which link texts qualify: ``any``, ``none``, ``bare`` (no
+    text and no brackets), or ``same``: the text without the pattern ``prefix`` equals
+    the first group of the decoded URL, without regard to case. ``{text}`` in a
+    replacement is the link text.
+    """
+    key = ["url", "text", "brackets"]
+    wanted = links.select(*key).distinct().withColumn("_plain", query_decode(F.col("url")))
+    prefix = F.concat(F.lit("^(?:"), F.coalesce("prefix", F.lit("")), F.lit(")"))
+    text = F.trim("text")
+    same = F.rlike(text, prefix) & (
+        F.lower(F.regexp_replace(text, prefix, F.lit(""))) == F.lower(F.expr("regexp_extract(_plain, _whole, 1)"))
+    )
+    fits = (
+        F.when(F.col("label") == "any", F.col("text").isNotNull())
+        .when(F.col("label") == "none", F.col("text").isNull())
+        .when(F.col("label") == "bare", F.col("text").isNull() & ~F.col("brackets"))
+        .when(F.col("label") == "same", same)
+    )
+    pieces = F.transform(
+        F.split("replacement", r"\{text\}"), lambda piece: F.regexp_replace("_plain", F.col("_whole"), piece)
+    )
+    value = F.call_function("array_join", pieces, F.coalesce("text", F.lit("")))
+    hits = _with_rules(wanted, rules, "_plain").where(fits)
+    first = hits.groupBy(*key).agg(F.min(F.struct("priority", value.alias("replacement"))).alias("_rule"))
+    found = first.select(*[F.col(x).alias("_" + x) for x in key], "_rule.replacement")
+    on = [F.col(x).eqNullSafe(F.col("_" + x)) for x in key]
+    return links.join(found, on).drop(*["_" + x for x in key])
 
 
 def site_links(cat: Catalog, links: DataFrame, base: str) -> DataFrame:

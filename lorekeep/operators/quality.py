@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Callable, Collection
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lorekeep.functions.encodings import dot_encode, url_decode
 from lorekeep.functions.langs import (
     language_of_tag, localized_title, pure_title, tag_of_language, title_language,
 )
 from lorekeep.functions.text import count_capitalized, is_struck_through, word_count
-from lorekeep.functions.titles import article_space, computed_once, parse_titles, prefixed
+from lorekeep.functions.titles import article_space, parse_titles, prefixed
 from lorekeep.operators import common as c
 from lorekeep.operators.families import CONTENT_NAMESPACES
 from lorekeep.sources.catalog import Catalog
@@ -330,37 +327,26 @@ def broken_section_links(cat: Catalog, links: DataFrame, resolved: DataFrame) ->
     )
 
 
-def _closest(anchor: str, anchors: list[str]) -> str | None:
-    """The anchor that is similar enough and clearly ahead of the others."""
-    matcher = difflib.SequenceMatcher(a=anchor)
-    scored = []
-    for other in anchors:
-        matcher.set_seq2(other)
-        if matcher.real_quick_ratio() >= 0.8 and matcher.ratio() >= 0.8:
-            scored.append((matcher.ratio(), other))
-    scored.sort(key=lambda x: x[0], reverse=True)
-    if len(scored) == 1 or (len(scored) > 1 and scored[0][0] - scored[1][0] > 0.2):
-        return scored[0][1]
-    return None
-
-
-@F.pandas_udf(T.StringType())
-def closest_anchor(anchor: pd.Series, anchors: pd.Series) -> pd.Series:
-    return pd.Series([None if many is None else _closest(one, list(many)) for one, many in zip(anchor, anchors)])
-
-
 def anchor_suggestions(cat: Catalog, broken: DataFrame) -> DataFrame:
-    """Similar anchors for broken section links: each distinct anchor is scored once.
+    """The similar anchor of the same page for broken section links.
 
-    The anchors of one page come from one page text, so their array is small.
+    Similarity is one minus the edit distance over the longer length. Only an anchor
+    that alone reaches 0.8 is suggested: a second one at 0.8 or more could never be
+    more than 0.2 behind the first. The anchors of one page come from one page text,
+    so their array is small; each distinct broken anchor is scored once.
     """
     anchors = cat["section"].groupBy(F.col("sec_page").alias("target_page")).agg(F.collect_set("sec_anchor").alias("anchors"))
     wanted = broken.where("not via_section").select("target_page", "anchor").distinct()
+
+    def similar(other: Column) -> Column:
+        longer = F.greatest(F.length("anchor"), F.length(other))
+        return 5 * F.levenshtein("anchor", other) <= longer
+
     scored = wanted.join(anchors, "target_page").select(
-        "target_page", "anchor", closest_anchor("anchor", "anchors").alias("_closest")
+        "target_page", "anchor", F.filter("anchors", similar).alias("_similar")
     )
-    scored = computed_once(scored, suggestion=F.col("_closest")).drop("_closest")
-    return broken.join(scored.where("suggestion is not null"), ["target_page", "anchor"])
+    scored = scored.where(F.size("_similar") == 1).select("target_page", "anchor", F.col("_similar")[0].alias("suggestion"))
+    return broken.join(scored, ["target_page", "anchor"])
 
 
 # ---- packages -----------------------------------------------------------------------------

@@ -268,91 +268,96 @@ def dead_links(cat):
 
 
 # URLs of the shapes the rewriting rules look for, one per part
-_REWRITABLE = """(select p_partkey as id, (case p_partkey % 12
-    when 0 then 'https://addons.mozilla.org/en-US/firefox/addon/a' || cast(p_partkey as string)
-    when 1 then 'http://addons.mozilla.org/thunderbird/b' || cast(p_partkey as string)
-    when 2 then 'https://www.kernel.org/doc/Documentation/x/' || cast(p_partkey as string) || '.txt'
-    when 3 then 'http://kernel.org/doc/html/v5.1/y' || cast(p_partkey as string)
-    when 4 then 'http://linuxwireless.org/En/Users#Top' || cast(p_partkey as string)
-    when 5 then 'https://stackoverflow.com/a/' || cast(p_partkey as string) || '/77'
-    when 6 then 'irc://irc.libera.chat/room' || cast(p_partkey as string)
-    when 7 then 'https://www.example.org/about' || cast(p_partkey as string)
-    when 8 then 'https://git.example.org/svntogit/packages.git/tree/trunk/f' || cast(p_partkey as string) || '?h=main#n12'
-    when 9 then 'http://mailman.example.org/mailman/listinfo/list' || cast(p_partkey as string)
-    when 10 then 'https://addons.mozilla.org/firefox/addon/a' || cast(p_partkey as string)
-    else 'https://other.example.com/' || cast(p_partkey as string) end) as url from @part)"""
-_NEW = r"""(case id % 12
-    when 0 then 'https://addons.mozilla.org/firefox/addon/a' || id
-    when 1 then 'https://addons.thunderbird.net/thunderbird/b' || id
-    when 2 then 'https://docs.kernel.org/x/' || id || '.html'
-    when 3 then 'https://docs.kernel.org/y' || id
-    when 4 then 'https://wireless.wiki.kernel.org/en/users#top' || id
-    when 5 then 'https://stackoverflow.com/a/' || id
-    when 6 then 'ircs://irc.libera.chat/room' || id
-    when 7 then 'https://example.org/about' || id
-    when 8 then 'https://github.com/group/svntogit-packages/blob/main/trunk/f' || id || '#L12'
-    when 9 then 'https://lists.example.org/mailman3/lists/list' || id || '.lists.example.org/' end)"""
+_REWRITABLE = """(select p_partkey as id, (case p_partkey % 8
+    when 0 then 'https://forum.example.org/en/topic/' || cast(p_partkey as string) || '?page=2'
+    when 1 then 'http://www.example.org/about' || cast(p_partkey as string)
+    when 2 then 'http://www.example.org/old/Doc' || cast(p_partkey as string)
+    when 3 then 'ftp://Files.example.net/pub/' || cast(p_partkey as string)
+    when 4 then 'https://talk.example.org/t/' || cast(p_partkey as string)
+    when 5 then 'https://other.example.com/' || cast(p_partkey as string) || '?utm_source=a'
+    when 6 then 'https://other.example.com/' || cast(p_partkey as string)
+    else 'no address ' || cast(p_partkey as string) end) as url from @part)"""
+_NEW = r"""(case id % 8
+    when 0 then 'https://talk.example.org/t/' || id
+    when 1 then 'https://example.org/about' || id
+    when 2 then 'https://docs.example.org/doc' || id
+    when 3 then 'https://files.example.net/pub/' || id
+    when 5 then 'https://other.example.com/' || id end)"""
+_URL_RULES = r"""select * from values
+    (1, 'forum.example.org', r'https?://forum\.example\.org/[a-z]{2}/topic/(\d+)(\?.*)?', 'https://talk.example.org/t/$1', false, 'forum moved'),
+    (2, 'example.org', r'https?://www\.example\.org/old/(.*)', 'https://docs.example.org/$1', true, 'documents moved'),
+    (3, 'example.org', r'https?://www\.example\.org(/.*)?', 'https://example.org$1', false, 'bare domain'),
+    (4, 'talk.example.org', r'https?://talk\.example\.org/(.*)', 'https://talk.example.org/$1', false, 'encrypted talk'),
+    (5, 'example.net', r'ftp://(?i:files)\.example\.net/(.*)', 'https://files.example.net/$1', false, 'no file transfer'),
+    (6, null, r'(.*)[?&]utm_source=[^&#]*', '$1', false, 'tracking')
+  as rules(priority, host, pattern, replacement, lower, summary)"""
 
 
 @query("x16_rewritten_urls", f"select id, url, {_NEW} as new_url from {_REWRITABLE} u")
 def rewritten_urls(cat):
-    rules = E.site_rules("example.org", "group") + E.PUBLIC_RULES
     urls = cat.sql(f"select * from {_REWRITABLE}")
-    return urls.select("id", "url", E.rewrite_url(F.col("url"), rules)["url"].alias("new_url"))
+    found = E.rewrite_urls(urls, cat.sql(_URL_RULES))
+    return urls.join(found, "url", "left").select("id", "url", "new_url")
 
 
 @query("w16_first_rule", f"""
-  select case id % 12 when 0 then 'drop language codes from add-on links' when 1 then 'mail client add-ons have their own site'
-    when 2 then 'link to the HTML kernel documentation' when 3 then 'link to docs.kernel.org'
-    when 4 then 'wireless documentation moved' when 5 then 'drop user ids from short links to answers'
-    when 6 then 'use ircs where the network supports it' when 7 then 'drop the www prefix'
-    when 8 then 'package repositories moved' when 9 then 'mailing lists moved' end as summary, count(*) as urls
+  select case id % 8 when 0 then 'forum moved' when 1 then 'bare domain' when 2 then 'documents moved'
+    when 3 then 'no file transfer' when 5 then 'tracking' end as summary, count(*) as urls
   from {_REWRITABLE} u group by 1""")
 def first_rule(cat):
-    rules = E.site_rules("example.org", "group") + E.PUBLIC_RULES
     urls = cat.sql(f"select * from {_REWRITABLE}")
-    picked = urls.select(E.rewrite_url(F.col("url"), rules)["summary"].alias("summary"))
-    return picked.groupBy("summary").agg(F.count(F.lit(1)).alias("urls"))
+    found = E.rewrite_urls(urls, cat.sql(_URL_RULES))
+    return urls.join(found, "url", "left").groupBy("summary").agg(F.count(F.lit(1)).alias("urls"))
+
+
+_PAGE_RULES = r"""select * from values
+    (1, null, r'.*[?&]utm_.*', 't', false, 'tracking'), (2, null, r'.*\?.*', 'q', false, 'query'),
+    (3, null, '.*#.*', 'f', false, 'fragment'), (4, null, 'http:.*', 'p', false, 'plain')
+  as rules(priority, host, pattern, replacement, lower, summary)"""
 
 
 @query("j14_rule_join", r"""
   select page_id, url, case when regexp_matches(url, '[?&]utm_') then 'tracking' when regexp_matches(url, '[?]') then 'query'
     when regexp_matches(url, '#') then 'fragment' when regexp_matches(url, '^http:') then 'plain' end as rule from @pages""")
 def rule_join(cat):
-    rules = [
-        E.UrlRule("tracking", r".*[?&]utm_.*", "t"), E.UrlRule("query", r".*\?.*", "q"),
-        E.UrlRule("fragment", r".*#.*", "f"), E.UrlRule("plain", r"http:.*", "p"),
-    ]
-    return cat["pages"].select("page_id", "url", E.rewrite_url(F.col("url"), rules)["summary"].alias("rule"))
-
-
-_LINKED = """(select p_partkey as id, (case p_partkey % 6
-    when 0 then 'https://en.wikipedia.org/wiki/Topic_' || cast(p_partkey as string)
-    when 1 then 'https://de.wikipedia.org/wiki/Thema_' || cast(p_partkey as string)
-    when 2 then 'https://bugs.example.org/task/' || cast(p_partkey as string)
-    when 3 then 'https://www.example.org/packages/extra/x86_64/pkg' || cast(p_partkey as string) || '/'
-    when 4 then 'https://aur.example.org/packages/u' || cast(p_partkey as string)
-    else 'https://www.example.net/' || cast(p_partkey as string) end) as url,
-   (case when p_partkey % 4 = 0 then null when p_partkey % 6 = 2 then 'FS #' || cast(p_partkey as string)
-         when p_partkey % 6 = 3 then 'Pkg' || cast(p_partkey as string) else p_name end) as text,
+    found = E.rewrite_urls(cat["pages"], cat.sql(_PAGE_RULES))
+    return cat["pages"].join(found, "url", "left").select("page_id", "url", F.col("summary").alias("rule"))
+
+
+_LINKED = """(select p_partkey as id, (case p_partkey % 5
+    when 0 then 'https://lexicon.example.net/en/Topic%20' || cast(p_partkey as string)
+    when 1 then 'https://lexicon.example.net/de/Thema_' || cast(p_partkey as string)
+    when 2 then 'https://issues.example.org/' || cast(p_partkey as string)
+    when 3 then 'https://www.example.org/parts/part' || cast(p_partkey as string) || '/'
+    else 'https://www.example.com/' || cast(p_partkey as string) end) as url,
+   (case when p_partkey % 4 = 0 then null when p_partkey % 5 = 2 then 'issue #' || cast(p_partkey as string)
+         when p_partkey % 5 = 3 then 'Part' || cast(p_partkey as string) else p_name end) as text,
    p_partkey % 8 <> 4 as brackets from @part)"""
+_LINK_RULES = r"""select * from values
+    (1, 'lexicon.example.net', 'https://lexicon.example.net/en/(.+)', 'any', null, '[[Lexicon:$1|{text}]]'),
+    (2, 'lexicon.example.net', 'https://lexicon.example.net/en/(.+)', 'none', null, '[[Lexicon:$1]]'),
+    (3, 'lexicon.example.net', 'https://lexicon.example.net/([a-z]+)/(.+)', 'any', null, '[[Lexicon:$1:$2|{text}]]'),
+    (4, 'lexicon.example.net', 'https://lexicon.example.net/([a-z]+)/(.+)', 'none', null, '[[Lexicon:$1:$2]]'),
+    (5, 'issues.example.org', r'https://issues\.example\.org/(\d+)', 'same', '(?i)issue *#?', '{{Issue|$1}}'),
+    (6, 'issues.example.org', r'https://issues\.example\.org/(\d+)', 'bare', null, '{{Issue|$1}}'),
+    (7, 'example.org', r'https://www\.example\.org/parts/(\w+)/?', 'same', null, '{{Part|$1}}'),
+    (8, 'example.org', r'https://www\.example\.org/parts/(\w+)/?', 'none', null, '{{Part|$1}}')
+  as rules(priority, host, pattern, label, prefix, replacement)"""
 
 
 @query("x17_replaced_links", f"""
   select id, case
-    when id % 6 = 0 and text is not null then '[[Wikipedia:Topic_' || id || '|' || text || ']]'
-    when id % 6 = 0 then '[[Wikipedia:Topic_' || id || ']]'
-    when id % 6 = 1 and text is not null then '[[Wikipedia:de:Thema_' || id || '|' || text || ']]'
-    when id % 6 = 1 then '[[Wikipedia:de:Thema_' || id || ']]'
-    when id % 6 = 2 and (text is not null or not brackets) then '{{{{Bug|' || id || '}}}}'
-    when id % 6 = 3 then '{{{{Pkg|pkg' || id || '}}}}'
-    when id % 6 = 4 and text is null then '{{{{AUR|u' || id || '}}}}' end as replacement
+    when id % 5 = 0 and text is not null then '[[Lexicon:Topic ' || id || '|' || text || ']]'
+    when id % 5 = 0 then '[[Lexicon:Topic ' || id || ']]'
+    when id % 5 = 1 and text is not null then '[[Lexicon:de:Thema_' || id || '|' || text || ']]'
+    when id % 5 = 1 then '[[Lexicon:de:Thema_' || id || ']]'
+    when id % 5 = 2 and (text is not null or not brackets) then '{{{{Issue|' || id || '}}}}'
+    when id % 5 = 3 then '{{{{Part|part' || id || '}}}}' end as replacement
   from {_LINKED} l""")
 def replaced_links(cat):
-    rules = E.ENCYCLOPEDIA_RULES + E.package_link_rules("example.org")
     links = cat.sql(f"select * from {_LINKED}")
-    new = E.replace_link(F.col("url"), F.col("text"), F.col("brackets"), rules)
-    return links.select("id", new.alias("replacement"))
+    found = E.replace_links(links, cat.sql(_LINK_RULES)).select("id", "replacement")
+    return links.select("id").join(found, "id", "left")
 
 
 @query("x18_site_links", """
@@ -380,7 +385,7 @@ def _rules(cat):
     from lorekeep.functions.urls import url_host
 
     hosts = cat["externallinks"].select(url_host(F.col("el_to")).alias("rule")).where("length(rule) % 3 = 0").distinct()
-    root = cat["externallinks"].limit(1).select(F.lit("example.org").alias("rule"), F.lit(True).alias("with_subdomains"))
+    root = cat.sql("select 'example.org' as rule, true as with_subdomains")
     return hosts.withColumn("with_subdomains", F.lit(False)).unionByName(root)
 
 

@@ -129,7 +129,12 @@ def broken_section_links(cat):
     return Q.broken_section_links(site, links, G.resolve_redirects(G.redirect_edges(site)))
 
 
-@query("j15_anchor_suggestions")
+@query("j15_anchor_suggestions", """
+  select b.page as target_page, b.anchor, min(s.sec_anchor) as suggestion
+  from (select sec_page as page, sec_number as n, translate(sec_anchor, 's', 'z') as anchor from @section) b
+  join (select distinct sec_page, sec_anchor from @section) s
+    on s.sec_page = b.page and 5 * levenshtein(b.anchor, s.sec_anchor) <= greatest(length(b.anchor), length(s.sec_anchor))
+  group by b.page, b.n, b.anchor having count(*) = 1""")
 def anchor_suggestions(cat):
     # section names of talk pages with a letter changed, looked up on the same page
     site = MemoryCatalog(cat.spark, {"section": cat["section"]})
