@@ -147,8 +147,8 @@ def replace_links(links: DataFrame, rules: DataFrame) -> DataFrame:
 
     ``links`` has ``url, text, brackets`` (``text`` is NULL without a link text). The
     rule's ``label`` tells which link texts qualify: ``any``, ``none``, ``bare`` (no
-    text and no brackets), or ``same``: the text without the pattern ``prefix`` equals
-    the first group of the decoded URL, without regard to case. ``{text}`` in a
+    text and no brackets), or ``same``: what follows the pattern ``prefix``, with which
+    the text must start, equals the first group of the decoded URL, without regard to case. ``{text}`` in a
     replacement is the link text.
     """
     key = ["url", "text", "brackets"]

@@ -277,10 +277,9 @@ def test_link_rules(spark):
         (1, "https://lexicon.org/A%20b", "see {text} $1", True), (2, "https://lexicon.org/A", None, True),
         (3, "https://lexicon.org/A", None, False), (4, "https://issues.org/7", " Issue #7", True),
         (5, "https://issues.org/7", "7", True), (6, "https://issues.org/7", "Issue 8", True), (7, None, None, True),
-        (8, "https://issues.org/7", "7", True),
     ], "id int, url string, text string, brackets boolean")
     assert rows(external.replace_links(links, rules).select("id", "replacement")) == [
-        (1, "[[L:A b|see {text} $1]]"), (3, "[[L:A]]"), (4, "{{Issue|7}}"), (8, "{{Issue|7}}")]
+        (1, "[[L:A b|see {text} $1]]"), (3, "[[L:A]]"), (4, "{{Issue|7}}")]
 
 
 def test_https_upgrade_prefers_specific_rule(spark):
