@@ -1,7 +1,7 @@
 """Wikitext helpers: redirects, headings, links and plain text by regular expression.
 
-Known limits: templates nested inside links, and links inside ``nowiki`` or
-comments, are not told apart from ordinary markup.
+Links and templates inside comments, ``nowiki`` and ``pre`` are left out. Known
+limit: labels are followed to one level of links inside them.
 """
 
 from __future__ import annotations
@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 
 _REDIRECT = r"(?i)^\s*#redirect\s*:?\s*\[\[([^\[\]{}]+)\]\]"
 _HEADING = r"^((={1,6})[^\S\n]*)([^\n]+?)([^\S\n]*(\2))[^\S\n]*$"
-WIKILINK = r"\[\[([^\[\]{}|\n]+)(\|[^\[\]]*)?\]\]"
+# a label that holds links itself is not consumed, so that its links are found as well; all
+# repetitions over it are possessive, which keeps the match linear and off the stack
+WIKILINK = (
+    r"\[\[[^\[\]{}|\n]+(?:\]\]|\|[^\[\]]*+\]\]|\|(?=(?:[^\[\]]++|\[\[[^\[\]]*+\]\]|\[[^\[\]]*+\])*+\]\]))"
+)
 # not ``{{{name}}}``, which is a parameter
 TRANSCLUSION = r"(?<!\{)\{\{(?!\{)([^{}|\[\]\n<>]+)"
 _HIDDEN = r"(?is)<!--.*?-->|<(nowiki|pre)\b[^>]*>.*?</\1\s*>"
@@ -41,22 +45,25 @@ def headings(text: Column) -> Column:
     )
 
 
-def visible(text: Column) -> Column:
+def visible(text: Column, instead: str = "") -> Column:
     """Text without comments and without what ``nowiki`` and ``pre`` protect."""
-    return F.regexp_replace(text, _HIDDEN, "")
+    return F.regexp_replace(text, _HIDDEN, instead)
 
 
 def wikilinks(text: Column) -> Column:
-    """Links in order as ``array<struct<target, label>>``; label is NULL when absent."""
+    """Links in order as ``array<struct<target, label>>``.
+
+    A link comes before the links in its label. The label is NULL when absent and
+    when it holds brackets itself, as a caption with links does.
+    """
     found = F.regexp_extract_all(visible(text), F.lit(WIKILINK), F.lit(0))
-    inner = F.transform(found, lambda link: F.substring(link, F.lit(3), F.length(link) - 4))
     return F.transform(
-        inner,
+        found,
         lambda link: F.struct(
-            F.substring_index(link, "|", 1).alias("target"),
+            F.regexp_extract(link, r"^\[\[([^|\]]*)", 1).alias("target"),
             F.when(
-                F.contains(link, F.lit("|")),
-                F.substring(link, F.instr(link, "|") + 1, F.length(link)),
+                F.contains(link, F.lit("|")) & F.endswith(link, F.lit("]]")),
+                F.regexp_extract(link, r"(?s)\|(.*)\]\]$", 1),
             ).alias("label"),
         ),
     )
@@ -70,7 +77,7 @@ def transclusions(text: Column) -> Column:
 
 def external_urls(text: Column) -> Column:
     """URLs in order, without trailing punctuation."""
-    found = F.regexp_extract_all(text, F.lit(EXTERNAL_LINK), F.lit(0))
+    found = F.regexp_extract_all(visible(text, " "), F.lit(EXTERNAL_LINK), F.lit(0))
     return F.transform(found, lambda url: F.regexp_replace(url, r"[,;.:!?')]+$", ""))
 
 

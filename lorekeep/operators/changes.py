@@ -11,7 +11,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Collection
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions.times import as_timestamp, parse_timestamp
@@ -26,15 +26,30 @@ from lorekeep.sources.schemas import (
 # ---- generic upserts ----------------------------------------------------------------------
 
 
-def upsert(old: DataFrame, new: DataFrame, key: Collection[str], overwrite: Collection[str] | None = None) -> DataFrame:
+def last_rows(new: DataFrame, key: Collection[str], sequence: str | None = None) -> DataFrame:
+    """One row per key: the last by ``sequence``; without one, or on ties, the largest row."""
+    key = list(key)
+    rest = [x for x in new.columns if x not in key]
+    if not rest:
+        return new.distinct()
+    order = [F.col(x) for x in ([sequence] if sequence else [])] + [F.struct(*rest).alias("_row")]
+    return new.groupBy(*key).agg(F.max(F.struct(*order)).alias("_last")).select(*key, "_last._row.*")
+
+
+def upsert(
+    old: DataFrame, new: DataFrame, key: Collection[str], overwrite: Collection[str] | None = None,
+    sequence: str | None = None,
+) -> DataFrame:
     """Insert new keys; for known keys overwrite the listed columns (default: all).
 
     One full outer join on the key. ``new`` may lack columns; they stay as they
-    are, or NULL in inserted rows.
+    are, or NULL in inserted rows. A key that ``new`` repeats counts once, see
+    :func:`last_rows`; ``sequence`` is a column of ``new`` that tells the order.
     """
     key = list(key)
     columns = [x for x in old.columns if x not in key]
     given = [x for x in columns if x in new.columns]
+    new = last_rows(new, key, sequence)
     overwrite = given if overwrite is None else [x for x in given if x in set(overwrite)]
     left = old.select(*key, F.struct(*columns, F.lit(True).alias("_there")).alias("_old"))
     right = new.select(*key, F.struct(*given, F.lit(True).alias("_there")).alias("_new"))
@@ -54,15 +69,21 @@ def upsert(old: DataFrame, new: DataFrame, key: Collection[str], overwrite: Coll
 
 
 def insert_ignore(old: DataFrame, new: DataFrame, key: Collection[str]) -> DataFrame:
-    """Insert rows whose key is not there yet."""
+    """Insert rows whose key is not there yet; of repeated keys in ``new`` the smallest row."""
     key = list(key)
-    fresh = new.dropDuplicates(key).join(old.select(*key), key, "left_anti")
+    rest = [x for x in new.columns if x not in key]
+    one = new.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_row")).select(*key, "_row.*") if rest else new.distinct()
+    fresh = one.join(old.select(*key), key, "left_anti")
     return old.unionByName(fresh.select(*old.columns))
 
 
-def update_column(old: DataFrame, key: str, changes: DataFrame, column: str) -> DataFrame:
-    """Overwrite one column for the keys in ``changes`` (``key, <column>``); insert nothing."""
-    new = changes.select(F.col(key), F.col(column).alias("_value"), F.lit(True).alias("_hit"))
+def update_column(old: DataFrame, key: str, changes: DataFrame, column: str, sequence: str | None = None) -> DataFrame:
+    """Overwrite one column for the keys in ``changes`` (``key, <column>``); insert nothing.
+
+    A key that ``changes`` repeats counts once, see :func:`last_rows`.
+    """
+    new = last_rows(changes, [key], sequence)
+    new = new.select(F.col(key), F.col(column).alias("_value"), F.lit(True).alias("_hit"))
     value = F.when(F.col("_hit"), F.col("_value")).otherwise(F.col(column))
     return old.join(new, key, "left").withColumn(column, value).select(*old.columns)
 
@@ -286,32 +307,42 @@ def restore_pages(cat: Catalog, titles: DataFrame) -> dict[str, DataFrame]:
 
 
 def merges(cat: Catalog, log: DataFrame) -> DataFrame:
-    """History merges: source page, target page, merge point; ``rejected`` if the source moved.
+    """History merges: event, source page, target page, merge point; ``rejected`` if the source moved.
 
     The target is known by title only, so a merge into an unknown title is rejected
-    as well. One merge per source page, the last one.
+    as well. A page may be the source of several merges.
     """
     shape = "dest_ns int, dest_title string, mergepoint string"
-    last = log.where("log_type = 'merge' and log_page is not null").groupBy("log_page").agg(
-        F.max_by("log_params", "log_id").alias("params")
-    ).select("log_page", F.from_json("params", shape).alias("p"))
+    events = log.where("log_type = 'merge' and log_page is not null").select(
+        "log_id", "log_page", F.from_json("log_params", shape).alias("p")
+    )
     moved = log.where("log_type = 'move'").select(F.col("log_page").alias("_moved")).distinct()
     page = cat["page"].select(F.col("page_id").alias("dest_page"), "page_namespace", "page_title")
-    df = last.join(
+    df = events.join(
         page, (F.col("p.dest_ns") == F.col("page_namespace")) & (F.col("p.dest_title") == F.col("page_title")), "left"
     ).join(moved, F.col("log_page") == F.col("_moved"), "left")
     return df.select(
-        F.col("log_page").alias("src_page"), "dest_page", parse_timestamp(F.col("p.mergepoint")).alias("mergepoint"),
+        "log_id", F.col("log_page").alias("src_page"), "dest_page", parse_timestamp(F.col("p.mergepoint")).alias("mergepoint"),
         (F.col("_moved").isNotNull() | F.col("dest_page").isNull()).alias("rejected"),
     )
 
 
 def apply_merges(revision: DataFrame, planned: DataFrame) -> DataFrame:
-    """Move revisions up to the merge point to the target page."""
-    good = planned.where("not rejected").select(F.col("src_page").alias("rev_page"), "dest_page", "mergepoint")
-    df = revision.join(good, "rev_page", "left")
-    page = F.when(F.col("rev_timestamp") <= F.col("mergepoint"), F.col("dest_page")).otherwise(F.col("rev_page"))
-    return df.withColumn("rev_page", page).select(*revision.columns)
+    """Move revisions up to the merge point to the target page.
+
+    The merges of a page are applied by ``log_id``: a revision goes with the first
+    one whose merge point is not before it, so each merge takes the time after the
+    largest merge point so far and no revision meets two of them.
+    """
+    so_far = Window.partitionBy("src_page").orderBy("log_id").rowsBetween(Window.unboundedPreceding, -1)
+    good = planned.where("not rejected and mergepoint is not null")
+    good = good.withColumn("_after", F.max("mergepoint").over(so_far)).where("_after is null or mergepoint > _after")
+    on = (
+        (F.col("rev_page") == F.col("src_page")) & (F.col("rev_timestamp") <= F.col("mergepoint"))
+        & (F.col("_after").isNull() | (F.col("rev_timestamp") > F.col("_after")))
+    )
+    df = revision.join(good.select("src_page", "dest_page", "mergepoint", "_after"), on, "left")
+    return df.withColumn("rev_page", F.coalesce("dest_page", "rev_page")).select(*revision.columns)
 
 
 def apply_moves(page: DataFrame, log: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lorekeep.operators import changes as C
 from lorekeep.operators import lists as L
 from lorekeep.plans.registry import query
+from lorekeep.sources.catalog import MemoryCatalog
 from lorekeep.sources.sample import TODAY
 
 
@@ -14,13 +15,14 @@ from lorekeep.sources.sample import TODAY
   select coalesce(u.user_id, n.user_id) as user_id, coalesce(u.user_name, n.user_name) as user_name,
          u.user_registration, case when n.user_id is not null then n.edits else u.user_editcount end as user_editcount
   from @users u full join (
-    select rc_user + 1000 as user_id, 'N' || (rc_user + 1000) as user_name, count(*) as edits from @recentchanges
-    where rc_user is not null group by 1) n on n.user_id = u.user_id""")
+    select rc_user + 1000 as user_id, 'N' || (rc_user + 1000) as user_name, arg_max(cast(rc_new_len as bigint), rc_id) as edits
+    from @recentchanges where rc_user is not null group by 1) n on n.user_id = u.user_id""")
 def upsert(cat):
-    landed = cat["recentchanges"].where("rc_user is not null").groupBy(
-        (F.col("rc_user") + 1000).alias("user_id")).agg(F.count(F.lit(1)).alias("user_editcount"))
+    # one landed row per change, so most keys are repeated
+    landed = cat["recentchanges"].where("rc_user is not null and rc_new_len is not null").select(
+        "rc_id", (F.col("rc_user") + 1000).alias("user_id"), F.col("rc_new_len").cast("long").alias("user_editcount"))
     landed = landed.withColumn("user_name", F.concat(F.lit("N"), F.col("user_id").cast("string")))
-    return C.upsert(cat["users"], landed, ["user_id"], ["user_editcount"])
+    return C.upsert(cat["users"], landed, ["user_id"], ["user_editcount"], sequence="rc_id")
 
 
 @query("c02_insert_ignore", "select rc_id, rc_user_text, rc_timestamp from @recentchanges")
@@ -216,11 +218,10 @@ def restored(cat):
         pick("tags", "tagged_revision", "tgrev_rev_id", "tgrev_tag_id"))
 
 
-MERGES = """(select m.log_page as src_page, p.page_id as dest_page,
+MERGES = """(select m.log_id, m.log_page as src_page, p.page_id as dest_page,
     cast(replace(json_extract_string(m.log_params, '$.mergepoint'), 'Z', '') as timestamp) as mergepoint,
     p.page_id is null or m.log_page in (select log_page from @logging where log_type = 'move' and log_page is not null) as rejected
-  from (select * from @logging where log_type = 'merge' and log_page is not null
-        qualify row_number() over (partition by log_page order by log_id desc) = 1) m
+  from (select * from @logging where log_type = 'merge' and log_page is not null) m
   left join @page p on p.page_namespace = cast(json_extract(m.log_params, '$.dest_ns') as integer)
     and p.page_title = json_extract_string(m.log_params, '$.dest_title'))"""
 
@@ -231,8 +232,11 @@ def planned_merges(cat):
 
 
 @query("c15_merged_history", f"""
-  select r.rev_id, case when r.rev_timestamp <= m.mergepoint then m.dest_page else r.rev_page end as rev_page
-  from @revision r left join (select * from {MERGES} x where not rejected) m on m.src_page = r.rev_page""")
+  select r.rev_id, coalesce(m.dest_page, r.rev_page) as rev_page
+  from @revision r left join (
+    select v.rev_id, arg_min(x.dest_page, x.log_id) as dest_page from @revision v
+    join {MERGES} x on x.src_page = v.rev_page and v.rev_timestamp <= x.mergepoint where not x.rejected group by 1) m
+  on m.rev_id = r.rev_id""")
 def merged_history(cat):
     merged = C.apply_merges(cat["revision"], C.merges(cat, cat["logging"]))
     return merged.select("rev_id", "rev_page")
@@ -455,6 +459,24 @@ def validation(cat):
     return C.validate(cat)
 
 
+_DOMAINS = """(select n_nationkey as id, n_name || '.example.org' as domain, n_nationkey % 3 <> 0 as resolved,
+    case when n_nationkey % 4 = 0 then 'expired' end as ssl_error from @nation)"""
+_CHECKS = """(select c_custkey as id, 'n' || cast(c_nationkey as string) || '.example.org' as domain_name, 'https://n'
+    || cast(c_nationkey + (case when c_custkey % 5 = 0 then 1 else 0 end) as string) || '.example.org/' || cast(c_custkey as string)
+    as url from @customer)"""
+
+
+@query("c26_link_checks", f"""
+  select 'ws_domain: ' || '{C.LINK_PREDICATES[0][1]}' as rule, 'check' as kind, count(*) as violations
+  from {_DOMAINS} d where not (resolved or ssl_error is null)
+  union all select 'ws_url_check: ' || $${C.LINK_PREDICATES[1][1]}$$, 'check', count(*)
+  from {_CHECKS} u where not contains(url, '://' || domain_name)""")
+def link_checks(cat):
+    tables = {"ws_domain": cat.sql(f"select * from {_DOMAINS}"), "ws_url_check": cat.sql(f"select * from {_CHECKS}")}
+    site = MemoryCatalog(cat.spark, tables)
+    return C.validate(site, foreign_keys=[], unique_keys=[], predicates=C.LINK_PREDICATES)
+
+
 @query("c27_missing_content", """
   select r.rev_id, r.rev_page from @revision r join @page p on p.page_id = r.rev_page and p.page_latest = r.rev_id
   where r.rev_text_id not in (select old_id from @texts)""")

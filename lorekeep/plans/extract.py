@@ -108,6 +108,24 @@ def link_tables(cat):
     )
 
 
+_NESTED = """(select page_id, namespace, title, url, '[[File:Map ' || cast(page_id as string)
+    || '.png|thumb|near [[Inner ' || cast(page_id as string) || '|inner]] and [http://maps.example.org/' || cast(page_id as string)
+    || ' a map]]] <!-- [[Gone]] {{Gone}} http://gone.example.org/ --><nowiki>[[No]] {{No}}</nowiki> {{{1|x}}} {{Box|{{{name}}}|'
+    || 'y={{Inside}}}} [[Open|never closed' as body from @wikitext)"""
+
+
+@query("x04_nested_markup", """
+  select page_id, k.kind, replace(k.name, '#', cast(page_id as varchar)) as name from @wikitext,
+    (values ('image', 'Map #.png'), ('page', 'Inner #'), ('template', 'Box'), ('template', 'Inside'),
+            ('url', 'http://maps.example.org/#')) k(kind, name)""")
+def nested_markup(cat):
+    pages = cat.sql(f"select page_id, namespace as page_namespace, title as page_title, body from {_NESTED}")
+    links = X.wikilinks(cat, pages).select("page_id", "kind", F.col("pagename").alias("name"))
+    templates = X.transclusions(cat, pages).select(F.col("tl_from").alias("page_id"), F.lit("template").alias("kind"), "tl_title")
+    urls = X.external_links(pages).select("el_from", F.lit("url"), "el_to")
+    return links.union(templates).union(urls)
+
+
 @query("x05_external_links", r"""
   select distinct page_id as el_from, unnest(regexp_extract_all(body, 'https?://[^\s\[\]<>"{}|]+')) as el_to from @wikitext""")
 def external_links(cat):

@@ -133,25 +133,29 @@ _USERS = "(select rc_user_text as u, count(*) as n from @recentchanges group by
 
 
 @query("s08_wiki_table", f"""
-  select cast(0 as bigint) as place, '{{| class="wikitable sortable" border=1' || chr(10) || '! u' || chr(10) || '! n' as value
-  union all select row_number() over (order by n desc, u), '|-' || chr(10) || '| ' || u || ' || ' || n from {_USERS} t
-  union all select 4611686018427387904, '|}}'""")
+  select 'u,n' as fields, row_number() over (order by n desc, u) - 1 as row, u, cast(n as varchar) as n from {_USERS} t""")
 def wiki_table(cat):
+    path = S.scratch_folder(cat.spark, "table")
     rows = cat["recentchanges"].groupBy(F.col("rc_user_text").alias("u")).agg(F.count(F.lit(1)).alias("n"))
-    return S.wiki_table(rows, ["u", "n"], [F.col("n").desc(), F.col("u")])
+    S.write_lines(S.wiki_table(rows, ["u", "n"], [F.col("n").desc(), F.col("u")]), path, files=4)
+    return S.read_wiki_table(cat.spark, path).select(
+        F.array_join("fields", ",").alias("fields"), "row", F.col("cells")[0].alias("u"), F.col("cells")[1].alias("n"))
 
 
 @query("s09_parsed_table", """
-  select c_mktsegment as segment, cast(c_nationkey as varchar) as nation, cast(count(*) as varchar) as customers
-  from @customer group by 1, 2""")
+  select c_mktsegment as segment, cast(c_nationkey as varchar) as nation, cast(count(*) as varchar) as customers,
+         case when c_nationkey % 3 = 0 then '' else 'x' end as note
+  from @customer group by 1, c_nationkey""")
 def parsed_table(cat):
-    # one small table per segment and nation group, written as markup and parsed again
-    cells = cat["customer"].groupBy("c_mktsegment", "c_nationkey").agg(F.count(F.lit(1)).alias("n"))
-    one = F.concat(
-        F.lit('{| class="wikitable sortable" border=1\n! nation\n! n\n'), S.wiki_table_rows(cells, ["c_nationkey", "n"]),
-        F.lit("\n|}\n"))
-    parsed = S.parse_wiki_tables(cells.select(F.col("c_mktsegment").alias("segment"), one.alias("body")), "body")
-    return parsed.select("segment", F.col("cells")[0].alias("nation"), F.col("cells")[1].alias("customers"))
+    # one cell per line, the first and last ones empty in some rows
+    path = S.scratch_folder(cat.spark, "cells")
+    note = F.when(F.col("c_nationkey") % 3 != 0, F.lit("x")).alias("note")
+    rows = cat["customer"].groupBy("c_mktsegment", "c_nationkey").agg(F.count(F.lit(1)).alias("n")).select("*", note)
+    columns = ["note", "c_mktsegment", "c_nationkey", "n"]
+    S.write_lines(S.wiki_table(rows, columns, [F.col("c_mktsegment"), F.col("c_nationkey")], False), path, files=5)
+    cell = lambda i, name: F.col("cells")[i].alias(name)
+    return S.read_wiki_table(cat.spark, path).select(
+        cell(1, "segment"), cell(2, "nation"), cell(3, "customers"), cell(0, "note"))
 
 
 @query("s10_report", """

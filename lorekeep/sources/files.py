@@ -168,12 +168,19 @@ def wiki_table(df: DataFrame, columns: list[str], order: list[Column], single_li
     return body.unionByName(ends)
 
 
-def write_lines(lines: DataFrame, path: str) -> None:
+def write_lines(lines: DataFrame, path: str, files: int | None = None) -> None:
     """Write ``place, value`` rows as text files whose names sort in the order of the places."""
-    lines.repartitionByRange("place").sortWithinPartitions("place").select("value").write.mode("errorifexists").text(path)
+    parts = lines.repartitionByRange(files, "place") if files else lines.repartitionByRange("place")
+    parts.sortWithinPartitions("place").select("value").write.mode("errorifexists").text(path)
 
 
-_CELL = r"(?m)^\|(?![-}])\s*(.*?)$"
+_CELL = r"(?m)^\|(?![-}])(.*?)$"
+
+
+def _cells(markup: Column) -> Column:
+    """Cells of one row's markup, with one row per line or one cell per line."""
+    lines = F.regexp_extract_all(markup, F.lit(_CELL), F.lit(1))
+    return F.transform(F.flatten(F.transform(lines, lambda x: F.split(x, r"\|\|"))), lambda x: F.trim(x))
 
 
 def parse_wiki_tables(df: DataFrame, text: str) -> DataFrame:
@@ -181,17 +188,28 @@ def parse_wiki_tables(df: DataFrame, text: str) -> DataFrame:
     rest = [x for x in df.columns if x != text]
     body = F.regexp_replace(F.regexp_extract(text, r"(?s)\{\|.*?(\|-.*?)\n?\|\}", 1), r"^\|-", "")
     rows = df.select(*rest, F.posexplode(F.split(body, r"\n\|-")).alias("row", "markup"))
-    cells = F.flatten(F.transform(
-        F.regexp_extract_all("markup", F.lit(_CELL), F.lit(1)), lambda line: F.split(line, r" \|\| ")
-    ))
-    return rows.select(*rest, "row", cells.alias("cells")).where(F.size("cells") > 0)
+    return rows.select(*rest, "row", _cells(F.col("markup")).alias("cells")).where(F.size("cells") > 0)
 
 
 def read_wiki_table(spark: SparkSession, path: str) -> DataFrame:
-    """One file per table: ``path, fields, row, cells``."""
-    files = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
-    fields = F.regexp_extract_all("value", F.lit(r"(?m)^!\s*(.*?)$"), F.lit(1))
-    return parse_wiki_tables(files.withColumn("fields", fields), "value")
+    """One table, a file or a folder of files as :func:`write_lines` makes it: ``fields, row, cells``.
+
+    Read row by row: the row mark separates records, so neither a file nor a table is
+    ever held whole. Rows are numbered from 0 in the order of file names and positions.
+    """
+    records = spark.read.option("lineSep", "\n|-\n").text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_id"),
+    )
+    opens = F.startswith(F.ltrim("value"), F.lit("{|"))
+    first = records.where(opens).select(
+        F.regexp_extract_all("value", F.lit(r"(?m)^!\s*(.*?)$"), F.lit(1)).alias("fields")
+    )
+    rows = records.where(~opens).withColumn("cells", _cells(F.col("value")))
+    rows = rows.where(F.size("cells") > 0).select("_file", "_start", "_id", "cells", F.lit(1).alias("_all"))
+    numbered = place_in_group(rows, "_all", [F.col("_file"), F.col("_start"), F.col("_id")], "_place")
+    fields = first.agg(F.first("fields").alias("fields")).scalar()
+    return numbered.select(fields.alias("fields"), (F.col("_place") - 1).alias("row"), "cells")
 
 
 # ---- reports and exports ------------------------------------------------------------------

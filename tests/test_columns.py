@@ -169,5 +169,10 @@ def test_parameters_and_hidden_text_are_no_links(values):
 
     names = values(T.transclusions, ["a {{{1|x}}} {{Foo|{{{name}}}}} <!-- {{Gone}} -->", "<nowiki>{{No}}</nowiki>{{Yes}}"])
     assert names == [["Foo"], ["Yes"]]
+    nested = "[[File:x.png|thumb|see [[Foo|f]] and [http://a.b c]]] [[Open|x [[Bar]] [[Last]]"
+    found = values(T.wikilinks, [nested, "[[a|b\nc]] " + "[[x|" * 3000, None, ""])
+    assert [(x.target, x.label) for x in found[0]] == [("File:x.png", None), ("Foo", "f"), ("Bar", None), ("Last", None)]
+    assert [(x.target, x.label) for x in found[1]] == [("a", "b\nc")] and found[2:] == [None, []]
+    assert values(T.external_urls, ["<!-- http://a.b --> http://c.d<nowiki>http://e.f</nowiki>"]) == [["http://c.d"]]
     links = values(T.wikilinks, ["<!-- [[Gone]] --> <nowiki>[[No]]</nowiki> <pre>[[Not]]</pre> [[Here|x]]"])
     assert [x.target for x in links[0]] == ["Here"]

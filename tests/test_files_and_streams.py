@@ -49,16 +49,19 @@ def test_site_and_lists(spark, tmp_path):
 
 
 def test_wiki_table_round_trip(spark, tmp_path):
-    df = spark.createDataFrame([("a", 3), ("b", 7), ("c", 5)], "name string, n int")
+    data = [(f"n{i}" if i % 5 else None, i, "" if i % 7 else "-5") for i in range(1000)]
+    df = spark.createDataFrame(data, "name string, n int, note string")
+    expected = [[name or "", str(n), note] for name, n, note in reversed(data)]
     for single in (True, False):
-        path = str(tmp_path / f"table-{single}")
-        files.write_lines(files.wiki_table(df, ["name", "n"], [F.col("n").desc()], single).coalesce(1), path)
-        part = sorted((tmp_path / f"table-{single}").glob("part-*"))
-        whole = tmp_path / f"whole-{single}.txt"
-        whole.write_text("".join(p.read_text() for p in part))
-        got = files.read_wiki_table(spark, str(whole)).orderBy("row").collect()
-        assert [r.cells for r in got] == [["b", "7"], ["c", "5"], ["a", "3"]]
-        assert got[0].fields == ["name", "n"]
+        path = tmp_path / f"table-{single}"
+        table = files.wiki_table(df, ["name", "n", "note"], [F.col("n").desc()], single)
+        files.write_lines(table, str(path), files=4)
+        assert len(list(path.glob("part-*"))) == 4
+        got = files.read_wiki_table(spark, str(path)).orderBy("row").collect()
+        assert [r.cells for r in got] == expected and [r.row for r in got] == list(range(1000))
+        assert got[0].fields == ["name", "n", "note"]
+    files.write_lines(files.wiki_table(df.where("false"), ["name"], [F.col("name")]), str(tmp_path / "empty"))
+    assert files.read_wiki_table(spark, str(tmp_path / "empty")).count() == 0
 
 
 def test_snapshot_has_declared_schema(spark, sample, tmp_path):

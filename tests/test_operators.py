@@ -161,6 +161,19 @@ def test_merge_into_moved_page_is_rejected(spark):
     assert changes.merges(cat, moved).first().rejected
 
 
+def test_merges_in_log_order(spark):
+    planned = spark.createDataFrame([
+        (1, 4, 5, "2024-01-05", False), (2, 4, 6, "2024-01-03", False), (3, 4, 7, "2024-01-09", False),
+        (4, 4, 8, "2024-02-01", True), (5, 9, None, None, True),
+    ], "log_id long, src_page long, dest_page long, mergepoint string, rejected boolean").withColumn(
+        "mergepoint", F.col("mergepoint").cast("timestamp_ntz"))
+    revision = spark.createDataFrame(
+        [(i, 4, f"2024-01-{d:02d}") for i, d in enumerate((1, 3, 5, 6, 9, 10))] + [(6, 9, "2024-01-01"), (7, 4, None)],
+        "rev_id long, rev_page long, t string").select("rev_id", "rev_page", F.col("t").cast("timestamp_ntz").alias("rev_timestamp"))
+    got = dict(changes.apply_merges(revision, planned).select("rev_id", "rev_page").collect())
+    assert got == {0: 5, 1: 5, 2: 5, 3: 7, 4: 7, 5: 4, 6: 9, 7: 4}
+
+
 def test_rename_chains(spark):
     events = [(1, "A", "B"), (2, "B", "C"), (3, "A", "D"), (4, "E", "F"), (5, "F", "E")]
     steps = spark.createDataFrame(events, "seq long, src string, dst string")
@@ -173,6 +186,11 @@ def test_upsert_keeps_unlisted_columns(spark):
     new = spark.createDataFrame([(2, "B", None), (3, "c", 3)], "k int, x string, y int")
     assert rows(changes.upsert(old, new, ["k"], ["y"])) == [(1, "a", 1), (2, "b", None), (3, "c", 3)]
     assert rows(changes.insert_ignore(old, new, ["k"])) == [(1, "a", 1), (2, "b", 2), (3, "c", 3)]
+    feed = spark.createDataFrame([(1, "b", 5, 2), (1, "c", 6, 9), (4, "x", 7, None), (4, "y", 7, None), (2, None, None, 1)],
+                                 "k int, x string, y int, seq int")
+    assert rows(changes.upsert(old, feed, ["k"], sequence="seq")) == [(1, "c", 6), (2, None, None), (4, "y", 7)]
+    assert rows(changes.insert_ignore(old, feed.drop("seq"), ["k"])) == [(1, "a", 1), (2, "b", 2), (4, "x", 7)]
+    assert rows(changes.update_column(old, "k", feed, "y", "seq")) == [(1, "a", 6), (2, "b", None)]
 
 
 def test_closure_with_loop(spark):
