@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions.times import as_timestamp, days_between, never
 from lorekeep.operators.common import Time
+from lorekeep.operators.graph import place_in_group
 from lorekeep.operators.lists import user_group_sets
 from lorekeep.sources.catalog import Catalog
 
@@ -146,18 +147,19 @@ def user_statistics(
     recent ones, unless blocked for ever. Ranked by recent edits, total edits,
     registration and name.
     """
-    summaries = user_summaries(streaks(user_days(every_revision(cat, today))), today)
     banned = cat["ipblocks"].where(F.col("ipb_expiry") >= never())
     users = cat["users"].where("user_id > 0").join(banned, F.col("user_id") == F.col("ipb_user"), "left_anti")
-    groups = user_group_sets(cat)
+    listed = users.join(recent_edits(cat, today, active_days), "user_name", "left").where(
+        (F.coalesce("user_editcount", F.lit(0)) >= min_total) | (F.col("recent_edits") >= min_recent)
+    )
+    # streaks only of the users that are listed
+    days = user_days(every_revision(cat, today)).join(listed.select("user_name"), "user_name", "left_semi")
     df = (
-        users.join(recent_edits(cat, today, active_days), "user_name", "left")
-        .where((F.coalesce("user_editcount", F.lit(0)) >= min_total) | (F.col("recent_edits") >= min_recent))
-        .join(summaries, "user_name", "left")
-        .join(groups, F.col("user_id") == F.col("ug_user"), "left")
+        listed.join(user_summaries(streaks(days), today), "user_name", "left")
+        .join(user_group_sets(cat), F.col("user_id") == F.col("ug_user"), "left")
     )
     total = F.coalesce("total_edits", F.lit(0))
-    facts = [x for x in summaries.columns if x.startswith(("longest_", "current_"))]
+    facts = [x for x in df.columns if x.startswith(("longest_", "current_"))]
     out = df.select(
         "user_name", F.coalesce("recent_edits", F.lit(0)).alias("recent_edits"), total.alias("total_edits"),
         F.col("user_registration").alias("registration"),
@@ -278,11 +280,19 @@ def fill_race(top: DataFrame, carry_days: int = 30) -> DataFrame:
     return filled.select("user_name", "day", F.coalesce(value, F.lit(0)).alias("edits"))
 
 
-def race_table(filled: DataFrame, users: Collection[str] | None = None) -> DataFrame:
-    """Pivot: one row per day, one column per user."""
-    grouped = filled.groupBy("day")
-    pivot = grouped.pivot("user_name", list(users)) if users is not None else grouped.pivot("user_name")
-    return pivot.agg(F.first("edits"))
+def race_table(filled: DataFrame, users: Collection[str]) -> DataFrame:
+    """Pivot: one row per day, one column for each of the named users."""
+    return filled.groupBy("day").pivot("user_name", list(users)).agg(F.first("edits"))
+
+
+def race_cells(filled: DataFrame) -> DataFrame:
+    """Pivot in long form, for any number of users: ``day, place, user_name, edits``.
+
+    ``place`` is the column of the user, by name from 1.
+    """
+    users = filled.select("user_name", F.lit(1).alias("_all")).distinct()
+    places = place_in_group(users, "_all", [F.col("user_name")]).select("user_name", "place")
+    return filled.join(places, "user_name").select("day", "place", "user_name", "edits")
 
 
 def cumulative_counts(daily: DataFrame) -> DataFrame:

@@ -498,15 +498,20 @@ def tag_actions(log: DataFrame, target: str = "revid") -> DataFrame:
 
 
 def apply_tags(tagged: DataFrame, table: str, actions: DataFrame, tags: DataFrame, entities: DataFrame) -> DataFrame:
-    """Apply net tag actions to one assignment table; ``entities`` (``id``) routes additions."""
+    """Apply net tag actions to one assignment table; ``entities`` (``id``) routes additions.
+
+    Assignments and actions meet in one aggregation, so the table is shuffled once.
+    """
     tag_id, entity = TAG_TABLES[table]
     named = actions.join(tags.select("tag_id", "tag_name"), "tag_name").select(
         F.col("tag_id").alias(tag_id), F.col("id").alias(entity), "added"
     )
-    kept = tagged.join(named.where("not added"), [tag_id, entity], "left_anti")
     known = entities.select(F.col("id").alias(entity))
-    fresh = named.where("added").join(known, entity, "left_semi").select(tag_id, entity)
-    return kept.select(tag_id, entity).unionByName(fresh).distinct()
+    wanted = named.where("added").join(known, entity, "left_semi").unionByName(named.where("not added"))
+    stored = tagged.select(tag_id, entity, F.lit(None).cast("boolean").alias("added"))
+    # an action decides, and adding wins over removing
+    last = stored.unionByName(wanted).groupBy(tag_id, entity).agg(F.max("added").alias("added"))
+    return last.where("added or added is null").select(tag_id, entity)
 
 
 def apply_tag_events(cat: Catalog, log: DataFrame) -> dict[str, DataFrame]:

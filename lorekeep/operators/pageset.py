@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Collection
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.functions.titles import parse_titles, prefixed
@@ -76,41 +76,23 @@ GENERATORS = {
 }
 
 
-def nested(entries: DataFrame, name: str, size: int = 1000, order: list[Column] | None = None) -> DataFrame:
-    """Entries of each page as arrays of about ``size``: ``(page_id, part, <name>)``.
+def attach(pages: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
+    """One row per page, property and entry: the columns of ``pages``, ``property`` and a struct per property.
 
-    Nearly every page has one part. A page with more entries than ``size`` gets
-    several parts, filled by a hash of the entry, so no task ever collects an
-    unbounded array; the parts together hold every entry. Arrays are sorted. Only
-    the few crowded pages are looked up, and the explicit repartitioning by page
-    and part spreads them over the cluster.
+    Only the struct named by ``property`` is filled. A page without entries has one
+    row, with no property. Rows stay flat, so a crowded page is just many rows, and
+    properties do not multiply each other; one join with the pages.
     """
-    fields = [x for x in entries.columns if x != "page_id"]
-    counts = entries.groupBy("page_id").agg(F.count(F.lit(1)).alias("_n"))
-    crowded = counts.where(F.col("_n") > size)
-    spread = F.pmod(F.xxhash64(*fields), F.ceil(F.col("_n") / size))
-    rows = entries.join(crowded, "page_id", "left").select(
-        "page_id", F.coalesce(spread, F.lit(0)).cast("long").alias("part"), F.struct(*fields).alias("_e")
-    )
-    spread_rows = rows.repartition("page_id", "part")
-    return spread_rows.groupBy("page_id", "part").agg(F.sort_array(F.collect_list("_e")).alias(name))
-
-
-def attach(pages: DataFrame, parts: dict[str, DataFrame], size: int = 1000) -> DataFrame:
-    """Nested form: each page with one array column per property.
-
-    Every property is aggregated before it is joined, so properties do not
-    multiply each other. A page with more than ``size`` entries in a property
-    continues in rows with ``part`` 1, 2, ...
-    """
-    out = pages.select("page_id").distinct().withColumn("part", F.lit(0).cast("long"))
-    for name, entries in parts.items():
-        out = out.join(nested(entries, name, size), ["page_id", "part"], "full_outer")
-    return pages.join(out, "page_id")
+    entries = None
+    for name, df in parts.items():
+        fields = [x for x in df.columns if x != "page_id"]
+        part = df.select("page_id", F.lit(name).alias("property"), F.struct(*fields).alias(name))
+        entries = part if entries is None else entries.unionByName(part, allowMissingColumns=True)
+    return pages if entries is None else pages.join(entries, "page_id", "left")
 
 
 def query_pages(
-    cat: Catalog, pages: DataFrame, prop: Collection[str], options: dict[str, dict] | None = None, size: int = 1000
+    cat: Catalog, pages: DataFrame, prop: Collection[str], options: dict[str, dict] | None = None
 ) -> DataFrame:
     """Attach the named properties; ``options`` has keyword arguments per property."""
     c.check_subset("prop", prop, PROPERTIES)
@@ -121,7 +103,7 @@ def query_pages(
         if name == "pageprops":
             entries = entries.where("pageprops is not null").select("page_id", F.explode("pageprops"))
         parts[name] = entries
-    return attach(pages, parts, size)
+    return attach(pages, parts)
 
 
 def merge_partials(df: DataFrame, key: str, seq: str, scalars: list[str]) -> DataFrame:

@@ -2,8 +2,7 @@
 
 ``pages`` needs ``page_id``; reverse properties (who links *here*) also need
 ``page_namespace`` and ``page_title``. Pages without entries have no rows. The
-rows stay flat, so a page with very many entries is just many rows; use
-``pageset.attach`` for the nested form.
+rows stay flat, so a page with very many entries is just many rows.
 """
 
 from __future__ import annotations
@@ -159,8 +158,10 @@ def links(cat: Catalog, pages: DataFrame, *, namespace=None, titles=None) -> Dat
 
 
 def _fixed_namespace(cat: Catalog, pages: DataFrame, table: str, source: str, target: str, ns: int) -> DataFrame:
-    df = cat[table].join(_ids(pages), F.col(source) == F.col("page_id")).withColumn("target_ns", F.lit(ns))
-    return _targets(cat, df, "target_ns", target)
+    df = cat[table].join(_ids(pages), F.col(source) == F.col("page_id"))
+    # one name for all rows, so it is looked up and not joined
+    name = cat["namespace_starname"].where(F.col("nss_id") == ns).agg(F.max("nss_name")).scalar()
+    return df.select("page_id", F.lit(ns).alias("ns"), c.prefixed(name, F.col(target)).alias("title"))
 
 
 def images(cat: Catalog, pages: DataFrame) -> DataFrame:

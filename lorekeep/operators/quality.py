@@ -290,8 +290,8 @@ def display_title_mismatches(links: DataFrame, display: DataFrame) -> DataFrame:
     return df.where(differs).select("page_id", "position", "raw", new.alias("new_title"))
 
 
-def links_to_archive(cat: Catalog, links: DataFrame, resolved: DataFrame, archive: str = "Project:Archive") -> DataFrame:
-    """Links whose redirects end at the archive page."""
+def links_to_archive(cat: Catalog, links: DataFrame, resolved: DataFrame, archive: str | Column = "Project:Archive") -> DataFrame:
+    """Links whose redirects end at the archive page, named or looked up by a scalar subquery."""
     ends = _titles(cat, resolved.where("dst_title is not null"), "dst_ns", "dst_title", "final").where(
         F.col("final") == archive
     ).select(F.col("src_ns").alias("ns_id"), F.col("src_title").alias("pagename"))

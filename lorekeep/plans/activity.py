@@ -265,11 +265,9 @@ def filled_race(cat):
 
 
 @query("w07_race_table", f"""
-  select cast(day as varchar) as day, max(edits) filter (user_name = 'U1') as "U1",
-         max(edits) filter (user_name = 'U2') as "U2", max(edits) filter (user_name = 'U7') as "U7"
-  from {FILLED} f group by 1""")
+  select cast(day as varchar) as day, dense_rank() over (order by user_name) as place, user_name, edits from {FILLED} f""")
 def race_table(cat):
-    return _text(A.race_table(A.fill_race(_top(cat), 10), ["U1", "U2", "U7"]), "day")
+    return _text(A.race_cells(A.fill_race(_top(cat), 10)), "day")
 
 
 CUMULATIVE = f"""(select user_name, day, cast(sum(edits) over (partition by user_name order by day) as bigint) as total

@@ -85,42 +85,32 @@ def generators(cat):
 
 
 @query("g05_attached", f"""
-  select s.page_id, s.page_namespace, s.page_title, cast(0 as bigint) as part,
-         coalesce(l.n, -1) as n_links, coalesce(l.items, '') as links,
-         coalesce(k.n, -1) as n_categories, coalesce(k.items, '') as categories, coalesce(e.n, -1) as n_extlinks
-  from {_SET} s
-  left join (select pl_from, count(*) as n, string_agg(pl_namespace || '/' || pl_title, '|'
-                    order by pl_namespace, pl_title) as items from @pagelinks group by 1) l on l.pl_from = s.page_id
-  left join (select cl_from, count(*) as n, string_agg(cl_to, '|' order by cl_to) as items
-             from @categorylinks group by 1) k on k.cl_from = s.page_id
-  left join (select el_from, count(*) as n from @externallinks group by 1) e on e.el_from = s.page_id""")
+  with e as (
+    select pl_from as page_id, 'links' as property, pl_namespace || '/' || pl_title as entry from @pagelinks
+    union all select cl_from, 'categories', cl_to from @categorylinks
+    union all select el_from, 'extlinks', el_to from @externallinks)
+  select s.page_id, s.page_namespace, s.page_title, e.property, e.entry from {_SET} s left join e on e.page_id = s.page_id""")
 def attached(cat):
     pages = _pages(cat)
     links = cat["pagelinks"].selectExpr("pl_from as page_id", "pl_namespace as ns", "pl_title as title")
-    links = links.join(pages.select("page_id"), "page_id", "left_semi")
     members = cat["categorylinks"].selectExpr("cl_from as page_id", "cl_to")
-    members = members.join(pages.select("page_id"), "page_id", "left_semi")
-    df = S.attach(pages, {"links": links, "categories": members, "extlinks": P.external_links(cat, pages)})
-    size = lambda name: F.coalesce(F.size(name), F.lit(-1)).cast("long").alias("n_" + name)
-    return df.select(
-        "page_id", "page_namespace", "page_title", "part", size("links"), size("categories"), size("extlinks"),
-        F.coalesce(F.array_join(F.transform("links", lambda x: F.concat_ws("/", x["ns"], x["title"])), "|"),
-                   F.lit("")).alias("links"),
-        F.coalesce(F.array_join(F.transform("categories", lambda x: x["cl_to"]), "|"), F.lit("")).alias("categories"),
-    )
+    urls = cat["externallinks"].selectExpr("el_from as page_id", "el_to")
+    df = S.attach(pages, {"links": links, "categories": members, "extlinks": urls})
+    entry = F.when(F.col("property") == "links", F.concat("links.ns", F.lit("/"), "links.title")).otherwise(
+        F.coalesce("categories.cl_to", "extlinks.el_to"))
+    return df.select("page_id", "page_namespace", "page_title", "property", entry.alias("entry"))
 
 
 @query("g05_query_surface", """
-  select p.page_id, p.page_title, count(k.cl_to) as n_categories, string_agg(k.cl_to, '|' order by k.cl_to) as cats
-  from @page p left join @categorylinks k on k.cl_from = p.page_id
-  where p.page_namespace = 0 and p.page_is_redirect group by 1, 2""")
+  with e as (
+    select cl_from as page_id, 'categories' as property, 'Category:' || cl_to as title from @categorylinks
+    union all select p.page_id, 'latestrevisions', null from @page p
+      join @revision r on r.rev_id = p.page_latest and r.rev_page = p.page_id)
+  select p.page_id, p.page_title, e.property, e.title from @page p left join e on e.page_id = p.page_id
+  where p.page_namespace = 0 and p.page_is_redirect""")
 def query_surface(cat):
-    df = wiki_query(cat, generator="allpages", gapfilterredir="redirects", prop={"categories"})
-    name = lambda x: F.substr(x["title"], F.lit(len("Category:") + 1))
-    return df.select(
-        "page_id", "page_title", F.coalesce(F.size("categories"), F.lit(0)).cast("long").alias("n_categories"),
-        F.array_join(F.transform("categories", name), "|").alias("cats"),
-    )
+    df = wiki_query(cat, generator="allpages", gapfilterredir="redirects", prop={"categories", "latestrevisions"})
+    return df.select("page_id", "page_title", "property", F.col("categories.title").alias("title"))
 
 
 @query("g06_merge_partials", """

@@ -236,7 +236,7 @@ def links_to_archive(cat):
     # the first title that is no redirect stands for the archive page
     archive = cat["page"].where("page_namespace = 0 and page_title like 'Topic%'").join(
         sources, ["page_namespace", "page_title"], "left_anti"
-    ).agg(F.min("page_title")).first()[0]
+    ).agg(F.min("page_title")).scalar()
     links = cat["pagelinks"].select(
         F.col("pl_from").alias("page_id"), F.lit(0).alias("position"), F.lit("").alias("iwprefix"),
         F.col("pl_namespace").alias("ns_id"), F.col("pl_title").alias("pagename"),
