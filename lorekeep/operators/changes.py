@@ -202,15 +202,20 @@ def suppress_pages(archive: DataFrame, log: DataFrame) -> DataFrame:
 # ---- pages: delete, restore, merge, move --------------------------------------------------
 
 
-def page_actions(log: DataFrame) -> DataFrame:
-    """Last action per title: ``deleted`` or ``restored``, with the page id of that event."""
+def page_events(log: DataFrame) -> DataFrame:
+    """Delete and restore events: ``log_namespace, log_title, log_id, action, log_page``."""
     deletes = (F.col("log_type").isin("delete") & F.col("log_action").isin("delete", "delete_redir")) | (
         (F.col("log_type") == "suppress") & (F.col("log_action") == "delete")
     )
     restores = (F.col("log_type") == "delete") & (F.col("log_action") == "restore")
     action = F.when(deletes, F.lit("deleted")).when(restores, F.lit("restored"))
     events = log.withColumn("action", action).where("action is not null")
-    return events.groupBy("log_namespace", "log_title").agg(
+    return events.select("log_namespace", "log_title", "log_id", "action", "log_page")
+
+
+def page_actions(log: DataFrame) -> DataFrame:
+    """Last action per title: ``deleted`` or ``restored``, with the page id of that event."""
+    return page_events(log).groupBy("log_namespace", "log_title").agg(
         F.max_by(F.struct("action", "log_page"), "log_id").alias("x")
     ).select("log_namespace", "log_title", "x.*")
 
@@ -480,8 +485,8 @@ def blocks_after(blocks: DataFrame, log: DataFrame, landed: DataFrame) -> DataFr
 # ---- tags, patrol, protection -------------------------------------------------------------
 
 
-def tag_actions(log: DataFrame, target: str = "revid") -> DataFrame:
-    """Net effect of tag events: last action per ``(id, tag)``; ``target`` is revid or logid."""
+def tag_events(log: DataFrame, target: str = "revid") -> DataFrame:
+    """Tag events: ``id, tag_name, log_id, added``; ``target`` is revid or logid."""
     shape = "revid long, logid long, tagsAdded array<string>, tagsRemoved array<string>"
     events = log.where("log_type = 'tag' and log_action = 'update'").select(
         "log_id", F.from_json("log_params", shape).alias("p")
@@ -493,8 +498,12 @@ def tag_actions(log: DataFrame, target: str = "revid") -> DataFrame:
             F.lit(added).alias("added"),
         )
 
-    both = rows("tagsAdded", True).unionByName(rows("tagsRemoved", False))
-    return both.groupBy("id", "tag_name").agg(F.max_by("added", "log_id").alias("added"))
+    return rows("tagsAdded", True).unionByName(rows("tagsRemoved", False))
+
+
+def tag_actions(log: DataFrame, target: str = "revid") -> DataFrame:
+    """Net effect of tag events: last action per ``(id, tag)``."""
+    return tag_events(log, target).groupBy("id", "tag_name").agg(F.max_by("added", "log_id").alias("added"))
 
 
 def apply_tags(tagged: DataFrame, table: str, actions: DataFrame, tags: DataFrame, entities: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lorekeep.operators import changes as C
 from lorekeep.plans.activity import PHRASES, _phrase_sql
 from lorekeep.plans.changes import ACTIONS, EVENT_BITS, REV_BITS, _TAGS
 from lorekeep.plans.registry import query
@@ -76,35 +77,39 @@ def daily_counts(cat):
   group by 1""")
 def sliding_counts(cat):
     stream = ST.read_changes(cat.spark, _landed(cat, "recentchanges", "rc_timestamp"), files_per_batch=20)
-    counts = ST.sliding_counts(stream, "rc_timestamp")
-    return ST.latest_rows(_run(cat, counts, "update"), ["until"])
+    daily = ST.latest_rows(_run(cat, ST.daily_counts(stream, "rc_timestamp"), "update"), ["day"])
+    return ST.sliding_counts(daily)
 
 
+# sessions whose end the watermark has passed: the others are still open
 @query("st05_sessions", f"""
-  select rc_user_text, min(t) as start, max(t) as "end", count(*) as edits from (
+  select * from (select rc_user_text, min(t) as start, max(t) as "end", count(*) as edits from (
     select *, sum(fresh) over (partition by rc_user_text order by t, rc_id) as session from (
       select rc_id, rc_user_text, t, case when t - lag(t) over (partition by rc_user_text order by t, rc_id) <= interval 6 hour
         then 0 else 1 end as fresh
       from (select rc_id, rc_user_text, {_SECOND.format(x='rc_timestamp')} as t from @recentchanges) a) b) s
-  group by rc_user_text, session""")
+  group by rc_user_text, session) c
+  where "end" + interval 6 hour <= (select max({_SECOND.format(x='rc_timestamp')}) - interval 2 day from @recentchanges)""")
 def sessions(cat):
     stream = ST.read_changes(cat.spark, _landed(cat, "recentchanges", "rc_timestamp"), files_per_batch=1000)
-    found = _run(cat, ST.sessions(stream, "rc_user_text", "rc_timestamp", "6 hours"), "complete")
-    last = found.agg(F.max("batch")).scalar()
-    return found.where(F.col("batch") == last).drop("batch")
+    return _run(cat, ST.sessions(stream, "rc_user_text", "rc_timestamp", "6 hours", "2 days")).drop("batch")
 
 
 @query("st06_tag_actions", f"select id, tag_name, added from {_TAGS} t")
 def tag_actions(cat):
     stream = ST.read_changes(cat.spark, _landed(cat, "logging", "log_timestamp"), "logging", files_per_batch=20)
-    return ST.latest_rows(_run(cat, ST.last_tag_actions(stream), "update"), ["id", "tag_name"])
+    root = scratch_folder(cat.spark, "stream")
+    last = ST.last_actions(C.tag_events(stream), ["id", "tag_name"], root + "/data", root + "/checkpoint")
+    return last.select("id", "tag_name", "added")
 
 
 @query("st06_page_actions", f"select log_namespace, log_title, action from {ACTIONS} a")
 def page_actions(cat):
     stream = ST.read_changes(cat.spark, _landed(cat, "logging", "log_timestamp"), "logging", files_per_batch=20)
-    rows = ST.latest_rows(_run(cat, ST.last_page_actions(stream), "update"), ["log_namespace", "log_title"])
-    return rows.select("log_namespace", "log_title", "action")
+    root = scratch_folder(cat.spark, "stream")
+    key = ["log_namespace", "log_title"]
+    last = ST.last_actions(C.page_events(stream), key, root + "/data", root + "/checkpoint")
+    return last.select("log_namespace", "log_title", "action")
 
 
 @query("st07_late_events", f"""

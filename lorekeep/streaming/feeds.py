@@ -2,12 +2,14 @@
 
 The functions take and return streaming DataFrames; ``run_available`` and
 ``start`` connect them to a sink. State lives in the RocksDB provider, and every
-stateful step has a watermark, so state stays bounded by the retention time.
+stateful step has a watermark, so state stays bounded by the retention time. Last
+actions per key keep no state: each batch is reduced to its last action per key, and
+reading takes the last one of all batches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Collection
+from collections.abc import Callable, Collection
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,21 +59,23 @@ def daily_counts(stream: DataFrame, column: str, delay: str = "90 days", by: Col
     return counts.select(F.col("window.start").cast("timestamp_ntz").alias("day"), *by, "events")
 
 
-def sliding_counts(
-    stream: DataFrame, column: str, days: int = 30, delay: str = "90 days", by: Collection[str] = ()
-) -> DataFrame:
-    """Counts of the last ``days`` days, for every day."""
-    keyed = with_event_time(stream, column, delay)
-    window = F.window("event_time", f"{days} days", "1 day")
-    counts = keyed.groupBy(window, *by).agg(F.count(F.lit(1)).alias("events"))
-    return counts.select(F.col("window.end").cast("timestamp_ntz").alias("until"), *by, "events")
+def sliding_counts(daily: DataFrame, days: int = 30, by: Collection[str] = ()) -> DataFrame:
+    """Counts of the last ``days`` days, for every day, from the rows of :func:`daily_counts`.
+
+    The stream counts each event once; only its daily rows are spread over the windows.
+    """
+    spread = F.sequence(F.lit(1), F.lit(days))
+    rows = daily.select("day", *by, "events", F.explode(spread).alias("_ahead"))
+    until = F.col("day") + F.make_dt_interval(days="_ahead")
+    return rows.groupBy(until.alias("until"), *by).agg(F.sum("events").alias("events"))
 
 
 def sessions(stream: DataFrame, user: str, column: str, gap: str = "1 day", delay: str = "90 days") -> DataFrame:
     """Edit sessions per user: runs without a pause of ``gap`` or more.
 
     The streaming cousin of streaks; the exact rule on calendar days is
-    ``operators.activity.streaks``.
+    ``operators.activity.streaks``. In append mode a session is written once, when the
+    watermark has passed its end by ``gap``; until then it is state.
     """
     keyed = with_event_time(stream, column, delay)
     counts = keyed.groupBy(F.session_window("event_time", gap), user).agg(
@@ -83,14 +87,10 @@ def sessions(stream: DataFrame, user: str, column: str, gap: str = "1 day", dela
     )
 
 
-def last_tag_actions(log_stream: DataFrame, target: str = "revid") -> DataFrame:
-    """Last action per (id, tag) so far; the state is one row per pair."""
-    return C.tag_actions(log_stream, target)
-
-
-def last_page_actions(log_stream: DataFrame) -> DataFrame:
-    """Last delete or restore per title so far."""
-    return C.page_actions(log_stream)
+def last_actions(stream: DataFrame, key: Collection[str], path: str, checkpoint: str) -> DataFrame:
+    """Last event per key of ``tag_events`` or ``page_events`` that has landed so far, by ``log_id``."""
+    written = run_available(stream, path, checkpoint, reduce=lambda df: C.last_rows(df, key, "log_id"))
+    return C.last_rows(written.drop("batch"), key, "log_id")
 
 
 def spam_alerts(
@@ -115,10 +115,11 @@ def enriched(stream: DataFrame, cat: Catalog) -> DataFrame:
 # ---- sinks --------------------------------------------------------------------------------
 
 
-def batch_writer(path: str):
-    """Write each micro-batch to its own partition; a repeated batch replaces itself."""
+def batch_writer(path: str, reduce: Callable[[DataFrame], DataFrame] | None = None):
+    """Write each micro-batch, reduced if asked for, to its own partition; a repeated batch replaces itself."""
 
     def write(df: DataFrame, batch: int) -> None:
+        df = reduce(df) if reduce else df
         df.withColumn("batch", F.lit(batch)).write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic"
         ).partitionBy("batch").parquet(path)
@@ -134,11 +135,14 @@ def start(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", e
     )
 
 
-def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+def run_available(
+    stream: DataFrame, path: str, checkpoint: str, mode: str = "append",
+    reduce: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """Process everything that has landed, then stop; returns all written rows with ``batch``."""
     query = (
         stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).foreachBatch(batch_writer(path)).start()
+        .trigger(availableNow=True).foreachBatch(batch_writer(path, reduce)).start()
     )
     query.awaitTermination()
     schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
