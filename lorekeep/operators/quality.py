@@ -404,15 +404,19 @@ def compare(left: DataFrame, right: DataFrame, key: Collection[str], ignore: Col
     """Differences of two tables: ``<key>, status, columns``.
 
     ``status`` is ``only left``, ``only right`` or ``differs``; ``columns`` lists the
-    differing fields. Arrays are compared without regard to order. One full outer
-    join on the key.
+    differing fields. Arrays are compared without regard to order; a column that
+    one side lacks counts as NULL there. One full outer join on the key.
     """
     key = list(key)
-    fields = [x for x in left.columns if x in right.columns and x not in key and x not in set(ignore)]
+    fields = [x for x in dict.fromkeys([*left.columns, *right.columns]) if x not in key and x not in set(ignore)]
+    known = dict([*right.dtypes, *left.dtypes])
 
     def normal(df: DataFrame, side: str) -> DataFrame:
         kinds = dict(df.dtypes)
-        values = [(F.array_sort(x) if kinds[x].startswith("array") else F.col(x)).alias(x) for x in fields]
+        values = [
+            (F.lit(None).cast(known[x]) if x not in kinds else F.array_sort(x) if kinds[x].startswith("array") else F.col(x)).alias(x)
+            for x in fields
+        ]
         return df.select(*key, F.struct(*values, F.lit(True).alias("_there")).alias(side))
 
     df = normal(left, "_a").join(normal(right, "_b"), key, "full_outer")
@@ -429,6 +433,43 @@ def compare(left: DataFrame, right: DataFrame, key: Collection[str], ignore: Col
     ).where("status is not null")
 
 
+# dataset -> table, key, fields that may differ
+MIRROR_CHECKS = {
+    "pages": ("page", ["page_id"], ["page_touched"]),
+    "page properties": ("page_props", ["pp_page", "pp_propname"], []),
+    "revisions": ("revision", ["rev_id"], ["rev_text_id"]),
+    "deleted revisions": ("archive", ["ar_rev_id"], ["ar_id", "ar_text_id"]),
+    "recent changes": ("recentchanges", ["rc_id"], []),
+    "log events": ("logging", ["log_id"], []),
+    "users": ("users", ["user_id"], []),
+    "blocks": ("ipblocks", ["ipb_id"], []),
+    "protected titles": ("protected_titles", ["pt_namespace", "pt_title"], []),
+    "tags": ("tag", ["tag_name"], ["tag_id"]),
+    "namespaces": ("namespace_starname", ["nss_id"], []),
+    "interwiki prefixes": ("interwiki", ["iw_prefix"], []),
+    "redirects": ("redirect", ["rd_from"], []),
+    "sections": ("section", ["sec_page", "sec_number"], []),
+    "category members": ("categorylinks", ["cl_from", "cl_to"], []),
+    "language links": ("langlinks", ["ll_from", "ll_lang"], []),
+    "page links": ("pagelinks", ["pl_from", "pl_namespace", "pl_title"], []),
+    "template links": ("templatelinks", ["tl_from", "tl_namespace", "tl_title"], []),
+    "image links": ("imagelinks", ["il_from", "il_to"], []),
+    "external links": ("externallinks", ["el_from", "el_to"], []),
+}
+
+
+def mirror_differences(mirror: Catalog, source: Catalog, checks: dict = MIRROR_CHECKS) -> DataFrame:
+    """Differences of a mirror's tables from their source: ``dataset, key, status, columns``."""
+    out = None
+    for dataset, (table, key, ignore) in checks.items():
+        found = compare(mirror[table], source[table], key, ignore)
+        text = F.concat_ws("/", *[F.col(x).cast("string") for x in key])
+        part = found.select(F.lit(dataset).alias("dataset"), text.alias("key"), "status", "columns")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+register_check("mirror-differences", mirror_differences)
 register_check("closed-discussions", closed_discussions)
 register_check("talk-without-article", talk_without_article)
 register_check("talk-of-redirects", talk_of_redirects)

@@ -206,10 +206,10 @@ def rounding(cat):
     return cat["recentchanges"].select("rc_id", times.round_to_second(F.col("rc_timestamp")).alias("rounded"))
 
 
-@query("f09_sha1_codec", "select rev_id, lpad(rev_sha1, 40, '0') as digest, 31 as stored_length from @revision where rev_sha1 is not null")
+@query("f09_sha1_codec", "select rev_id, lpad(rev_sha1, 40, '0') as digest, case when rev_sha1 is not null then 31 end as stored_length from @revision")
 def sha1_codec(cat):
     stored = enc.sha1_to_base36("rev_sha1")
-    rows = cat["revision"].where("rev_sha1 is not null").select("rev_id", stored.alias("stored"))
+    rows = cat["revision"].select("rev_id", stored.alias("stored"))
     return rows.select("rev_id", enc.sha1_from_base36("stored").alias("digest"), F.length("stored").alias("stored_length"))
 
 

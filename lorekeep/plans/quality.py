@@ -345,6 +345,45 @@ def table_differences(cat):
     return Q.compare(mirror, source, ["rc_id"], ignore=["rc_timestamp"])
 
 
+# dataset -> a number per row that decides what happens to it, and the text that changes
+_MIRRORED = {
+    "pages": ("page_id", "page_title"), "revisions": ("rev_id", "rev_comment"), "deleted revisions": ("ar_rev_id", "ar_comment"),
+    "recent changes": ("rc_id", "rc_comment"), "log events": ("log_id", "log_comment"), "users": ("user_id", "user_name"),
+    "blocks": ("ipb_id", None), "protected titles": ("length(pt_title)", "pt_level"),
+    "tags": ("length(tag_name)", "tag_displayname"), "namespaces": ("nss_id + 20", "nss_name"),
+    "interwiki prefixes": ("length(iw_prefix)", "iw_url"), "redirects": ("rd_from", "rd_title"),
+    "sections": ("sec_page + sec_number", "sec_title"), "category members": ("cl_from", "cl_sortkey_prefix"),
+    "language links": ("ll_from", "ll_title"), "page links": ("pl_from", None), "template links": ("tl_from", None),
+    "image links": ("il_from", None), "external links": ("el_from", None), "page properties": ("pp_page", "pp_value"),
+}
+
+
+def _mirror_sql() -> str:
+    parts = []
+    for dataset, (number, text) in _MIRRORED.items():
+        table, key, _ = Q.MIRROR_CHECKS[dataset]
+        name = " || '/' || ".join(f"cast({x} as varchar)" for x in key)
+        changed = f"{number} % 3 = 0 and {text} is not null" if text else "false"
+        parts.append(f"""select '{dataset}' as dataset, {name} as key, status, case when status = 'differs' then '{text}' else '' end as columns
+          from (select *, case when {number} % 7 = 0 then (case when {number} % 5 <> 0 then 'only right' end)
+            when {number} % 5 = 0 then 'only left' when {changed} then 'differs' end as status from @{table}) t where status is not null""")
+    return " union all ".join(parts)
+
+
+@query("q24_mirror", _mirror_sql())
+def mirror(cat):
+    left, right = {}, {}
+    for dataset, (number, text) in _MIRRORED.items():
+        table, _, ignore = Q.MIRROR_CHECKS[dataset]
+        rows = cat[table]
+        left[table] = rows.where(f"{number} % 7 <> 0")
+        right[table] = rows.where(f"{number} % 5 <> 0").drop(*ignore)
+        if text:
+            new = F.when(F.expr(f"{number} % 3 = 0"), F.concat(text, F.lit("!"))).otherwise(F.col(text))
+            right[table] = right[table].withColumn(text, new)
+    return Q.mirror_differences(MemoryCatalog(cat.spark, left), MemoryCatalog(cat.spark, right))
+
+
 @query("j16_outer_comparison", """
   select ar_rev_id as rev, case when r.rev_id is null then 'only left' else 'only right' end as status
   from (select ar_rev_id from @archive) a full join (select rev_id from @revision) r on r.rev_id = a.ar_rev_id

@@ -29,10 +29,10 @@ def partitioned_by_month(cat):
 @query("s02_history_dump", """
   select r.rev_id, r.rev_page, p.page_title, r.rev_user, r.rev_user_text, date_trunc('second', r.rev_timestamp) as rev_timestamp,
          r.rev_minor_edit, lpad(r.rev_sha1, 40, '0') as rev_sha1, r.rev_comment as old_text
-  from @revision r join @page p on p.page_id = r.rev_page where r.rev_sha1 is not null""")
+  from @revision r join @page p on p.page_id = r.rev_page""")
 def history_dump(cat):
     path = S.scratch_folder(cat.spark, "dump")
-    rows = cat["revision"].where("rev_sha1 is not null").join(cat["page"], F.col("rev_page") == F.col("page_id"))
+    rows = cat["revision"].join(cat["page"], F.col("rev_page") == F.col("page_id"))
     revision = F.struct(
         F.col("rev_id").alias("id"), F.col("rev_parent_id").alias("parentid"),
         F.date_format("rev_timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"),

@@ -255,6 +255,8 @@ def test_compare_tables(spark):
     right = spark.createDataFrame([(1, ["b", "a"], 6), (2, ["b"], 5), (4, ["a"], 5)], "k int, xs array<string>, n int")
     assert rows(quality.compare(left, right, ["k"], ignore=["n"])) == [
         (2, "differs", "xs"), (3, "only left", ""), (4, "only right", "")]
+    assert rows(quality.compare(left.drop("xs"), right, ["k"])) == [
+        (1, "differs", "n,xs"), (2, "differs", "xs"), (3, "only left", ""), (4, "only right", "")]
 
 
 def test_url_rules(spark, tmp_path):
