@@ -22,16 +22,21 @@ from lorekeep.llm.common import map_rows, text_of, words_of
 
 LEVEL = 3
 CHUNK = 4096
-# up to so many bytes: least and greatest ratio of the whole text
-BANDS = [
-    (64, 0.0, 99.0), (256, 0.8, 2.5), (1024, 1.1, 2.8), (4096, 1.25, 3.0), (16384, 1.35, 3.2), (65536, 1.35, 3.6),
-    (float("inf"), 1.35, 4.5),
+# at so many bytes: least ratio, between them by the logarithm of the length; none up to 64 bytes
+LEAST = [
+    (64, 0.8), (128, 0.9), (256, 1.15), (512, 1.32), (1024, 1.48), (2048, 1.68), (4096, 1.83), (8192, 1.98),
+    (16384, 2.08), (65536, 2.2),
 ]
-CHUNK_BAND = (1.25, 3.2)
+LEAST_OTHER = [(256, 0.8), (1024, 1.1), (4096, 1.25), (16384, 1.35)]
+OTHER_SCRIPT = 0.4
+# up to so many bytes: greatest ratio
+MOST = [(64, 99.0), (256, 2.5), (1024, 2.8), (4096, 3.0), (16384, 3.2), (65536, 3.6), (float("inf"), 4.5)]
+CHUNK_MOST = 3.2
 BAD_CHUNKS = 0.3
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 _BLANK = " \t\n\r\x0b\x0c"
+_ASCII = bytes(range(128))
 
 
 def repeat_words(words: list[str]) -> int:
@@ -52,19 +57,28 @@ def repeat_words(words: list[str]) -> int:
     return int(hit.sum())
 
 
+def least_ratio(data: bytes) -> float:
+    """Lower limit of the ratio for the length and script of ``data``."""
+    if len(data) <= 64:
+        return 0.0
+    other = len(data.translate(None, _ASCII)) > OTHER_SCRIPT * len(data)
+    sizes, limits = zip(*(LEAST_OTHER if other else LEAST), strict=True)
+    return float(np.interp(np.log2(len(data)), np.log2(sizes), limits))
+
+
 def compression_verdict(data: bytes, compressor: zstandard.ZstdCompressor) -> tuple[float, float, bool]:
     """Ratio of the whole text, share of full chunks outside their band, verdict."""
     if not data:
         return 0.0, 0.0, False
     ratio = len(data) / len(compressor.compress(data))
-    low, high = next((a, b) for most, a, b in BANDS if len(data) <= most)
+    high = next(b for most, b in MOST if len(data) <= most)
     bad = total = 0
     for start in range(0, len(data) - CHUNK + 1, CHUNK):
-        chunk = len(compressor.compress(data[start : start + CHUNK]))
+        chunk = data[start : start + CHUNK]
         total += 1
-        bad += not CHUNK_BAND[0] <= CHUNK / chunk <= CHUNK_BAND[1]
+        bad += not least_ratio(chunk) <= CHUNK / len(compressor.compress(chunk)) <= CHUNK_MOST
     share = bad / total if total else 0.0
-    return ratio, share, low <= ratio <= high and share <= BAD_CHUNKS
+    return ratio, share, least_ratio(data) <= ratio <= high and share <= BAD_CHUNKS
 
 
 def quality_bands(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

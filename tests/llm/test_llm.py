@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -21,7 +22,7 @@ from lorekeep.llm.exact_dedup import exact_dedup, exact_groups
 from lorekeep.llm.mixing import mix, mixed_documents
 from lorekeep.llm.near_dedup import mixed, near_dedup, near_duplicates, signatures
 from lorekeep.llm.pii import KINDS, all_spans, base_spans, find_pii, luhn, train
-from lorekeep.llm.quality_bands import quality_bands, repeat_words
+from lorekeep.llm.quality_bands import LEVEL, compression_verdict, quality_bands, repeat_words
 from lorekeep.llm.rule_ensemble import quality_scores
 from lorekeep.llm.token_counts import Automaton, read_pieces, token_counts
 from lorekeep.llm.token_files import (
@@ -251,6 +252,48 @@ def test_quality_bands_brute_force(spark, texts):
     assert not two.where("doc_id = 1").first().base_failed and two.where("doc_id = 1").first().zstd_ratio < 1.35
 
 
+@pytest.fixture(scope="module")
+def clean(spark):
+    """Texts of sf0.1 labelled as clean, as bytes."""
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where("quality = 1").select("doc_id")
+    rows = spark.read.parquet(f"{folder}/documents.parquet").join(labels, "doc_id").orderBy("doc_id").collect()
+    return [r.text.encode() for r in rows]
+
+
+def noise_words(rng, letters, size, width=0):
+    words = []
+    while sum(map(len, words)) + len(words) <= size:
+        words.append("".join(rng.choices(letters, k=width or rng.randint(2, 10))))
+    return " ".join(words)[:size].encode()
+
+
+BASE64 = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+
+
+def test_lower_limits_reject_noise_and_keep_clean_texts(clean):
+    compressor, rng = zstandard.ZstdCompressor(level=LEVEL), random.Random(5)
+    good = lambda data: compression_verdict(data, compressor)[2]
+    prose = b" ".join(t for t in clean if 2000 < len(t) < 9000)
+    assert good(prose[:40_000]) and all(map(good, clean))
+    for size in (400, 700, 1500, 4000, 8000, 20_000, 60_000):
+        assert not any(good(noise_words(rng, BASE64, size, width)) for width in (0, 8, 60))
+    for size in (2500, 4000, 8000, 20_000, 60_000):
+        assert not good(noise_words(rng, BASE64[:26], size))
+    for size in (1000, 2000, 4000, 10_000, 20_000):
+        half = prose[:size] + b" " + noise_words(rng, BASE64, size, 8)
+        assert not good(half)
+    _, share, verdict = compression_verdict(prose[:20_480] + noise_words(rng, BASE64, 20_480, 60), compressor)
+    assert share == 0.5 and not verdict
+
+
+def test_other_scripts_have_wide_limits():
+    compressor, rng = zstandard.ZstdCompressor(level=LEVEL), random.Random(5)
+    signs = [chr(0x4E00 + rng.randrange(2000)) for _ in range(2500)]
+    ratio, _, verdict = compression_verdict("".join(signs).encode(), compressor)
+    assert 1.35 < ratio < 1.9 and verdict
+
+
 @pytest.mark.parametrize("kind", ["quality", "toxic"])
 def test_held_out_accuracy(spark, kind):
     folder = "/root/testdata/sf0.1"
