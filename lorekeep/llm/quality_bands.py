@@ -3,7 +3,9 @@
 A text is compressed with zstandard as a whole and in fixed chunks. Text that repeats itself
 compresses too well, noise hardly at all; what is normal depends on the length, so each length has
 a band of its own. A document is rejected if its whole ratio leaves the band of its length or if
-more than ``BAD_CHUNKS`` of its full chunks leave the band of chunks. Plain counts, independent of
+more than ``BAD_CHUNKS`` of its bytes lie in chunks that leave their band. What remains after the full
+chunks is a chunk too: as it is it has the band of its length, and with the bytes before it, as the last
+``CHUNK`` bytes, the band of chunks; it counts with its own bytes. Plain counts, independent of
 compression, come with it and reject by themselves.
 
 Defined cases: null is the empty text; it has no words and fails the base rules; texts are read
@@ -67,22 +69,31 @@ def least_ratio(data: bytes) -> float:
 
 
 def compression_verdict(data: bytes, compressor: zstandard.ZstdCompressor) -> tuple[float, float, bool]:
-    """Ratio of the whole text, share of full chunks outside their band, verdict."""
+    """Ratio of the whole text, share of its bytes in chunks outside their band, verdict."""
     if not data:
         return 0.0, 0.0, False
-    ratio = len(data) / len(compressor.compress(data))
-    high = next(b for most, b in MOST if len(data) <= most)
-    bad = total = 0
-    for start in range(0, len(data) - CHUNK + 1, CHUNK):
-        chunk = data[start : start + CHUNK]
-        total += 1
-        bad += not least_ratio(chunk) <= CHUNK / len(compressor.compress(chunk)) <= CHUNK_MOST
-    share = bad / total if total else 0.0
-    return ratio, share, least_ratio(data) <= ratio <= high and share <= BAD_CHUNKS
+
+    def tested(part: bytes, most: float) -> tuple[float, bool]:
+        ratio = len(part) / len(compressor.compress(part))
+        return ratio, least_ratio(part) <= ratio <= most
+
+    def most_ratio(size: int) -> float:
+        return next(high for most, high in MOST if size <= most)
+
+    ratio, good = tested(data, most_ratio(len(data)))
+    full = len(data) - len(data) % CHUNK
+    bad = sum(CHUNK for at in range(0, full, CHUNK) if not tested(data[at : at + CHUNK], CHUNK_MOST)[1])
+    rest = data[full:]
+    if not full:  # the rest is the whole text
+        bad = 0 if good else len(rest)
+    elif rest and not (tested(rest, most_ratio(len(rest)))[1] and tested(data[-CHUNK:], CHUNK_MOST)[1]):
+        bad += len(rest)
+    share = bad / len(data)
+    return ratio, share, good and share <= BAD_CHUNKS
 
 
 def quality_bands(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Base counts, base_failed, kept, and the ratio and bad-chunk share behind the verdict."""
+    """Base counts, base_failed, kept, and the ratio and share of bytes in bad chunks behind the verdict."""
 
     def build():
         compressor = zstandard.ZstdCompressor(level=LEVEL)

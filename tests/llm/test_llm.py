@@ -287,6 +287,20 @@ def test_lower_limits_reject_noise_and_keep_clean_texts(clean):
     assert share == 0.5 and not verdict
 
 
+def test_bytes_after_the_last_full_chunk_count(clean):
+    compressor, rng = zstandard.ZstdCompressor(level=LEVEL), random.Random(6)
+    prose = b" ".join(t for t in clean if 2000 < len(t) < 9000)
+    passage = prose[50_000:50_060]
+    for tail in ((passage * 32)[:1904], noise_words(rng, BASE64, 1904, 8)):
+        for data in (prose[:4096] + tail, tail + prose[:4096]):
+            ratio, share, verdict = compression_verdict(data, compressor)
+            assert share > 0.3 and not verdict
+    for size in (0, 700, 1904, 3900):
+        assert compression_verdict(prose[: 8192 + size], compressor)[1:] == (0.0, True)
+    # a short bad tail counts with its own bytes
+    assert compression_verdict(prose[:8192] + passage * 20, compressor)[1:] == (1200 / 9392, True)
+
+
 def test_other_scripts_have_wide_limits():
     compressor, rng = zstandard.ZstdCompressor(level=LEVEL), random.Random(5)
     signs = [chr(0x4E00 + rng.randrange(2000)) for _ in range(2500)]
