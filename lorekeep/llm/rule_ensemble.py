@@ -29,6 +29,7 @@ TREES, DEPTH, CUTS = 40, 3, 24
 PENALTY = 0.002
 FOLDS = 5
 SEED = 11
+THRESHOLD = 0.3
 
 
 class Rule(NamedTuple):
@@ -57,8 +58,15 @@ def held_out(doc_id: str | Column) -> Column:
 
 def statistics(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id and one double per name in ``STATISTICS``."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("_t")).select(
-        "doc_id", "_t",
+    return with_statistics(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_body")), "_body").drop(
+        "_body"
+    )
+
+
+def with_statistics(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` and one double per name in ``STATISTICS``; no column of ``docs`` has such a name."""
+    rows = docs.select(*docs.columns, text_of(text).alias("_t")).select(
+        *docs.columns, "_t",
         F.expr(r"filter(split(_t, '[\\x20\\x09-\\x0D]+'), x -> x <> '')").alias("_w"),
         F.expr(r"filter(split(_t, '\n'), x -> x rlike '[^\\x20\\x09-\\x0D]')").alias("_l"),
     )
@@ -74,7 +82,7 @@ def statistics(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
         "repeated_lines": 1 - F.size(F.array_distinct("_l")) / F.greatest(lines, F.lit(1)),
         "new_words": F.when(n > 0, F.size(F.array_distinct("_w")) / some).otherwise(0),
     }
-    return rows.select("doc_id", *[F.round(made[s].cast("double"), 6).alias(s) for s in STATISTICS])
+    return rows.select(*docs.columns, *[F.round(made[s].cast("double"), 6).alias(s) for s in STATISTICS])
 
 
 # ---- fitting ------------------------------------------------------------------------------
@@ -192,26 +200,38 @@ def labelled_sample(labels: DataFrame, label: str, sample: int, label_id: str =
     return rows.groupBy("doc_id").agg(F.max("y").alias("y"))
 
 
+def trained(stats: DataFrame, chosen: DataFrame) -> Model:
+    """The model of the rows of ``stats`` whose labels are in the bounded ``chosen``."""
+    # at most the sample is broadcast and collected
+    rows = stats.join(F.broadcast(chosen), "doc_id").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    return fit(rows[STATISTICS].to_numpy(float), rows["y"].to_numpy(int))
+
+
 def quality_scores(
     docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality",
-    sample: int = SAMPLE, threshold: float = 0.3,
+    sample: int = SAMPLE, threshold: float = THRESHOLD,
 ) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     stats = settle(statistics(docs, text, doc_id), "statistics")
-    # at most the sample is broadcast and collected
-    chosen = F.broadcast(labelled_sample(labels, label, sample))
-
-    rows = stats.join(chosen, "doc_id").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
-    model = fit(rows[STATISTICS].to_numpy(float), rows["y"].to_numpy(int))
+    model = trained(stats, labelled_sample(labels, label, sample))
     return stats.select(
         "doc_id", held_out("doc_id").alias("held_out"), compiled(model).alias("score")
     ).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def quality_filter(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """The rows that the classifier accepts, with the columns of ``docs``."""
+def quality_filter(
+    docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality",
+    sample: int = SAMPLE, threshold: float = THRESHOLD,
+) -> DataFrame:
+    """The rows that the classifier accepts, each by its own text, with the columns of ``docs``."""
     names = docs.columns
     safe = docs.toDF(*[f"_in{i}" for i in range(len(names))])
     own, body = f"_in{names.index(doc_id)}", f"_in{names.index(text)}"
-    gone = quality_scores(safe, labels, body, own, **options).where("predicted = 0").select("doc_id").distinct()
-    return safe.join(gone, safe[own].cast("long").eqNullSafe(gone["doc_id"]), "left_anti").toDF(*names)
+    chosen = labelled_sample(labels, label, sample)
+    drawn = safe.join(F.broadcast(chosen), safe[own].cast("long") == chosen["doc_id"], "left_semi")
+    model = trained(statistics(drawn, body, own), chosen)
+    # the filter would be pushed below the statistics, and they computed anew in every rule, but for a
+    # column that is not deterministic
+    rows = with_statistics(safe, body).withColumn("_row", F.monotonically_increasing_id())
+    accepted = (compiled(model) >= threshold) & (F.col("_row") >= 0)
+    return rows.where(accepted).select(*safe.columns).toDF(*names)

@@ -23,7 +23,7 @@ from lorekeep.llm.mixing import mix, mixed_documents
 from lorekeep.llm.near_dedup import mixed, near_dedup, near_duplicates, signatures
 from lorekeep.llm.pii import KINDS, all_spans, base_spans, find_pii, luhn, train
 from lorekeep.llm.quality_bands import LEVEL, compression_verdict, quality_bands, repeat_words
-from lorekeep.llm.rule_ensemble import quality_scores
+from lorekeep.llm.rule_ensemble import quality_filter, quality_scores
 from lorekeep.llm.token_counts import Automaton, read_pieces, token_counts
 from lorekeep.llm.token_files import (
     canonical_codes, code_lengths, decode_table, new_folder, pack, read_token_files, unpack, write_token_files,
@@ -98,6 +98,26 @@ def test_stages_keep_columns_and_survive_edge_cases(spark, odd, empty, labels):
     assert exact_dedup(odd).count() == len(ODD) - 2 + 1  # null, empty and the repeated row fall together
 
 
+def test_quality_filter_survives_edge_cases(spark, odd, empty, labels):
+    assert quality_filter(odd, labels).columns == odd.columns
+    assert quality_filter(empty, labels).count() == 0
+    # without labels of both kinds all rows are accepted or none; repeated rows and null ids stay
+    same = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    assert quality_filter(odd, same).count() == odd.count()
+
+
+def test_quality_filter_rejects_rows_not_ids(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    found = docs.join(quality_scores(docs, labels).select("doc_id", "predicted"), "doc_id").orderBy("doc_id").collect()
+    accepted, rejected = ([r.text for r in found if r.predicted == k] for k in (1, 0))
+    more = [(i, t, "en", "s", 1) for i in (None, 10**9) for t in (accepted[0], rejected[0], accepted[1], accepted[1])]
+    got = quality_filter(docs.unionByName(spark.createDataFrame(more, docs.schema)), labels).collect()
+    assert sorted(r.doc_id for r in got if r.doc_id is not None and r.doc_id < 10**9) == [r.doc_id for r in found if r.predicted]
+    for i in (None, 10**9):
+        assert sorted(r.text for r in got if r.doc_id == i) == sorted([accepted[0], accepted[1], accepted[1]])
+
+
 # ---- SQL ----------------------------------------------------------------------------------
 
 
