@@ -9,7 +9,8 @@ base ones (a phone number without country code, a spelled-out address, a key) ar
 always stay.
 
 The field is trained by conditional likelihood on windows around base spans of a bounded sample of
-documents (``SAMPLE`` at most, drawn by a hash of the id): as they are, in other common spellings,
+documents (about ``SAMPLE`` at most; of more, drawn by a hash of the id, without null ids, and one text
+of rows that share an id): as they are, in other common spellings,
 and with numbers that mean nothing.
 
 Defined cases: null is the empty text and has no spans; texts are read whole; repeated rows give
@@ -439,7 +440,8 @@ def training_windows(docs: DataFrame, sample: int = SAMPLE) -> list[str]:
     total = slim.select("doc_id").count()
     share = F.pmod(F.xxhash64("doc_id"), F.lit(2**32)) / float(2**32)
     if total > sample:
-        slim = slim.where(share < sample / total)
+        drawn = slim.where(F.col("doc_id").isNotNull() & (share < sample / total))
+        slim = drawn.groupBy("doc_id").agg(F.min("text").alias("text"))
     rows = map_rows(slim, "doc_id long, part string", build).toPandas()
     return sorted(set(rows["part"]))
 

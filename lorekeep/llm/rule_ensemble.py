@@ -6,7 +6,7 @@ most rules the weight 0; the others are compiled into one Spark column expressio
 no Python at all.
 
 The sample has about ``SAMPLE`` labelled rows at most, drawn by a hash of the id; with fewer
-labels all are used. Held-out rows (crc32 of the id modulo 5 is 0) never take part.
+labels all are used. Rows that share an id count once, by their least statistics. Held-out rows (crc32 of the id modulo 5 is 0) never take part.
 
 Defined cases: null is the empty text, whose statistics are 0 and whose score is the model's for
 them; labels of ids that don't occur, null labels and null ids are ignored; repeated rows give
@@ -202,8 +202,10 @@ def labelled_sample(labels: DataFrame, label: str, sample: int, label_id: str =
 
 def trained(stats: DataFrame, chosen: DataFrame) -> Model:
     """The model of the rows of ``stats`` whose labels are in the bounded ``chosen``."""
-    # at most the sample is broadcast and collected
-    rows = stats.join(F.broadcast(chosen), "doc_id").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    # at most the sample is broadcast and collected: rows that share an id become one before
+    one = F.min(F.struct(*STATISTICS, "y")).alias("one")
+    rows = stats.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(one).select("doc_id", "one.*")
+    rows = rows.toPandas().sort_values("doc_id")
     return fit(rows[STATISTICS].to_numpy(float), rows["y"].to_numpy(int))
 
 

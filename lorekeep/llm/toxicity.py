@@ -128,7 +128,7 @@ def fit(positives: list[Features], unlabelled: list[Features], prior: float) ->
 
 
 def _feature_rows(docs: DataFrame) -> list[Features]:
-    """Features of a bounded number of documents, on the driver, in id order."""
+    """Features of a bounded number of ids, one row for each, on the driver, in id order."""
 
     def build():
         buckets = Buckets()
@@ -142,10 +142,11 @@ def _feature_rows(docs: DataFrame) -> list[Features]:
 
         return step
 
+    one = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
     rows: pd.DataFrame = map_rows(
-        docs, "doc_id long, buckets array<int>, amounts array<float>, length double", build
+        one, "doc_id long, buckets array<int>, amounts array<float>, length double", build
     ).toPandas()
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
+    rows = rows.sort_values("doc_id")
     columns = zip(rows["buckets"], rows["amounts"], rows["length"], strict=True)
     return [Features(np.asarray(b, np.int32), np.asarray(v, np.float32), n) for b, v, n in columns]
 

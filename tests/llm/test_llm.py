@@ -21,14 +21,14 @@ from lorekeep.llm.common import words_of
 from lorekeep.llm.exact_dedup import exact_dedup, exact_groups
 from lorekeep.llm.mixing import mix, mixed_documents
 from lorekeep.llm.near_dedup import mixed, near_dedup, near_duplicates, signatures
-from lorekeep.llm.pii import KINDS, all_spans, base_spans, find_pii, luhn, train
+from lorekeep.llm.pii import KINDS, all_spans, base_spans, find_pii, luhn, train, training_windows
 from lorekeep.llm.quality_bands import LEVEL, compression_verdict, quality_bands, repeat_words
-from lorekeep.llm.rule_ensemble import quality_filter, quality_scores
+from lorekeep.llm.rule_ensemble import quality_filter, quality_scores, statistics, trained
 from lorekeep.llm.token_counts import Automaton, read_pieces, token_counts
 from lorekeep.llm.token_files import (
     canonical_codes, code_lengths, decode_table, new_folder, pack, read_token_files, unpack, write_token_files,
 )
-from lorekeep.llm.toxicity import toxicity_scores
+from lorekeep.llm.toxicity import _feature_rows, toxicity_scores
 from tests.conftest import SF_DIR
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -339,6 +339,19 @@ def test_held_out_accuracy(spark, kind):
     assert (rows.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 5) == 0).all()
 
 
+def test_samples_are_bounded_by_rows(spark, monkeypatch):
+    """Null and repeated ids on two thirds of the rows: what comes to the driver stays small."""
+    rows = [(i if i % 3 == 0 else None if i % 3 == 1 else 3, f"write to a{i}@b{i}.org or c{i}") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(training_windows(docs, 100)) <= 150
+    sizes, collect = [], type(docs).toPandas
+    monkeypatch.setattr(type(docs), "toPandas", lambda self: sizes.append(len(found := collect(self))) or found)
+    few = spark.createDataFrame([(3, 1), (6, 0), (9, 1)], "doc_id long, y int")
+    trained(statistics(docs), few)
+    assert len(_feature_rows(docs.join(few, "doc_id", "left_semi"))) == 3
+    assert sizes == [3, 3]
+
+
 # ---- near duplicates ----------------------------------------------------------------------
 
 
