@@ -22,7 +22,7 @@ def renamed(rows: DataFrame, column: str, names: DataFrame) -> DataFrame:
     return joined.withColumn(column, F.coalesce("_to", column)).select(*rows.columns)
 
 
-def _shortened(hooks: DataFrame) -> DataFrame:
+def shortened(hooks: DataFrame) -> DataFrame:
     """Chains id -> component followed to their ends."""
     while True:
         other = hooks.select(F.col("id").alias("_from"), F.col("component").alias("_to"))
@@ -44,7 +44,7 @@ def merge_components(names: DataFrame, links: DataFrame) -> DataFrame:
     while not open_links.isEmpty():
         both = open_links.select("a", "b").unionAll(open_links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hooks = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")).where("component < id")
-        hooks = _shortened(settle(hooks, "components"))
+        hooks = shortened(settle(hooks, "components"))
         kept = renamed(names, "component", hooks)
         # an id that hooks for the first time was no member of a component before
         new = hooks.join(names.select("id"), "id", "left_anti")

@@ -10,16 +10,19 @@ from pyspark.sql import functions as F
 
 from lorekeep.llm import sql
 from lorekeep.llm.bpe import encoding_digests
-from lorekeep.llm.common import read_table, text_of
+from lorekeep.llm.common import new_shared_folder, read_table, text_of
+from lorekeep.llm.conversations import repaired
 from lorekeep.llm.exact_dedup import exact_groups
 from lorekeep.llm.mixing import mix
 from lorekeep.llm.near_dedup import near_duplicates
 from lorekeep.llm.pii import find_pii
 from lorekeep.llm.quality_bands import quality_bands
 from lorekeep.llm.rule_ensemble import quality_scores
+from lorekeep.llm.spelling import spelling_variants
 from lorekeep.llm.token_counts import token_counts
 from lorekeep.llm.token_files import new_folder, read_token_files, write_token_files
 from lorekeep.llm.toxicity import toxicity_scores
+from lorekeep.llm.warc import read_archives, resolved, write_archives
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,11 +78,26 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired(read_table(spark, sf_dir, "conversations"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_shared_folder(spark, "warc")
+    records, _ = read_archives(write_archives(read_table(spark, sf_dir, "pages"), path), path)
+    return resolved(records)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_pii_spans, op2_source_mix, op3_token_counts, op4_token_files, op5_compression_bands, op6_quality_rules,
-        op7_near_duplicates, op8_bpe, op9_exact_duplicates, op10_toxicity,
+        op7_near_duplicates, op8_bpe, op9_exact_duplicates, op10_toxicity, op11_spelling_variants,
+        op12_conversation_repair, op13_warc,
     )
 }
 
@@ -87,4 +105,6 @@ SQL: dict[str, str] = {
     "op2_source_mix": sql.SOURCE_MIX,
     "op7_near_duplicates": sql.NEAR_DUPLICATES,
     "op9_exact_duplicates": sql.EXACT_DUPLICATES,
+    "op11_spelling_variants": sql.SPELLING,
+    "op13_warc": sql.WARC,
 }

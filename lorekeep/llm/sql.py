@@ -93,3 +93,65 @@ from sized z
 left join classes k on k.doc_id = z.doc_id
 left join components c on c.rep = k.rep
 """
+
+SPELLING = r"""
+with recursive table256 as (
+    select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+        lambda c, k: case when c % 2 = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end)) as t
+), runs as (
+    select coalesce(doc_id::varchar, '') as id, unnest(regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[a-z\x{C0}-\x{FF}]{7,}')) as run
+    from documents
+), per_document as (
+    select id, run, count(*) as n, hex(encode(id || ':' || run)) as h from runs group by id, run
+), coded as (
+    select run, n, xor(4294967295::bigint, list_reduce(
+        list_prepend(4294967295::bigint, list_transform(range(1, len(h), 2), lambda i: ('0x' || substr(h, i, 2))::bigint)),
+        lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]))) as code
+    from per_document, table256
+), slipped as (
+    select n, case when code % 31 = 0
+        then left(run, (code % length(run))::int) || substr(run, (code % length(run))::int + 2) else run end as word
+    from coded
+), words as (
+    select word, sum(n)::bigint as n from slipped where length(word) >= 7 group by word having sum(n) >= 2
+), cuts as (
+    select distinct word, n, unnest(list_transform(range(1, length(word) + 1), lambda i: struct_pack(
+        at := i, rest := left(word, (i - 1)::int) || substr(word, (i + 1)::int)))) as cut
+    from words
+), pairs as (
+    select a.word, b.word as near, b.n as near_n from cuts a join cuts b on a.cut = b.cut and a.word <> b.word
+    union
+    select a.word, b.word, b.n from cuts a join words b on a.cut.rest = b.word
+    union
+    select b.word, a.word, a.n from cuts a join words b on a.cut.rest = b.word
+), ranked as (
+    select *, count(*) over (partition by word) as n_near,
+           row_number() over (partition by word order by near_n desc, near) as place
+    from pairs
+), forms as (
+    select w.word, w.n, coalesce(r.n_near, 0) as n_near,
+           case when r.near_n >= 10 * w.n then r.near end as form,
+           case when r.near_n >= 10 * w.n then r.near_n end as form_n
+    from words w left join ranked r on r.word = w.word and r.place = 1
+), steps(word, root) as (
+    select word, form from forms where form is not null
+    union all
+    select s.word, f.form from steps s join forms f on f.word = s.root where f.form is not null
+), roots as (
+    select s.word, s.root from steps s left join forms f on f.word = s.root where f.form is null
+)
+select f.word, f.form, coalesce(r.root, f.word) as root, f.n, f.n_near, f.form_n
+from forms f left join roots r on r.word = f.word
+"""
+
+WARC = """
+select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha1(coalesce(html, '')) as payload_digest,
+       case when later then 'revisit' else 'response' end as record_type, case when later then holder end as refers_to
+from (
+    select *, octet_length(encode(coalesce(html, ''))) >= 1000
+              and (page_id < holder or (page_id is null and holder is not null)) as later
+    from (select *, max(page_id) over (partition by coalesce(html, '')) as holder from pages)
+)
+"""
