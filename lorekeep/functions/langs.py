@@ -59,11 +59,16 @@ LANGUAGES = [
     Language("简体中文", "zh-hans", "Chinese (Simplified)"),
     Language("正體中文", "zh-hant", "Chinese (Traditional)"),
 ]
+# fixed values: languages written from right to left
 RTL_TAGS = ["ar", "he"]
+# fixed values: languages with a wiki of their own
 EXTERNAL_TAGS = ["de", "ja", "sv", "zh-hans"]
-INTERNAL_TAGS = (
-    "ar bs bg ca cs da el en es fi fr he hr hu id it ko lt nl pl pt ru sk sr th tr uk zh-hant"
-).split()
+# fixed values: languages of this wiki
+INTERNAL_TAGS = [
+    "ar", "bs", "bg", "ca", "cs", "da", "el", "en", "es", "fi", "fr", "he", "hr", "hu", "id", "it", "ko", "lt", "nl",
+    "pl", "pt", "ru", "sk", "sr", "th", "tr", "uk", "zh-hant",
+]
+# fixed values: tags that HTML spells otherwise
 HTML_CODES = {"zh-hans": "zh-Hans", "zh-hant": "zh-Hant"}
 
 LOCAL_LANGUAGE = "English"

@@ -1,7 +1,6 @@
-"""Wikitext helpers: redirects, headings, links and plain text by regular expression.
+"""Wikitext helpers by regular expression: redirects, plain text, counts and sort keys.
 
-Links and templates inside comments, ``nowiki`` and ``pre`` are left out. Known
-limit: labels are followed to one level of links inside them.
+What nests (links, transclusions, headings between protected parts) is in ``markup``.
 """
 
 from __future__ import annotations
@@ -10,16 +9,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _REDIRECT = r"(?i)^\s*#redirect\s*:?\s*\[\[([^\[\]{}]+)\]\]"
-_HEADING = r"^((={1,6})[^\S\n]*)([^\n]+?)([^\S\n]*(\2))[^\S\n]*$"
-# a label that holds links itself is not consumed, so that its links are found as well; all
-# repetitions over it are possessive, which keeps the match linear and off the stack
-WIKILINK = (
-    r"\[\[[^\[\]{}|\n]+(?:\]\]|\|[^\[\]]*+\]\]|\|(?=(?:[^\[\]]++|\[\[[^\[\]]*+\]\]|\[[^\[\]]*+\])*+\]\]))"
-)
-# not ``{{{name}}}``, which is a parameter
-TRANSCLUSION = r"(?<!\{)\{\{(?!\{)([^{}|\[\]\n<>]+)"
-_HIDDEN = r"(?is)<!--.*?-->|<(nowiki|pre)\b[^>]*>.*?</\1\s*>"
-EXTERNAL_LINK = r"(?:https?|ftp|ircs?|mailto):[^\s\[\]<>\"{}|]+"
 
 
 def is_redirect(text: Column, whole: bool = False) -> Column:
@@ -33,54 +22,6 @@ def redirect_target(text: Column) -> Column:
     return F.when(is_redirect(text), F.substring_index(link, "|", 1))
 
 
-def headings(text: Column) -> Column:
-    """Headings in order as ``array<struct<level, title>>``."""
-    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(_HEADING))
-    return F.transform(
-        lines,
-        lambda line: F.struct(
-            F.length(F.regexp_extract(line, _HEADING, 2)).alias("level"),
-            F.trim(F.regexp_extract(line, _HEADING, 3)).alias("title"),
-        ),
-    )
-
-
-def visible(text: Column, instead: str = "") -> Column:
-    """Text without comments and without what ``nowiki`` and ``pre`` protect."""
-    return F.regexp_replace(text, _HIDDEN, instead)
-
-
-def wikilinks(text: Column) -> Column:
-    """Links in order as ``array<struct<target, label>>``.
-
-    A link comes before the links in its label. The label is NULL when absent and
-    when it holds brackets itself, as a caption with links does.
-    """
-    found = F.regexp_extract_all(visible(text), F.lit(WIKILINK), F.lit(0))
-    return F.transform(
-        found,
-        lambda link: F.struct(
-            F.regexp_extract(link, r"^\[\[([^|\]]*)", 1).alias("target"),
-            F.when(
-                F.contains(link, F.lit("|")) & F.endswith(link, F.lit("]]")),
-                F.regexp_extract(link, r"(?s)\|(.*)\]\]$", 1),
-            ).alias("label"),
-        ),
-    )
-
-
-def transclusions(text: Column) -> Column:
-    """Names in ``{{name|...}}``, trimmed, in order."""
-    found = F.regexp_extract_all(visible(text), F.lit(TRANSCLUSION), F.lit(1))
-    return F.transform(found, lambda name: F.trim(name))
-
-
-def external_urls(text: Column) -> Column:
-    """URLs in order, without trailing punctuation."""
-    found = F.regexp_extract_all(visible(text, " "), F.lit(EXTERNAL_LINK), F.lit(0))
-    return F.transform(found, lambda url: F.regexp_replace(url, r"[,;.:!?')]+$", ""))
-
-
 def plain_text(text: Column) -> Column:
     """Approximate text without markup: comments, tags, templates, links, quotes, headings."""
     out = F.regexp_replace(text, r"(?s)<!--.*?-->", "")
@@ -107,20 +48,6 @@ def is_struck_through(title: Column) -> Column:
     return F.startswith(low, F.lit("<s>")) & F.endswith(low, F.lit("</s>"))
 
 
-def transcluded_part(text: Column) -> Column:
-    """What a page contributes where it is transcluded (flat tags, not nested)."""
-    only = r"(?s)<onlyinclude>(.*?)</onlyinclude>"
-    kept = F.when(text.rlike(only), F.regexp_extract(text, only, 1)).otherwise(text)
-    kept = F.regexp_replace(kept, r"(?s)<noinclude>.*?(</noinclude>|$)", "")
-    return F.regexp_replace(kept, r"</?includeonly>", "")
-
-
-def viewed_part(text: Column) -> Column:
-    """What a page shows on itself: the counterpart of :func:`transcluded_part`."""
-    kept = F.regexp_replace(text, r"(?s)<includeonly>.*?(</includeonly>|$)", "")
-    return F.regexp_replace(kept, r"</?(noinclude|onlyinclude)>", "")
-
-
 def phrase_count(text: Column, phrase: str) -> Column:
     """Non-overlapping occurrences of a literal phrase, ignoring case."""
     low = F.lower(text)
@@ -129,26 +56,6 @@ def phrase_count(text: Column, phrase: str) -> Column:
     return (gone / len(needle)).cast("int")
 
 
-def unique_anchors(anchors: Column) -> Column:
-    """Give repeated anchors a numeric suffix, in order, without regard to case.
-
-    Each anchor takes the first of ``a, a_2, a_3, ...`` that no earlier final anchor
-    equals, so suffixed anchors can push later ones further. The fold runs inside
-    the JVM on one page's headings.
-    """
-
-    def step(done: Column, anchor: Column) -> Column:
-        taken = F.transform(done, lambda x: F.lower(x))
-        tries = F.transform(
-            F.sequence(F.lit(2), F.size(done) + 2), lambda j: F.concat(anchor, F.lit("_"), j.cast("string"))
-        )
-        free = F.filter(tries, lambda x: ~F.array_contains(taken, F.lower(x)))
-        chosen = F.when(F.array_contains(taken, F.lower(anchor)), F.element_at(free, 1)).otherwise(anchor)
-        return F.concat(done, F.array(chosen))
-
-    return F.aggregate(anchors, F.array().cast("array<string>"), step)
-
-
 def category_sort_key(title: Column, prefix: Column) -> Column:
     """Upper-case title, behind the upper-case prefix and a line break if there is one."""
     return F.when(F.coalesce(prefix, F.lit("")) != "", F.concat(F.upper(prefix), F.lit("\n"), F.upper(title))).otherwise(

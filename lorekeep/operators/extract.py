@@ -1,8 +1,8 @@
 """Derive link tables from page text.
 
 Input pages have ``page_id, page_namespace, page_title, body``. Each page is read
-once; regular expressions run in the JVM, next to the scan, and only the small
-prefix tables are joined. Titles in the results are parsed and canonical.
+once, next to the scan, and only the small prefix tables are joined. Titles in the
+results are parsed and canonical.
 """
 
 from __future__ import annotations
@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorekeep.functions import markup as M
 from lorekeep.functions import text as W
-from lorekeep.functions.encodings import dot_encode, unescape_each, unescape_entities
+from lorekeep.functions.encodings import dot_encode, unescape_each
 from lorekeep.functions.langs import LANGUAGE_TAGS
 from lorekeep.functions.titles import absolute_link, canonical_title, computed_once, parse_titles, prefixed
 from lorekeep.functions.urls import has_host
@@ -73,7 +74,7 @@ def wikilinks(cat: Catalog, pages: DataFrame) -> DataFrame:
     """
     found = pages.select(
         "page_id", "page_namespace", "page_title", W.is_redirect(F.col("body")).alias("is_redirect"),
-        F.posexplode(W.wikilinks(F.col("body"))).alias("position", "link"),
+        F.posexplode(M.wikilinks(F.col("body"))).alias("position", "link"),
     )
     found = found.select(
         "page_id", "page_namespace", "page_title", "is_redirect", "position",
@@ -153,24 +154,17 @@ def link_tables(links: DataFrame) -> dict[str, DataFrame]:
 
 
 def external_links(pages: DataFrame) -> DataFrame:
-    """External links with a host. Entities are decoded only in links that have any."""
-    urls = pages.select(F.col("page_id").alias("el_from"), F.explode(W.external_urls(F.col("body"))).alias("el_to"))
-    urls = urls.distinct()
-    encoded = F.contains("el_to", F.lit("&"))
-    plain = urls.where(~encoded)
-    decoded = urls.where(encoded).withColumn("_decoded", unescape_entities("el_to"))
-    # evaluated once, although the host test below uses it again
-    decoded = computed_once(decoded, el_to=F.col("_decoded")).select("el_from", "el_to")
-    return plain.unionByName(decoded).where(has_host(F.col("el_to"))).distinct()
+    """External links with a host."""
+    urls = pages.select(F.col("page_id").alias("el_from"), F.explode(M.external_urls(F.col("body"))).alias("el_to"))
+    return urls.where(has_host(F.col("el_to"))).distinct()
 
 
 def sections(pages: DataFrame) -> DataFrame:
     """Headings with number, level, title and unique anchor."""
-    heads = pages.select("page_id", W.headings(F.col("body")).alias("head")).where(F.size("head") > 0)
-    # only the short headings, not the page text, pass through Python
-    plain = unescape_each(F.transform("head", lambda h: W.plain_text(h["title"])))
+    heads = pages.select("page_id", M.headings(F.col("body")).alias("head"))
+    plain = unescape_each(F.transform("head", lambda h: W.plain_text(h["shown"])))
     heads = heads.withColumn("plain", plain)
-    anchors = W.unique_anchors(F.transform("plain", lambda x: dot_encode(x)))
+    anchors = M.unique_anchors(F.transform("plain", lambda x: dot_encode(x)))
     # exploding the headings, not the anchors, keeps the Python step out of inferred filters
     rows = heads.withColumn("anchors", anchors).select(
         F.col("page_id").alias("sec_page"), "anchors", F.posexplode("head").alias("place", "h")
@@ -196,31 +190,39 @@ def redirects(cat: Catalog, pages: DataFrame) -> DataFrame:
 
 
 # fixed values: magic words that are no transclusions
-_PAGE_NAME_WORDS = (
-    "FULLPAGENAME PAGENAME BASEPAGENAME SUBPAGENAME SUBJECTPAGENAME ARTICLEPAGENAME TALKPAGENAME ROOTPAGENAME "
-    "FULLPAGENAMEE PAGENAMEE BASEPAGENAMEE SUBPAGENAMEE SUBJECTPAGENAMEE ARTICLEPAGENAMEE TALKPAGENAMEE ROOTPAGENAMEE "
-    "NAMESPACENUMBER NAMESPACE SUBJECTSPACE ARTICLESPACE TALKSPACE NAMESPACEE SUBJECTSPACEE ARTICLESPACEE TALKSPACEE"
-).split()
-_REVISION_WORDS = (
-    "REVISIONID REVISIONDAY REVISIONDAY2 REVISIONMONTH REVISIONMONTH1 REVISIONYEAR REVISIONTIMESTAMP REVISIONUSER"
-).split()
-MAGIC_VARIABLES = (
-    "CURRENTYEAR CURRENTMONTH CURRENTMONTH1 CURRENTMONTHNAME CURRENTMONTHNAMEGEN CURRENTMONTHABBREV CURRENTDAY "
-    "CURRENTDAY2 CURRENTDOW CURRENTDAYNAME CURRENTTIME CURRENTHOUR CURRENTWEEK CURRENTTIMESTAMP "
-    "LOCALYEAR LOCALMONTH LOCALMONTH1 LOCALMONTHNAME LOCALMONTHNAMEGEN LOCALMONTHABBREV LOCALDAY LOCALDAY2 LOCALDOW "
-    "LOCALDAYNAME LOCALTIME LOCALHOUR LOCALWEEK LOCALTIMESTAMP SITENAME SERVER SERVERNAME DIRMARK DIRECTIONMARK "
-    "SCRIPTPATH STYLEPATH CURRENTVERSION CONTENTLANGUAGE CONTENTLANG PAGEID PAGELANGUAGE CASCADINGSOURCES "
-    "REVISIONSIZE NUMBEROFPAGES NUMBEROFARTICLES NUMBEROFFILES NUMBEROFEDITS NUMBEROFVIEWS NUMBEROFUSERS "
-    "NUMBEROFADMINS NUMBEROFACTIVEUSERS ! ="
-).split() + _REVISION_WORDS + _PAGE_NAME_WORDS
-MAGIC_PREFIXES = (
-    "PROTECTIONLEVEL PROTECTIONEXPIRY DISPLAYTITLE DEFAULTSORT DEFAULTSORTKEY DEFAULTCATEGORYSORT PAGESINCATEGORY "
-    "PAGESINCAT NUMBERINGROUP NUMINGROUP PAGESINNS PAGESINNAMESPACE PAGEID PAGESIZE CASCADINGSOURCES"
-).split() + _REVISION_WORDS + _PAGE_NAME_WORDS
-PARSER_FUNCTIONS = (
-    "localurl fullurl canonicalurl filepath urlencode anchorencode ns nse formatnum #dateformat #formatdate lc lcfirst "
-    "uc ucfirst padleft padright plural grammar gender int #language #special #tag"
-).split()
+MAGIC_VARIABLES = [
+    "CURRENTYEAR", "CURRENTMONTH", "CURRENTMONTH1", "CURRENTMONTHNAME", "CURRENTMONTHNAMEGEN", "CURRENTMONTHABBREV",
+    "CURRENTDAY", "CURRENTDAY2", "CURRENTDOW", "CURRENTDAYNAME", "CURRENTTIME", "CURRENTHOUR", "CURRENTWEEK",
+    "CURRENTTIMESTAMP", "LOCALYEAR", "LOCALMONTH", "LOCALMONTH1", "LOCALMONTHNAME", "LOCALMONTHNAMEGEN",
+    "LOCALMONTHABBREV", "LOCALDAY", "LOCALDAY2", "LOCALDOW", "LOCALDAYNAME", "LOCALTIME", "LOCALHOUR", "LOCALWEEK",
+    "LOCALTIMESTAMP", "SITENAME", "SERVER", "SERVERNAME", "DIRMARK", "DIRECTIONMARK", "SCRIPTPATH", "STYLEPATH",
+    "CURRENTVERSION", "CONTENTLANGUAGE", "CONTENTLANG", "PAGEID", "PAGELANGUAGE", "CASCADINGSOURCES", "REVISIONSIZE",
+    "NUMBEROFPAGES", "NUMBEROFARTICLES", "NUMBEROFFILES", "NUMBEROFEDITS", "NUMBEROFVIEWS", "NUMBEROFUSERS",
+    "NUMBEROFADMINS", "NUMBEROFACTIVEUSERS", "!", "=", "REVISIONID", "REVISIONDAY", "REVISIONDAY2", "REVISIONMONTH",
+    "REVISIONMONTH1", "REVISIONYEAR", "REVISIONTIMESTAMP", "REVISIONUSER", "FULLPAGENAME", "PAGENAME", "BASEPAGENAME",
+    "SUBPAGENAME", "SUBJECTPAGENAME", "ARTICLEPAGENAME", "TALKPAGENAME", "ROOTPAGENAME", "FULLPAGENAMEE", "PAGENAMEE",
+    "BASEPAGENAMEE", "SUBPAGENAMEE", "SUBJECTPAGENAMEE", "ARTICLEPAGENAMEE", "TALKPAGENAMEE", "ROOTPAGENAMEE",
+    "NAMESPACENUMBER", "NAMESPACE", "SUBJECTSPACE", "ARTICLESPACE", "TALKSPACE", "NAMESPACEE", "SUBJECTSPACEE",
+    "ARTICLESPACEE", "TALKSPACEE",
+]
+# fixed values: magic words that take an argument after a colon
+MAGIC_PREFIXES = [
+    "PROTECTIONLEVEL", "PROTECTIONEXPIRY", "DISPLAYTITLE", "DEFAULTSORT", "DEFAULTSORTKEY", "DEFAULTCATEGORYSORT",
+    "PAGESINCATEGORY", "PAGESINCAT", "NUMBERINGROUP", "NUMINGROUP", "PAGESINNS", "PAGESINNAMESPACE", "PAGEID",
+    "PAGESIZE", "CASCADINGSOURCES", "REVISIONID", "REVISIONDAY", "REVISIONDAY2", "REVISIONMONTH", "REVISIONMONTH1",
+    "REVISIONYEAR", "REVISIONTIMESTAMP", "REVISIONUSER", "FULLPAGENAME", "PAGENAME", "BASEPAGENAME", "SUBPAGENAME",
+    "SUBJECTPAGENAME", "ARTICLEPAGENAME", "TALKPAGENAME", "ROOTPAGENAME", "FULLPAGENAMEE", "PAGENAMEE",
+    "BASEPAGENAMEE", "SUBPAGENAMEE", "SUBJECTPAGENAMEE", "ARTICLEPAGENAMEE", "TALKPAGENAMEE", "ROOTPAGENAMEE",
+    "NAMESPACENUMBER", "NAMESPACE", "SUBJECTSPACE", "ARTICLESPACE", "TALKSPACE", "NAMESPACEE", "SUBJECTSPACEE",
+    "ARTICLESPACEE", "TALKSPACEE",
+]
+# fixed values: parser functions
+PARSER_FUNCTIONS = [
+    "localurl", "fullurl", "canonicalurl", "filepath", "urlencode", "anchorencode", "ns", "nse", "formatnum",
+    "#dateformat", "#formatdate", "lc", "lcfirst", "uc", "ucfirst", "padleft", "padright", "plural", "grammar",
+    "gender", "int", "#language", "#special", "#tag",
+]
+# fixed values: modifiers in front of a transcluded title
 TRANSCLUSION_MODIFIERS = ["msgnw", "subst", "safesubst"]
 
 
@@ -237,7 +239,7 @@ def transclusions(cat: Catalog, pages: DataFrame) -> DataFrame:
     """Direct transclusions. Names without a namespace belong to Template; ``{{:x}}`` is a page."""
     names = pages.select(
         "page_id", "page_namespace", "page_title",
-        F.explode(W.transclusions(W.viewed_part(F.col("body")))).alias("raw"),
+        F.explode(M.transclusions(M.viewed_part(F.col("body")))).alias("raw"),
     )
     modified = F.lower(F.substring_index("raw", ":", 1)).isin(TRANSCLUSION_MODIFIERS) & F.contains("raw", F.lit(":"))
     bare = F.trim(F.when(modified, F.regexp_replace("raw", "^[^:]*:", "")).otherwise(F.col("raw")))

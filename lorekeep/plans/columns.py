@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lorekeep.functions import encodings as enc
-from lorekeep.functions import langs, text, times, titles, urls
+from lorekeep.functions import langs, markup, text, times, titles, urls
 from lorekeep.operators import activity as A
 from lorekeep.operators import common as c
 from lorekeep.operators import lists as L
@@ -226,7 +226,7 @@ def redirects(cat):
   select page_id, len(h) as n, array_to_string(list_transform(h, lambda x: trim(regexp_replace(regexp_replace(x, '^=+\\s*', ''), '\\s*=+\\s*$', ''))), '|') as titles
   from (select page_id, list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '^={1,6}[^=].*=\\s*$')) as h from @wikitext) w""")
 def headings(cat):
-    found = text.headings(F.col("body"))
+    found = markup.headings(F.col("body"))
     return cat["wikitext"].select(
         "page_id", F.size(found).cast("long").alias("n"), F.array_join(F.transform(found, lambda h: h["title"]), "|").alias("titles"))
 
@@ -294,7 +294,19 @@ def transcluded_part(cat):
         F.concat(F.lit("<noinclude>n</noinclude>"), t, F.lit("b")),
     ), (F.col("doc_id") % 3 + 1).cast("int"))
     return cat["documents"].select(
-        "doc_id", text.transcluded_part(wrapped).alias("transcluded"), text.viewed_part(wrapped).alias("viewed"))
+        "doc_id", markup.transcluded_part(wrapped).alias("transcluded"), markup.viewed_part(wrapped).alias("viewed"))
+
+
+@query("f19_nested_parts", """
+  select doc_id, text as transcluded, '1' || text || '2345' as viewed from @documents where text is not null""")
+def nested_parts(cat):
+    t = F.col("text")
+    wrapped = F.concat(
+        F.lit("<noinclude>1<noinclude>"), t, F.lit("</noinclude>2</noinclude><includeonly>"), t,
+        F.lit("<includeonly></includeonly></includeonly><noinclude>3<includeonly>x</includeonly>4</noinclude><noinclude>5"),
+    )
+    return cat["documents"].where("text is not null").select(
+        "doc_id", markup.transcluded_part(wrapped).alias("transcluded"), markup.viewed_part(wrapped).alias("viewed"))
 
 
 @query("f20_unescaped", """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lorekeep.functions import text as W
+from lorekeep.functions import markup as M
 from lorekeep.operators import external as E
 from lorekeep.operators import extract as X
 from lorekeep.plans.registry import query
@@ -132,6 +132,47 @@ def external_links(cat):
     return X.external_links(_wikitext(cat))
 
 
+_DEEP = """(select page_id, namespace as page_namespace, title as page_title, '<nowiki/>[[File:M ' || cast(page_id as string)
+    || '.png|thumb|one [[L ' || cast(page_id as string) || '|two [[M ' || cast(page_id as string) || '|three [[N '
+    || cast(page_id as string) || ']] ]] ]] ]] [[R&amp;D ' || cast(page_id as string) || '|a&#61;b]] <nowiki>[[no]]</nowiki>'
+    || '<math>{{no}}</math> {{{1|{{P}}}}} {{Q|x={{R|[[O ' || cast(page_id as string) || ']]}}}}'
+    || ' http://b.example.org/' || cast(page_id as string) || '_(c) (see http://d.example.org/' || cast(page_id as string)
+    || '?a&amp;b).' || '\n== H ==<!-- x -->\n<pre>\n== no ==\n</pre>\n= <nowiki>=</nowiki> =\n== h ==' as body from @wikitext)"""
+
+
+def _deep(cat):
+    return cat.sql(f"select * from {_DEEP}")
+
+
+@query("x04_deep_captions", """
+  select page_id, cast(k.position as integer) as position, k.kind, replace(k.name, '#', cast(page_id as varchar)) as pagename, k.label
+  from @wikitext, (values (0, 'image', 'M #.png', null), (1, 'page', 'L #', null), (2, 'page', 'M #', null),
+    (3, 'page', 'N #', null), (4, 'page', 'R&D #', 'a=b'), (5, 'page', 'O #', null)) k(position, kind, name, label)""")
+def deep_captions(cat):
+    return X.wikilinks(cat, _deep(cat)).select("page_id", "position", "kind", "pagename", "label")
+
+
+@query("x05_urls_in_brackets", """
+  select page_id as el_from, replace(u, '#', cast(page_id as varchar)) as el_to from @wikitext,
+    (values ('http://b.example.org/#_(c)'), ('http://d.example.org/#?a&b')) k(u)""")
+def urls_in_brackets(cat):
+    return X.external_links(_deep(cat))
+
+
+@query("x06_protected_headings", """
+  select page_id as sec_page, cast(n as integer) as sec_number, cast(l as integer) as sec_level, t as sec_title, a as sec_anchor
+  from @wikitext, (values (1, 2, 'H', 'H'), (2, 1, '<nowiki>=</nowiki>', '.3D'), (3, 2, 'h', 'h_2')) k(n, l, t, a)""")
+def protected_headings(cat):
+    return X.sections(_deep(cat))
+
+
+@query("x08_deep_transclusions", """
+  select page_id as tl_from, cast(10 as integer) as tl_namespace, k.name as tl_title from @wikitext,
+    (values ('P'), ('Q'), ('R')) k(name)""")
+def deep_transclusions(cat):
+    return X.transclusions(cat, _deep(cat))
+
+
 _HEADS = r"""(select page_id, list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '^={1,6}[^=].*=\s*$')) as lines
   from @wikitext)"""
 _TITLES = rf"""(select page_id, list_transform(lines, lambda x: trim(regexp_replace(regexp_replace(x, '^=+\s*', ''), '\s*=+\s*$', ''))) as titles,
@@ -171,7 +212,7 @@ def unique_anchors(cat):
     roles = cat["conversations"].groupBy("conv_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("roles")
     )
-    return roles.select("conv_id", F.array_join(W.unique_anchors(F.col("roles")), ",").alias("anchors"))
+    return roles.select("conv_id", F.array_join(M.unique_anchors(F.col("roles")), ",").alias("anchors"))
 
 
 @query("x07_redirects", f"""

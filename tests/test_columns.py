@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorekeep.functions import encodings as enc
-from lorekeep.functions import langs, text, times, titles, urls
+from lorekeep.functions import langs, markup, text, times, titles, urls
 
 
 @pytest.fixture(scope="module")
@@ -110,7 +110,7 @@ def test_sha1_codec(spark):
 
 def test_anchors(values):
     def anchors(column):
-        return F.array_join(text.unique_anchors(F.transform(F.split(column, ","), lambda x: enc.dot_encode(x))), ",")
+        return F.array_join(markup.unique_anchors(F.transform(F.split(column, ","), lambda x: enc.dot_encode(x))), ",")
 
     assert values(anchors, [
         "foo,bar,foo,foo_2,foo 2", "foo_2,foo_2_2,foo,foo,foo 2,foo 2", "foo bar,Foo Bar,Foo bar,foo Bar",
@@ -129,14 +129,14 @@ def test_redirect_text(values):
 
 
 def test_wikitext(values):
-    assert values(lambda x: F.to_json(text.headings(x)), ["== a ==\ntext\n=== b=== \n= c\n==d=="]) == [
-        '[{"level":2,"title":"a"},{"level":3,"title":"b"},{"level":2,"title":"d"}]']
-    assert values(lambda x: F.to_json(text.wikilinks(x)), ["[[a]] [[b#c|d e]] [http://x y]"]) == [
+    assert values(lambda x: F.to_json(markup.headings(x)), ["== a ==\ntext\n=== b=== \n= c\n==d=="]) == [
+        '[{"level":2,"title":"a","shown":"a"},{"level":3,"title":"b","shown":"b"},{"level":2,"title":"d","shown":"d"}]']
+    assert values(lambda x: F.to_json(markup.wikilinks(x)), ["[[a]] [[b#c|d e]] [http://x y]"]) == [
         '[{"target":"a"},{"target":"b#c","label":"d e"}]']
-    assert values(lambda x: F.array_join(text.transclusions(x), ","), ["{{ a |b}} {{c}} {{#if:x}}"]) == ["a,c,#if:x"]
-    assert values(lambda x: F.array_join(text.external_urls(x), " "), ["see http://a.b/c, [https://d e]"]) == ["http://a.b/c https://d"]
-    assert values(text.transcluded_part, ["a<noinclude>b</noinclude>c<includeonly>d</includeonly>", "x<onlyinclude>y</onlyinclude>"]) == ["acd", "y"]
-    assert values(text.viewed_part, ["a<noinclude>b</noinclude>c<includeonly>d</includeonly>"]) == ["abc"]
+    assert values(lambda x: F.array_join(markup.transclusions(x), ","), ["{{ a |b}} {{c}} {{#if:x}}"]) == ["a,c,#if:x"]
+    assert values(lambda x: F.array_join(markup.external_urls(x), " "), ["see http://a.b/c, [https://d e]"]) == ["http://a.b/c https://d"]
+    assert values(markup.transcluded_part, ["a<noinclude>b</noinclude>c<includeonly>d</includeonly>", "x<onlyinclude>y</onlyinclude>"]) == ["acd", "y"]
+    assert values(markup.viewed_part, ["a<noinclude>b</noinclude>c<includeonly>d</includeonly>"]) == ["abc"]
     assert values(text.plain_text, ["''a'' [[b|c]] <i>d</i>{{e}}"]) == ["a c d"]
 
 
