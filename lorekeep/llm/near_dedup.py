@@ -5,31 +5,30 @@
   reaches it. A document stops as soon as all its slots are filled: one or two rounds for most
   texts, at most as many as there are slots. All shingles of a slice go through a round together.
 * **Classes.** Documents with equal shingle sets (128 bits of the sorted set and its size) form a
-  class; only its smallest id goes on, so thousands of copies cost one signature each and no pair.
-* **Banding.** ``bands`` bands of ``rows`` slots; documents that agree in a band share a bucket. At
+  class; only one text of it goes on, so thousands of copies cost one signature each and no pair.
+* **Banding.** ``bands`` bands of ``rows`` slots; classes that agree in a band share a bucket. At
   similarity 0.8 a pair is in no common bucket with a probability of 3e-6.
-* **Links.** Each bucket tests its members against one hub, its smallest id, and links found are
-  merged into components. What is then still apart, the members of buckets with more than one
-  component, goes through an exact similarity join: sets are ordered from the rarest shingle on, a
-  similar pair shares one of the first shingles, and their places, and the parities of the two sets,
-  bound what it can have in common.
-  Only pairs of different components that pass the bound are tested; others cannot be linked, or
-  cannot change the result. So no bucket is gathered, no group's pairs are all built, and no link
-  is lost to a cap.
+* **Links.** Each bucket tests its members against one hub, the member that meets most others, and
+  links found are merged into components. What is then still apart goes through an exact join
+  around the hubs: with H the hub, A and B differ in |A^H| + |B^H| - 2 |common part of both| shingles
+  (^ is the symmetric difference), and of two members in different components one is so far from
+  the hub that their differences must have much in common. The differences are ordered from the
+  rarest shingle on; a similar pair meets in the first of them, fewer for the one that is nearer to
+  the hub, and their places bound what can be common. Shingles that nearly all copies of a text share
+  are in no difference, so they bring nobody together: the keys are the rare departures from the hub.
+  Only pairs of different components that pass the bound are tested. So no bucket is gathered, no
+  group's pairs are all built, and no link is lost to a cap.
 * **Verification** is exact, on the full shingle sets of the two texts.
 
 Defined cases: a document without words, or null, has no shingles and is its own component; with
 fewer words than a shingle its whole sequence is one; equal texts and repeated rows are one class
-and stay rows of the result; rows that share an id are one node; a null id links with nothing and
-has a null component; an empty table gives an empty result; other columns are ignored.
+and stay rows of the result; rows that share an id are one node, whose texts are all compared; a null id
+links with nothing and has a null component; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
-from operator import add
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -41,7 +40,6 @@ from lorekeep.llm.components import merge_components, renamed
 
 BANDS, ROWS = 32, 5
 CACHED_WORDS = 300_000
-_PARITIES = [f"parity{k}" for k in range(4)]
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _VALUE_BITS = 40
@@ -137,18 +135,26 @@ def _sketched(docs: DataFrame, width: int, bands: int, rows: int, text: str, doc
             ends = np.concatenate([[0], np.cumsum(np.where(has, bands, 0))]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[has].reshape(-1)))
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            return {"id": batch["id"], "n_shingles": sizes, "digest": digests, "bands": lists}
+            return {"id": batch["id"], "print": batch["print"], "n_shingles": sizes, "digest": digests, "bands": lists}
 
         return step
 
-    slim = docs.select(F.col(doc_id).cast("long").alias("id"), text_of(text).alias("text"))
-    return map_rows(slim, "id long, n_shingles long, digest binary, bands array<long>", build)
+    return map_rows(
+        _printed(docs, text, doc_id), "id long, print long, n_shingles long, digest binary, bands array<long>", build
+    )
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of (a, b), those whose full shingle sets are similar enough."""
-    rows = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(
-        texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a"
+def _printed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """id, text and the print that tells texts of one id apart."""
+    return docs.select(
+        F.col(doc_id).cast("long").alias("id"), F.xxhash64(text_of(text)).alias("print"), text_of(text).alias("text")
+    )
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int, differences: bool) -> DataFrame:
+    """``pairs`` (a, b) with ``linked``; with ``n_a``, ``n_b`` and ``apart``, the shingles that only one has, if asked for."""
+    rows = pairs.join(texts.select(F.col("vertex").alias("b"), F.col("text").alias("text_b")), "b").join(
+        texts.select(F.col("vertex").alias("a"), F.col("text").alias("text_a")), "a"
     )
 
     def build():
@@ -165,113 +171,106 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
             return [made[t] for t in texts]
 
         def step(batch):
-            a, b = sets_of(batch["text_a"]), shingle_sets(batch["text_b"], hashes, width)
-            good = []
-            for x, y in zip(a, b, strict=True):
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
-            return {
-                "a": [i for i, g in zip(batch["a"], good, strict=True) if g],
-                "b": [i for i, g in zip(batch["b"], good, strict=True) if g],
-            }
+            sets = zip(sets_of(batch["text_a"]), shingle_sets(batch["text_b"], hashes, width), strict=True)
+            made = {"a": batch["a"], "b": batch["b"], "linked": [], "n_a": [], "n_b": []}
+            apart = []
+            for x, y in sets:
+                one = np.setxor1d(x, y, assume_unique=True)
+                # twice the common ones, and twice all
+                made["linked"].append(100 * (len(x) + len(y) - len(one)) >= percent * (len(x) + len(y) + len(one)))
+                made["n_a"].append(len(x))
+                made["n_b"].append(len(y))
+                apart.append(one if differences else one[:0])
+            ends = np.concatenate([[0], np.cumsum([len(d) for d in apart])]).astype(np.int32)
+            flat = np.concatenate([*apart, np.zeros(0, np.uint64)]).view(np.int64)
+            made["apart"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+            return made
 
         return step
 
-    return map_rows(rows.select("a", "b", "text_a", "text_b"), "a long, b long", build, rows=256)
+    schema = "a long, b long, linked boolean, n_a long, n_b long, apart array<long>"
+    return map_rows(rows.select("a", "b", "text_a", "text_b"), schema, build, rows=256)
 
 
-def _first_pairs(buckets: DataFrame) -> DataFrame:
-    hubs = buckets.groupBy("key").agg(F.min("id").alias("a"))
-    return buckets.join(hubs, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+def _linked(compared: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) between the nodes of the vertices found similar."""
+    a, b = (nodes.select(F.col("vertex").alias(x), F.col("node").alias(f"{x}_node")) for x in "ab")
+    found = compared.where("linked").select("a", "b").join(a, "a").join(b, "b")
+    return settle(found.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")), "links")
 
 
-def linked(members: DataFrame, docs: DataFrame, width: int, percent: int, text: str, doc_id: str) -> DataFrame:
-    """Components (id, component) of documents given by (id, bands); unlisted ids stand alone."""
-    rows = members.select("id", F.explode("bands").alias("key")).distinct()
-    shared = rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    buckets = settle(rows.join(shared.select("key"), "key", "left_semi"), "buckets")
-    wanted = buckets.select("id").distinct()
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), text_of(text).alias("text"))
-    # repeated rows and rows that share an id: one text stands for the id
-    texts = settle(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "texts")
+def linked(
+    members: DataFrame, docs: DataFrame, width: int, percent: int, text: str, doc_id: str
+) -> DataFrame:
+    """Components (id, component) of the nodes of ``members`` (vertex, node, print, bands).
 
+    A vertex is a shingle set with the text that has ``print`` and the id ``node``; a node may have
+    several. Unlisted nodes stand alone.
+    """
+    rows = members.select("vertex", F.explode("bands").alias("key")).distinct()
+    shared = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    buckets = settle(rows.join(shared, "key"), "buckets")
+    nodes = members.select("vertex", "node", "print").distinct()
+    nodes = settle(nodes.join(buckets.select("vertex").distinct(), "vertex", "left_semi"), "nodes")
+    on = nodes.select("vertex", F.col("node").alias("id"), "print")
+    # repeated rows: any one of the equal texts
+    texts = settle(_printed(docs, text, doc_id).join(on, ["id", "print"]).dropDuplicates(["vertex"]).select("vertex", "text"), "texts")
+
+    central = buckets.groupBy("vertex").agg(F.sum("members").alias("met"))
+    hubs = buckets.join(central, "vertex").groupBy("key").agg(
+        F.max(F.struct("met", (-F.col("vertex")).alias("less"))).alias("hub")
+    ).select("key", (-F.col("hub.less")).alias("a"))
+    pairs = buckets.join(hubs, "key").where("vertex <> a").select("a", F.col("vertex").alias("b")).distinct()
+    compared = settle(_compared(pairs, texts, width, percent, differences=True), "compared")
     names = docs.sparkSession.createDataFrame([], "id long, component long")
-    pairs = settle(_first_pairs(buckets), "pairs")
-    tested = pairs
-    names = merge_components(names, settle(_verified(pairs, texts, width, percent), "links"))
-    return _swept(buckets, texts, names, tested, width, percent)
+    names = merge_components(names, _linked(compared, nodes))
+    new = settle(_around_hubs(compared, nodes, names, percent), "pairs")
+    return merge_components(names, _linked(settle(_compared(new, texts, width, percent, False), "compared"), nodes))
 
 
-def _open(rows: DataFrame, names: DataFrame) -> DataFrame:
-    """Rows of the buckets that still hold more than one component."""
-    labelled = renamed(rows.withColumn("component", F.col("id")), "component", names)
-    keys = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    return settle(labelled.join(keys.where("low < high").select("key"), "key", "left_semi"), "buckets")
+def _around_hubs(compared: DataFrame, nodes: DataFrame, names: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of vertices with one hub but different components that may be similar.
 
-
-def _prefixes(ids: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """(shingle, id, component, n, rest, parities) of the rarest shingles of each of ``ids``.
-
-    A set's shingles are ordered by how many of ``ids`` have them; ``rest`` is how many are left from
-    this one on. Two sets as similar as ``percent`` share one of the first ``n - percent n + 1``.
-    Shingles of a single id are counted, for the places of the others, and dropped.
+    Similar sets differ in at most ``(100 - percent) / (100 + percent)`` of the sum of their sizes.
     """
-
-    def build():
-        hashes = WordHashes()
-
-        def step(batch):
-            sets = shingle_sets(batch["text"], hashes, width)
-            sizes = np.array([len(s) for s in sets], np.int64)
-            ids = np.repeat(np.array(batch["id"], np.int64), sizes)
-            flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
-            return {"id": pa.array(ids), "shingle": pa.array(flat), "n": pa.array(np.repeat(sizes, sizes))}
-
-        return step
-
-    rows = map_rows(texts.join(ids, "id", "left_semi"), "id long, shingle long, n long", build)
-    rows = settle(rows, "shingles")
-    held = rows.groupBy("shingle").agg(F.count("*").alias("holders")).where("holders > 1")
-    # one document's shingles lie in one window, as its text lies in one row
-    own = Window.partitionBy("id")
-    ordered = rows.join(held, "shingle").withColumns({
-        "place": F.row_number().over(own.orderBy("holders", "shingle")), "shared": F.count("*").over(own),
-    })
-    rest = F.col("shared") - F.col("place") + 1
-    first = ordered.withColumn("rest", rest).where(100 * F.col("rest") >= percent * F.col("n"))
-    # parity of the shingles by 256 hash values: two sets differ in at least as many as their parities do
-    word, bit = F.col("shingle").bitwiseAND(3), F.expr("shiftleft(1L, cast(shiftright(shingle, 2) & 63 as int))")
-    parities = rows.groupBy("id").agg(
-        *[F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"parity{k}") for k in range(4)]
+    component = renamed(nodes.select("vertex", F.col("node").alias("component")), "component", names)
+    members = compared.join(component.withColumnRenamed("vertex", "b"), "b").select(
+        F.col("a").alias("hub"), F.col("n_a").alias("n_hub"), F.col("b").alias("vertex"), "component",
+        F.col("n_b").alias("n"), F.size("apart").cast("long").alias("far"), "apart",
     )
-    return first.join(ids, "id").join(parities, "id").select("shingle", "id", "component", "n", "rest", *_PARITIES)
-
-
-def _swept(
-    buckets: DataFrame, texts: DataFrame, names: DataFrame, tested: DataFrame, width: int, percent: int
-) -> DataFrame:
-    """Find the links between components that the first round left apart."""
-    rows = _open(buckets, names)
-    if rows.isEmpty():
-        return names
-    ids = settle(rows.select("id", "component").distinct(), "open")
-    prefixes = settle(_prefixes(ids, texts, width, percent), "prefixes")
-    # of a shingle's components the largest needs no probes: every pair across has another end
-    parts = prefixes.groupBy("shingle", "component").agg(F.count("*").alias("n"))
-    largest = parts.groupBy("shingle").agg(F.max_by("component", "n").alias("largest"), F.count("*").alias("parts"))
-    probes = prefixes.join(largest.where("parts > 1"), "shingle").where("component <> largest").select(
-        "shingle", F.col("id").alias("a"), F.col("component").alias("of_a"), F.col("n").alias("n_a"),
-        F.col("rest").alias("rest_a"), *[F.col(x).alias(f"{x}_a") for x in _PARITIES],
+    # the hub itself was tested against all: with all in one component there is nothing to find
+    several = members.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    members = members.join(several.select("hub"), "hub", "left_semi").select(
+        "hub", "n_hub", "vertex", "component", "n", "far", F.explode("apart").alias("shingle")
+    )
+    rows = settle(members, "differences")
+    held = rows.groupBy("hub", "shingle").agg(F.count("*").alias("holders")).where("holders > 1")
+    # one document's differences lie in one window, as its text lies in one row
+    own = Window.partitionBy("hub", "vertex")
+    ordered = rows.join(held, ["hub", "shingle"]).withColumns({
+        "place": F.row_number().over(own.orderBy("holders", "shingle")), "shared": F.count("*").over(own),
+    }).withColumn("rest", F.col("shared") - F.col("place") + 1)
+    less = F.lit(100 - percent) / F.lit(100 + percent)
+    # of two in different components one is no neighbour of the hub; it has percent of the other's size or more
+    least_far = less * (F.col("n") * percent / 100 + F.col("n_hub"))
+    most = F.col("n") * (100 - percent) / percent  # apart from a partner of any size
+    nearer = (F.greatest(F.col("far"), least_far) + F.col("far") - most) / 2
+    farther = F.col("far") - most
+    slack = 1e-6
+    ordered = settle(
+        ordered.select(
+            "hub", "shingle", "vertex", "component", "n", "far", "rest", (F.col("rest") >= nearer - slack).alias("near_role"),
+            ((F.col("rest") >= farther - slack) & (F.col("far") >= least_far - slack)).alias("far_role"),
+        ).where("near_role or far_role"),
+        "departures",
     )
-    # at their first common shingle, two sets have at most the shorter rest in common
-    may = (100 + percent) * F.least("rest", "rest_a") >= percent * (F.col("n") + F.col("n_a"))
-    both = F.col("n") + F.col("n_a")
-    apart = reduce(add, [F.bit_count(F.col(x).bitwiseXOR(F.col(f"{x}_a"))) for x in _PARITIES])
-    may = may & ((100 + percent) * (both - apart) >= 2 * percent * both)
-    cross = prefixes.join(probes, "shingle").where((F.col("component") != F.col("of_a")) & may)
-    new = cross.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-    new = settle(new.join(tested, ["a", "b"], "left_anti"), "pairs")
-    return merge_components(names, settle(_verified(new, texts, width, percent), "links"))
+    near = ordered.where("near_role").drop("near_role", "far_role")
+    far = ordered.where("far_role").select("hub", "shingle", *[F.col(c).alias(f"{c}_f") for c in ("vertex", "component", "n", "far", "rest")])
+    apart = F.col("far") + F.col("far_f") - 2 * F.least("rest", "rest_f")
+    once = (F.col("far") < F.col("far_f")) | ((F.col("far") == F.col("far_f")) & (F.col("vertex") < F.col("vertex_f")))
+    may = (100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("n_f"))
+    met = near.join(far, ["hub", "shingle"]).where(once & (F.col("component") != F.col("component_f")) & may)
+    return met.select(F.least("vertex", "vertex_f").alias("a"), F.greatest("vertex", "vertex_f").alias("b")).distinct()
 
 
 def near_duplicates(
@@ -284,18 +283,30 @@ def near_duplicates(
     ``width`` words.
     """
     sketched = settle(_sketched(docs, width, bands, rows, text, doc_id), "sketches")
-    classes = sketched.where("digest is not null").groupBy("digest", "n_shingles").agg(F.min("id").alias("rep"))
+    first = F.min(F.struct("id", "print")).alias("first")
+    classes = sketched.where("digest is not null and id is not null").groupBy("digest", "n_shingles").agg(first)
+    classes = settle(
+        classes.select(
+            "digest", "n_shingles", F.col("first.id").alias("rep"), F.col("first.print").alias("rep_print"),
+            F.monotonically_increasing_id().alias("vertex"),
+        ),
+        "vertices",
+    )
+    is_rep = (F.col("id") == F.col("rep")) & (F.col("print") == F.col("rep_print"))
     classed = settle(
         sketched.join(classes, ["digest", "n_shingles"], "left").select(
-            "id", "n_shingles", "rep", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")
+            "id", "n_shingles", F.when(F.col("id").isNotNull(), F.col("rep")).alias("rep"), "print", "vertex",
+            F.when(is_rep, F.col("bands")).alias("bands"),
         ),
         "classes",
     )
+    members = classed.where("bands is not null").select("vertex", F.col("rep").alias("node"), "print", "bands")
     # rows that share an id but not a text tie their classes together through the id
-    same = classed.where("rep is not null and id <> rep").groupBy("id").agg(
-        F.min("rep").alias("low"), F.max("rep").alias("high")
-    ).where("low < high").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    members = classed.where("bands is not null").select("id", "bands")
+    other = classed.where("rep is not null and id <> rep").select("id", "rep").distinct()
+    named = classes.select(F.col("rep").alias("id")).distinct()
+    same = other.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b").unionByName(
+        other.join(named, "id", "left_semi").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    )
     names = merge_components(linked(members, docs, width, percent, text, doc_id), same)
     out = renamed(
         classed.select("id", "n_shingles", F.coalesce("rep", "id").alias("component_id")), "component_id", names

@@ -402,6 +402,51 @@ def test_rows_that_share_an_id_are_one_node(spark):
     assert {r.component_id for r in near_duplicates(docs).collect()} == {1}
 
 
+def plain_components(rows, width, percent=80):
+    """Smallest id reachable, by comparing all pairs; rows of one id are one node."""
+    sets = []
+    for i, t in rows:
+        words = (t or "").lower().split()
+        sets.append((i, {tuple(words[k : k + width]) for k in range(max(len(words) - width + 1, 1))} if words else set()))
+    name = {i: i for i, _ in rows}
+    for k, (a, x) in enumerate(sets):
+        for b, y in sets[:k]:
+            if x and y and name[a] != name[b] and 100 * len(x & y) >= percent * len(x | y):
+                low, high = sorted((name[a], name[b]))
+                name = {i: low if v == high else v for i, v in name.items()}
+    return name
+
+
+@pytest.mark.parametrize("seed,percent", [(1, 80), (2, 80), (3, 65)])
+def test_no_link_between_copies_of_copies_is_lost(spark, seed, percent):
+    """Copies of copies with shared, added and removed words, of several bases and sizes."""
+    rng = random.Random(seed)
+    pool = []
+    for _ in range(3):
+        pool.append([f"w{rng.randrange(300)}" for _ in range(rng.choice([60, 150, 160]))])
+    rows = []
+    for i in range(220):
+        words = list(rng.choice(pool))
+        for _ in range(rng.choice([0, 1, 2, 3, 5, 9])):
+            k = rng.randrange(len(words))
+            words[k : k + rng.choice([0, 1, 1, 1, 6])] = [f"x{rng.randrange(30)}" for _ in range(rng.choice([0, 1, 1, 1, 5]))]
+        if rng.random() < 0.3:
+            pool.append(words)
+        rows.append((rng.randrange(10**6) if rng.random() < 0.97 else rows[0][0] if rows else 1, " ".join(words)))
+    name = plain_components(rows, 4, percent)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs, width=4, percent=percent).collect()}
+    assert len(set(name.values())) > 8
+    assert got == name
+
+
+def test_all_texts_of_a_shared_id_are_compared(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(40)) for c in "ab")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (9, b + " more"), (9, "else"), (4, "else")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(i, 1) for i in (1, 2, 3, 9, 4)}
+
+
 # ---- personal data ------------------------------------------------------------------------
 
 
