@@ -10,8 +10,8 @@ always stay.
 
 The field is trained by conditional likelihood on windows around base spans of a bounded sample of
 documents (about ``SAMPLE`` at most; of more, drawn by a hash of the id, without null ids, and one text
-of rows that share an id): as they are, in other common spellings,
-and with numbers that mean nothing.
+of rows that share an id; of each the first ``WINDOWS`` windows of at most ``LONGEST`` characters): as
+they are, in other common spellings, and with numbers that mean nothing.
 
 Defined cases: null is the empty text and has no spans; texts are read whole; repeated rows give
 equal rows; where no document of the sample has a base span nothing is learned and nothing added; an
@@ -23,6 +23,8 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from functools import lru_cache
+from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
@@ -33,6 +35,7 @@ from lorekeep.llm.common import map_rows, text_of
 
 KINDS = ["email", "ip", "card", "phone", "secret"]
 SAMPLE = 2000
+WINDOWS, LONGEST = 50, 1000
 MAX_CHUNKS, MAX_CHARS = 7, 120
 CONTEXT = 48
 EPOCHS, RATE, RIDGE = 5, 0.15, 1e-4
@@ -42,9 +45,8 @@ Span = tuple[int, int, int]  # start, kind, end
 
 # ---- base spans ---------------------------------------------------------------------------
 
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_EMAIL_CHARS = re.compile(r"[A-Za-z0-9._%+@-]*")
-_EMAIL_BACK = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-@")
+_EMAIL_NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_EMAIL_HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 # runs of digits are taken whole: what follows a run decides
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
@@ -66,18 +68,18 @@ def _digits(text: str) -> str:
 
 
 def _emails(text: str):
-    done = 0
-    at = text.find("@")
+    """Spans of addresses. If any place of a run of name characters begins a match, its first one does."""
+    done, at = 0, text.find("@")
     while at >= 0:
         start = at
-        while start > done and text[start - 1] in _EMAIL_BACK:
+        while start > done and text[start - 1] in _EMAIL_NAME:
             start -= 1
-        # all matches lie within one run of the characters an address can have
-        end = _EMAIL_CHARS.match(text, at).end()
-        for match in _EMAIL.finditer(text, start, end):
-            yield match.span()
-        done = end
-        at = text.find("@", end)
+        host = _EMAIL_HOST.match(text, at + 1) if start < at else None
+        # no name runs over an @, so no character is looked at twice
+        done = host.end() if host else at + 1
+        if host:
+            yield start, done
+        at = text.find("@", done)
 
 
 def _short(part: str) -> bool:
@@ -144,7 +146,7 @@ class Candidate(NamedTuple):
     last: int
     start: int
     end: int
-    features: list[int]
+    features: tuple[int, ...]
 
 
 NAMES: dict[str, int] = {}
@@ -182,7 +184,17 @@ for _name in [
     _feature(_name)
 
 
-def span_features(span: str, chunks: int, before: str) -> list[int]:
+_HINT_WORDS = frozenset(w for words in _HINTS.values() for w in words)
+
+
+def span_features(span: str, chunks: int, before: str) -> tuple[int, ...]:
+    """Numbers of the features of a span of so many chunks, behind the chunk ``before``."""
+    last = before.lower().rstrip(":=") if len(before) < 16 else ""
+    return _features(span, chunks, last if last in _HINT_WORDS else "")
+
+
+@lru_cache(maxsize=1 << 15)
+def _features(span: str, chunks: int, last: str) -> tuple[int, ...]:
     digits = _digits(span)
     n = len(digits)
     names = ["one", f"chunks{chunks}", f"mostly{min(3, 4 * n // max(len(span), 1))}"]
@@ -209,9 +221,8 @@ def span_features(span: str, chunks: int, before: str) -> list[int]:
         names.append("mixed")
     if len(span) > 24:
         names.append("long")
-    last = before.lower().rstrip(":=")
     names += [f"hint_{h}" for h, words in _HINTS.items() if last in words]
-    return [NAMES[x] for x in names]
+    return tuple(NAMES[x] for x in names)
 
 
 def candidates(text: str, start: int, end: int) -> tuple[int, list[Candidate]]:
@@ -256,7 +267,7 @@ def _by_end(n: int, found: list[Candidate], field: Field):
     """For every chunk the segments that end there: first chunk, candidate (or None), scores by kind."""
     ends: list[list] = [[] for _ in range(n)]
     for c in found:
-        ends[c.last].append((c.first, c, field.spans[c.features].sum(axis=0)))
+        ends[c.last].append((c.first, c, field.spans[list(c.features)].sum(axis=0)))
     return ends
 
 
@@ -264,26 +275,38 @@ def best_spans(n: int, found: list[Candidate], field: Field) -> list[Span]:
     """The segmentation with the greatest score."""
     if not found:
         return []
-    ends = _by_end(n, found, field)
-    score = np.full((n + 1, OUTSIDE + 1), -np.inf)
-    score[0, OUTSIDE] = 0.0
-    back: list[list] = [[None] * (OUTSIDE + 1) for _ in range(n + 1)]
-    for at in range(1, n + 1):
-        come = score[at - 1] + field.steps[:, OUTSIDE]
-        k = int(come.argmax())
-        score[at, OUTSIDE], back[at][OUTSIDE] = come[k], (at - 1, k, None)
-        for first, c, own in ends[at - 1]:
-            come = score[first][:, None] + field.steps[:, :OUTSIDE]
-            ks = come.argmax(axis=0)
-            total = come[ks, np.arange(OUTSIDE)] + own
-            for kind in np.flatnonzero(total > score[at, :OUTSIDE]):
-                score[at, kind], back[at][kind] = total[kind], (first, int(ks[kind]), c)
-    out, at, kind = [], n, int(score[n].argmax())
+    flat = np.fromiter((f for c in found for f in c.features), np.int64)
+    sizes = np.fromiter((len(c.features) for c in found), np.int64, len(found))
+    own = np.add.reduceat(field.spans[flat], np.cumsum(sizes) - sizes)
+    ends: list[list[int]] = [[] for _ in range(n)]
+    for i, c in enumerate(found):
+        ends[c.last].append(i)
+    kinds = np.arange(OUTSIDE + 1)
+    # the best way to go on from each place with each kind, and the kind before it
+    ahead, before = np.empty((n + 1, OUTSIDE + 1)), np.empty((n + 1, OUTSIDE + 1), np.int64)
+    score = np.full(OUTSIDE + 1, -np.inf)
+    score[OUTSIDE] = 0.0
+    back: list[list[int | None]] = [[None] * (OUTSIDE + 1) for _ in range(n + 1)]
+    for at in range(n + 1):
+        if at:
+            score = np.full(OUTSIDE + 1, -np.inf)
+            score[OUTSIDE] = ahead[at - 1, OUTSIDE]
+            if ends[at - 1]:
+                ways = ends[at - 1]
+                totals = ahead[[found[i].first for i in ways], :OUTSIDE] + own[ways]
+                best = totals.argmax(axis=0)
+                score[:OUTSIDE] = totals[best, kinds[:OUTSIDE]]
+                back[at][:OUTSIDE] = [ways[k] for k in best.tolist()]
+        come = score[:, None] + field.steps
+        before[at] = come.argmax(axis=0)
+        ahead[at] = come[before[at], kinds]
+    out, at, kind = [], n, int(score.argmax())
     while at:
-        before, k, c = back[at][kind]
-        if c is not None:
-            out.append((c.start, kind, c.end))
-        at, kind = before, k
+        i = back[at][kind] if kind != OUTSIDE else None
+        place = at - 1 if i is None else found[i].first
+        if i is not None:
+            out.append((found[i].start, kind, found[i].end))
+        at, kind = place, int(before[place, kind])
     return out[::-1]
 
 
@@ -334,7 +357,7 @@ def learn(field: Field, n: int, found: list[Candidate], gold: dict[tuple[int, in
         k = gold.get((c.first, c.last))
         if k is not None:
             expected[k] += 1
-        field.spans[c.features] += rate * expected
+        field.spans[list(c.features)] += rate * expected
     field.steps[:] += rate * (steps - RIDGE * field.steps)
 
 
@@ -421,17 +444,21 @@ def all_spans(text: str, field: Field) -> tuple[list[Span], list[Span]]:
 # ---- job ----------------------------------------------------------------------------------
 
 
-def training_windows(docs: DataFrame, sample: int = SAMPLE) -> list[str]:
-    """Windows that hold a base span, from a bounded number of documents, in a fixed order."""
+def training_windows(docs: DataFrame, sample: int = SAMPLE, most: int = WINDOWS) -> list[str]:
+    """Windows that hold a base span, in a fixed order: of about ``sample`` documents the first ``most`` of each
+    that are no longer than ``LONGEST``."""
 
     def build():
         def step(rows):
             made = {"doc_id": [], "part": []}
             for doc_id, text in zip(rows["doc_id"], rows["text"], strict=True):
-                for start, end in windows(text):
-                    if end - start <= 1000 and (base_spans(text[start:end]) or _SEEDS.search(text, start, end)):
-                        made["doc_id"].append(doc_id)
-                        made["part"].append(text[start:end])
+                fit = (
+                    text[start:end] for start, end in windows(text)
+                    if end - start <= LONGEST and (base_spans(text[start:end]) or _SEEDS.search(text, start, end))
+                )
+                for part in islice(fit, most):
+                    made["doc_id"].append(doc_id)
+                    made["part"].append(part)
             return made
 
         return step
