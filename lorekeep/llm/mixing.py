@@ -13,7 +13,8 @@ and by a skew-split join beyond it.
 
 Defined cases: a null text has no words; a null source is a source of its own, last in order; a
 source without words has target 0 and takes nothing; repeated rows (same id) share a cell and are
-taken together; an empty table gives an empty result. Other columns may have any name.
+taken together; rows without id are told apart by their texts; an empty table gives an empty result.
+Other columns may have any name; ``mix`` replaces those that have the names of its own.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from lorekeep.llm.common import WORD, settle, text_of
 
 BROADCAST_SOURCES = 20_000
+MADE = ["mix_size", "mix_source_size", "mix_target", "mix_repeats"]
 
 
 def _numbered(sources: DataFrame) -> DataFrame:
@@ -82,7 +84,24 @@ def mix(
     ``budget`` is the size of the mix as a multiple of all words; ``weights`` go to the sources in
     code-point order, repeating.
     """
-    cell = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))), 1, 6)
+    names = docs.columns
+    safe = docs.toDF(*[f"_in{i}" for i in range(len(names))])
+    mixed = _mixed(
+        safe, *(f"_in{names.index(c)}" for c in (text, source, doc_id)), weights=weights, budget=budget,
+        max_epochs=max_epochs, seed=seed,
+    )
+    kept = [i for i, name in enumerate(names) if name not in MADE]
+    made = [f"_mix_{name}" for name in ("size", "source_size", "target", "repeats")]
+    return mixed.select(*[f"_in{i}" for i in kept], *made).toDF(*[names[i] for i in kept], *MADE)
+
+
+def _mixed(
+    docs: DataFrame, text: str, source: str, doc_id: str, weights: tuple[int, ...] = (3, 1, 2), budget: float = 1.5,
+    max_epochs: int = 2, seed: int = 7,
+) -> DataFrame:
+    """``docs``, whose column names are not ours, with ``_mix_size``, ``_mix_source_size``, ``_mix_target``, ``_mix_repeats``."""
+    known = F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit(":"), text_of(text)))
+    cell = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), known)), 1, 6)
     size = F.regexp_count(text_of(text), F.lit(WORD)).cast("long")
     slim = settle(
         docs.select(F.col(source).cast("string").alias("_mix_source"), size.alias("_mix_size"), cell.alias("_mix_cell")),
@@ -127,22 +146,25 @@ def mix(
     filled, limit = filled.alias("f"), limit.alias("l")
     table = settle(
         filled.join(limit, F.col("f._mix_source").eqNullSafe(F.col("l._mix_source")), "left").select(
-            "f._mix_source", F.col("_mix_size").alias("mix_source_size"), F.col("_mix_target").alias("mix_target"),
-            "_mix_whole", "_mix_limit", "_mix_in",
+            "f._mix_source", F.col("_mix_size").alias("_mix_source_size"), "_mix_target", "_mix_whole", "_mix_limit", "_mix_in",
         ),
         "mix",
     )
-    rows = docs.withColumns({"_mix_source": F.col(source).cast("string"), "mix_size": size, "_mix_cell": cell})
+    rows = docs.withColumns({"_mix_source": F.col(source).cast("string"), "_mix_size": size, "_mix_cell": cell})
     more = (F.col("_mix_cell") < F.col("_mix_limit")) | ((F.col("_mix_cell") == F.col("_mix_limit")) & F.col("_mix_in"))
     mixed = per_source(rows, table)
     repeats = F.col("_mix_whole") + F.when(F.coalesce(more, F.lit(False)), 1).otherwise(0)
-    return mixed.withColumn("mix_repeats", repeats).select(
-        *docs.columns, "mix_size", "mix_source_size", "mix_target", "mix_repeats"
+    return mixed.withColumn("_mix_repeats", repeats).select(
+        *docs.columns, "_mix_size", "_mix_source_size", "_mix_target", "_mix_repeats"
     )
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(
+    docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", **options
+) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of ``docs``."""
-    return mix(docs, **options).where("mix_repeats > 0").withColumn(
-        "_mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_repeats")))
-    ).select(*docs.columns)
+    names = docs.columns
+    safe = docs.toDF(*[f"_in{i}" for i in range(len(names))])
+    mixed = _mixed(safe, *(f"_in{names.index(c)}" for c in (text, source, doc_id)), **options).where("_mix_repeats > 0")
+    copies = F.explode(F.sequence(F.lit(1), F.col("_mix_repeats")))
+    return mixed.withColumn("_mix_copy", copies).select(*safe.columns).toDF(*names)

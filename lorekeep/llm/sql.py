@@ -3,7 +3,7 @@
 SOURCE_MIX = r"""
 with sized as (
     select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
-           substr(md5(concat('7:', coalesce(doc_id::varchar, ''))), 1, 6) as cell
+           substr(md5(concat('7:', coalesce(doc_id::varchar, ':' || coalesce(text, '')))), 1, 6) as cell
     from documents
 ), totals as (
     select source, sum(size)::bigint as source_size from sized group by source
