@@ -40,6 +40,7 @@ from lorekeep.llm.common import map_rows, settle
 
 FILE_BYTES = 256 << 20
 RANGE_BYTES = 16 << 20
+MOST_TASKS = 20_000
 LEAST = 1000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _URN = "urn:lorekeep:page:"
@@ -324,8 +325,9 @@ def _scanned(files: DataFrame, folder: str, range_bytes: int, payload: bool) ->
     ranges = files.select(
         "path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long"))).alias("range")
     ).where("size > 0")
-    # a task per range, up to the limit of the session; ranges of a file go to different tasks
-    ranges = ranges.repartition(F.col("path"), F.col("range"))
+    # the rows are few and small, but the work behind them isn't: a number given is not coalesced
+    n = files.agg(F.sum(F.ceil(F.col("size") / range_bytes))).first()[0] or 1
+    ranges = ranges.repartition(min(int(n), MOST_TASKS), F.col("path"), F.col("range"))
 
     def build():
         def step(rows):
