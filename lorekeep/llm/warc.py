@@ -409,7 +409,9 @@ def read_archives(
     holes = holes.withColumn("gap", F.sum("new").over(order))
     gaps = holes.groupBy("path", "gap").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("gap")
     faults = scanned.where("fault is not null").select("path", "start", F.col("fault").alias("reason")).distinct()
-    gaps = gaps.join(faults, ["path", "start"], "left").select("path", "start", "end", "reason")
+    # where nothing was tried there is neither a member nor a version line
+    reason = F.coalesce("reason", F.lit("start"))
+    gaps = gaps.join(faults, ["path", "start"], "left").select("path", "start", "end", reason.alias("reason"))
     return kept.drop("range", "covered", "fault", "place"), gaps
 
 
