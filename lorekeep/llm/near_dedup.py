@@ -153,8 +153,10 @@ def _printed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 
 def _compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int, differences: bool) -> DataFrame:
     """``pairs`` (a, b) with ``linked``; with ``n_a``, ``n_b`` and ``apart``, the shingles that only one has, if asked for."""
-    rows = pairs.join(texts.select(F.col("vertex").alias("b"), F.col("text").alias("text_b")), "b").join(
-        texts.select(F.col("vertex").alias("a"), F.col("text").alias("text_a")), "a"
+    # merge joins: whether the texts are small must not decide what is shuffled
+    firsts = texts.join(pairs.select(F.col("a").alias("vertex")).distinct(), "vertex", "left_semi")
+    rows = pairs.join(texts.select(F.col("vertex").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b").join(
+        firsts.select(F.col("vertex").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a"
     )
 
     def build():
@@ -220,8 +222,11 @@ def linked(
     hubs = buckets.join(central, "vertex").groupBy("key").agg(
         F.max(F.struct("met", (-F.col("vertex")).alias("less"))).alias("hub")
     ).select("key", (-F.col("hub.less")).alias("a"))
-    pairs = buckets.join(hubs, "key").where("vertex <> a").select("a", F.col("vertex").alias("b")).distinct()
-    compared = settle(_compared(pairs, texts, width, percent, differences=True), "compared")
+    pairs = settle(
+        buckets.join(hubs, "key").where("vertex <> a").select("a", F.col("vertex").alias("b")).distinct(), "pairs"
+    )
+    compared = _compared(pairs, texts, width, percent, differences=True)
+    compared = settle(compared.withColumn("member", F.monotonically_increasing_id()), "compared")
     names = docs.sparkSession.createDataFrame([], "id long, component long")
     names = merge_components(names, _linked(compared, nodes))
     new = settle(_around_hubs(compared, nodes, names, percent), "pairs")
@@ -234,22 +239,23 @@ def _around_hubs(compared: DataFrame, nodes: DataFrame, names: DataFrame, percen
     Similar sets differ in at most ``(100 - percent) / (100 + percent)`` of the sum of their sizes.
     """
     component = renamed(nodes.select("vertex", F.col("node").alias("component")), "component", names)
-    members = compared.join(component.withColumnRenamed("vertex", "b"), "b").select(
-        F.col("a").alias("hub"), F.col("n_a").alias("n_hub"), F.col("b").alias("vertex"), "component",
-        F.col("n_b").alias("n"), F.size("apart").cast("long").alias("far"), "apart",
-    )
+    members = compared.select(
+        "member", F.col("a").alias("hub"), F.col("n_a").alias("n_hub"), F.col("b").alias("vertex"), F.col("n_b").alias("n"),
+        F.size("apart").cast("long").alias("far"),
+    ).join(component, "vertex")
     # the hub itself was tested against all: with all in one component there is nothing to find
     several = members.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    members = members.join(several.select("hub"), "hub", "left_semi").select(
-        "hub", "n_hub", "vertex", "component", "n", "far", F.explode("apart").alias("shingle")
-    )
-    rows = settle(members, "differences")
-    held = rows.groupBy("hub", "shingle").agg(F.count("*").alias("holders")).where("holders > 1")
+    members = settle(members.join(several.select("hub"), "hub", "left_semi"), "members")
+    # the rows are many: hub and shingle are one key, and all else is joined to the few that are left
+    rows = compared.join(members.select("member"), "member", "left_semi").select(
+        "member", F.col("a").alias("hub"), F.explode("apart").alias("shingle")
+    ).select("member", F.xxhash64("hub", "shingle").alias("key"))
+    held = rows.groupBy("key").agg(F.count("*").alias("holders")).where("holders > 1")
     # one document's differences lie in one window, as its text lies in one row
-    own = Window.partitionBy("hub", "vertex")
-    ordered = rows.join(held, ["hub", "shingle"]).withColumns({
-        "place": F.row_number().over(own.orderBy("holders", "shingle")), "shared": F.count("*").over(own),
-    }).withColumn("rest", F.col("shared") - F.col("place") + 1)
+    own = Window.partitionBy("member")
+    ordered = rows.join(held.hint("merge"), "key").withColumns({
+        "place": F.row_number().over(own.orderBy("holders", "key")), "shared": F.count("*").over(own),
+    }).select("member", "key", (F.col("shared") - F.col("place") + 1).alias("rest")).join(members, "member")
     less = F.lit(100 - percent) / F.lit(100 + percent)
     # of two in different components one is no neighbour of the hub; it has percent of the other's size or more
     least_far = less * (F.col("n") * percent / 100 + F.col("n_hub"))
@@ -259,17 +265,17 @@ def _around_hubs(compared: DataFrame, nodes: DataFrame, names: DataFrame, percen
     slack = 1e-6
     ordered = settle(
         ordered.select(
-            "hub", "shingle", "vertex", "component", "n", "far", "rest", (F.col("rest") >= nearer - slack).alias("near_role"),
+            "key", "vertex", "component", "n", "far", "rest", (F.col("rest") >= nearer - slack).alias("near_role"),
             ((F.col("rest") >= farther - slack) & (F.col("far") >= least_far - slack)).alias("far_role"),
         ).where("near_role or far_role"),
         "departures",
     )
     near = ordered.where("near_role").drop("near_role", "far_role")
-    far = ordered.where("far_role").select("hub", "shingle", *[F.col(c).alias(f"{c}_f") for c in ("vertex", "component", "n", "far", "rest")])
+    far = ordered.where("far_role").select("key", *[F.col(c).alias(f"{c}_f") for c in ("vertex", "component", "n", "far", "rest")])
     apart = F.col("far") + F.col("far_f") - 2 * F.least("rest", "rest_f")
     once = (F.col("far") < F.col("far_f")) | ((F.col("far") == F.col("far_f")) & (F.col("vertex") < F.col("vertex_f")))
     may = (100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("n_f"))
-    met = near.join(far, ["hub", "shingle"]).where(once & (F.col("component") != F.col("component_f")) & may)
+    met = near.join(far, "key").where(once & (F.col("component") != F.col("component_f")) & may)
     return met.select(F.least("vertex", "vertex_f").alias("a"), F.greatest("vertex", "vertex_f").alias("b")).distinct()
 
 
