@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from lorekeep.functions.times import as_timestamp, parse_timestamp
 from lorekeep.operators.common import Time, TAG_TABLES
 from lorekeep.operators.graph import place_in_group
+from lorekeep.operators.closure import Generations, chase
 from lorekeep.session import cut_lineage
 from lorekeep.sources.catalog import Catalog
 from lorekeep.sources.schemas import (
@@ -332,22 +333,69 @@ def merges(cat: Catalog, log: DataFrame) -> DataFrame:
     )
 
 
+def _following(events: DataFrame, page: str) -> DataFrame:
+    """``log_id, next``: the first merge out of ``page`` after the event."""
+    spots = events.select(F.col("src_page").alias("_page"), F.col("log_id").alias("_at"), F.col("log_id").alias("_merge"))
+    if page != "src_page":
+        spots = spots.unionByName(events.select(F.col(page).alias("_page"), F.col("log_id").alias("_at"), F.lit(None).alias("_merge")))
+    # from the last event back, so that the frame only grows
+    later = Window.partitionBy("_page").orderBy(F.desc("_at")).rowsBetween(Window.unboundedPreceding, -1)
+    spots = spots.withColumn("next", F.last("_merge", ignorenulls=True).over(later))
+    own = F.col("_merge").isNotNull() if page == "src_page" else F.col("_merge").isNull()
+    return spots.where(own).select(F.col("_at").alias("log_id"), "next")
+
+
+def merge_ways(planned: DataFrame) -> DataFrame:
+    """Where revisions end that meet a merge: ``log_id, lo, hi, page`` for times in (lo, hi].
+
+    A merge sends what is not after its merge point to the target, where the next
+    merge out of that page waits, and the rest to the next merge out of its own
+    page. The two steps of every merge are composed by doubling: times intersect,
+    and a chain of merges takes as many rounds as its logarithm.
+    """
+    events = planned.where("not rejected and mergepoint is not null and src_page <> dest_page").select(
+        "log_id", "src_page", "dest_page", "mergepoint"
+    )
+    events = cut_lineage(events)
+    never = F.lit(None).cast(events.schema["mergepoint"].dataType)
+    taken = events.join(_following(events, "dest_page"), "log_id").select(
+        "log_id", never.alias("lo"), F.col("mergepoint").alias("hi"), F.col("next").alias("to"), F.col("dest_page").alias("page")
+    )
+    passed = events.join(_following(events, "src_page"), "log_id").select(
+        "log_id", F.col("mergepoint").alias("lo"), never.alias("hi"), F.col("next").alias("to"), F.col("src_page").alias("page")
+    )
+    ways = Generations(events.sparkSession, "open")
+    fresh = ways.append(taken.unionByName(passed).withColumn("open", F.col("to").isNotNull()))
+    while not fresh.where("open").isEmpty():
+        onward = ways.closed().unionByName(ways.open()).select(
+            F.col("log_id").alias("to"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("to").alias("_to"),
+            F.col("page").alias("_page"), F.col("open").alias("_open"),
+        )
+        # no bound is NULL, which the greater and the smaller of two leave out
+        both = ways.open().join(onward, "to").select(
+            "log_id", F.greatest("lo", "_lo").alias("lo"), F.least("hi", "_hi").alias("hi"), F.col("_to").alias("to"),
+            F.col("_page").alias("page"), F.col("_open").alias("open"),
+        )
+        fresh = ways.append(both.where("lo is null or hi is null or lo < hi"))
+    return ways.closed().select("log_id", "lo", "hi", "page")
+
+
 def apply_merges(revision: DataFrame, planned: DataFrame) -> DataFrame:
-    """Move revisions up to the merge point to the target page.
+    """Move revisions up to the merge point to the target page, merge after merge in log order.
 
-    The merges of a page are applied by ``log_id``: a revision goes with the first
-    one whose merge point is not before it, so each merge takes the time after the
-    largest merge point so far and no revision meets two of them.
+    A revision goes with the first merge out of its page whose merge point is not
+    before it, and from there with later merges out of the page it has come to.
     """
-    so_far = Window.partitionBy("src_page").orderBy("log_id").rowsBetween(Window.unboundedPreceding, -1)
-    good = planned.where("not rejected and mergepoint is not null")
-    good = good.withColumn("_after", F.max("mergepoint").over(so_far)).where("_after is null or mergepoint > _after")
-    on = (
-        (F.col("rev_page") == F.col("src_page")) & (F.col("rev_timestamp") <= F.col("mergepoint"))
-        & (F.col("_after").isNull() | (F.col("rev_timestamp") > F.col("_after")))
+    first = planned.where("not rejected and mergepoint is not null and src_page <> dest_page").groupBy(
+        F.col("src_page").alias("_from")
+    ).agg(F.min("log_id").alias("log_id"))
+    ways = merge_ways(planned).join(first, "log_id").where("page <> _from").select("_from", "lo", "hi", F.col("page").alias("_to"))
+    time = F.col("rev_timestamp")
+    on = (F.col("rev_page") == F.col("_from")) & (F.col("lo").isNull() | (time > F.col("lo"))) & time.isNotNull() & (
+        F.col("hi").isNull() | (time <= F.col("hi"))
     )
-    df = revision.join(good.select("src_page", "dest_page", "mergepoint", "_after"), on, "left")
-    return df.withColumn("rev_page", F.coalesce("dest_page", "rev_page")).select(*revision.columns)
+    df = revision.join(ways, on, "left")
+    return df.withColumn("rev_page", F.coalesce("_to", "rev_page")).select(*revision.columns)
 
 
 def apply_moves(page: DataFrame, log: DataFrame) -> DataFrame:
@@ -378,24 +426,16 @@ def final_targets(steps: DataFrame) -> DataFrame:
     """Follow replacements ``src, dst, seq`` in order: ``src, dst`` after the last one.
 
     A step applies to whatever carries its source at that moment, so only later
-    steps continue a chain; each round advances every open chain by one step.
+    steps continue a chain.
     """
-    first = steps.groupBy("src").agg(F.min_by(F.struct("dst", "seq"), "seq").alias("x")).select("src", "x.*")
-    state, done = cut_lineage(first), None
-    while True:
-        follow = steps.select(F.col("src").alias("dst"), F.col("dst").alias("next"), F.col("seq").alias("next_seq"))
-        reach = state.join(follow, "dst", "left")
-        open_step = F.when(F.col("next_seq") > F.col("seq"), F.struct(F.col("next_seq"), F.col("next")))
-        grown = cut_lineage(
-            reach.groupBy("src", "dst", "seq").agg(F.min(open_step).alias("step"))
-        )
-        finished = grown.where("step is null").select("src", "dst")
-        done = finished if done is None else cut_lineage(done.unionByName(finished))
-        state = cut_lineage(grown.where("step is not null").select(
-            "src", F.col("step.next").alias("dst"), F.col("step.next_seq").alias("seq")
-        ))
-        if state.isEmpty():
-            return done
+    events = steps.select(F.col("src").alias("_key"), "seq", F.col("seq").alias("_own"))
+    events = events.unionByName(steps.select(F.col("dst").alias("_key"), "seq", F.lit(None).alias("_own")))
+    # from the last event back; a step from a name to itself is not its own successor
+    later = Window.partitionBy("_key").orderBy(F.desc("seq")).rangeBetween(Window.unboundedPreceding, -1)
+    following = events.withColumn("next", F.last("_own", ignorenulls=True).over(later)).where("_own is null").select("seq", "next")
+    found = chase(steps.join(following, "seq").select("seq", "next", "dst"), ["seq"], ["next"])
+    first = steps.groupBy("src").agg(F.min("seq").alias("seq"))
+    return first.join(found, "seq").select("src", "dst")
 
 
 def renames(log: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from lorekeep.functions.titles import absolute_link, canonical_title, computed_o
 from lorekeep.functions.urls import has_host
 from lorekeep.operators.activity import keep_last
 from lorekeep.operators.changes import CASCADES, upsert
-from lorekeep.session import cut_lineage
+from lorekeep.operators.closure import reachable
 from lorekeep.sources.catalog import Catalog
 
 # ---- which pages --------------------------------------------------------------------------
@@ -258,29 +258,9 @@ def transclusions(cat: Catalog, pages: DataFrame) -> DataFrame:
 
 
 def transclusion_closure(direct: DataFrame, page: DataFrame) -> DataFrame:
-    """Direct and indirect transclusions of each page, loops included only once.
-
-    Semi-naive: each round extends only the pairs found in the round before and
-    keeps those not known yet, so loops end by themselves.
-    """
+    """Direct and indirect transclusions of each page, loops included only once."""
     titles = page.select(
         F.col("page_id").alias("via"), F.col("page_namespace").alias("tl_namespace"), F.col("page_title").alias("tl_title")
     )
-    direct = cut_lineage(direct.join(titles, ["tl_namespace", "tl_title"], "left").select(
-        "tl_from", "tl_namespace", "tl_title", "via"
-    ))
-    steps = direct.select(
-        F.col("tl_from").alias("via"), F.col("tl_namespace").alias("n_namespace"), F.col("tl_title").alias("n_title"),
-        F.col("via").alias("n_via"),
-    )
-    known, fresh = direct, direct
-    key = ["tl_from", "tl_namespace", "tl_title"]
-    while True:
-        grown = fresh.join(steps, "via").select(
-            "tl_from", F.col("n_namespace").alias("tl_namespace"), F.col("n_title").alias("tl_title"),
-            F.col("n_via").alias("via"),
-        ).distinct()
-        fresh = cut_lineage(grown.join(known.select(*key), key, "left_anti"))
-        if fresh.isEmpty():
-            return known.select(*key)
-        known = cut_lineage(known.unionByName(fresh))
+    steps = direct.join(titles, ["tl_namespace", "tl_title"], "left")
+    return reachable(steps, "tl_from", ["tl_namespace", "tl_title"], "via").drop("via")

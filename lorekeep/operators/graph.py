@@ -1,8 +1,8 @@
 """Graphs as edge tables: redirect chains and category trees.
 
-The loops below iterate on DataFrames. Each round is cut with a reliable
-checkpoint in the shared folder, so plans stay short and lost executors do not
-cost the earlier rounds. Only a row count per round reaches the driver.
+The loops below iterate on DataFrames. Each round is written to the shared
+folder, so plans stay short and lost executors do not cost the earlier rounds.
+Only a row count per round reaches the driver.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions.langs import localized_title, pure_title, title_language
 from lorekeep.operators import common as c
+from lorekeep.operators.closure import Generations, chase
 from lorekeep.session import cut_lineage
 from lorekeep.sources.catalog import Catalog
 
@@ -60,37 +61,13 @@ def redirect_edges(cat: Catalog, source_namespaces=None, target_namespaces=None)
 def resolve_redirects(edges: DataFrame) -> DataFrame:
     """Final target of every redirect; the last non-empty fragment on the way wins.
 
-    Sources on a loop, or leading into one, get NULL. Pointer doubling: after
-    round ``k`` each open pointer spans ``2**k`` redirects, so a chain of length
-    ``n`` takes about ``log2(n)`` rounds. A round that closes no pointer leaves
-    only loops, because a longer chain would always have had one to close.
+    Sources on a loop, or leading into one, get NULL.
     """
-    sources = edges.select(F.col("src_ns").alias("dst_ns"), F.col("src_title").alias("dst_title"), F.lit(True).alias("open"))
-    state = edges.join(sources, ["dst_ns", "dst_title"], "left").select(
-        "src_ns", "src_title", "dst_ns", "dst_title", "fragment", F.coalesce("open", F.lit(False)).alias("open")
-    )
-    state = cut_lineage(state)
-    remaining = state.where("open").count()
-    while remaining:
-        step = state.select(
-            F.col("src_ns").alias("dst_ns"), F.col("src_title").alias("dst_title"),
-            F.col("dst_ns").alias("next_ns"), F.col("dst_title").alias("next_title"),
-            F.col("fragment").alias("next_fragment"), F.col("open").alias("next_open"),
-        )
-        moved = state.where("open").join(step, ["dst_ns", "dst_title"]).select(
-            "src_ns", "src_title", F.col("next_ns").alias("dst_ns"), F.col("next_title").alias("dst_title"),
-            F.coalesce("next_fragment", "fragment").alias("fragment"), F.col("next_open").alias("open"),
-        )
-        state = cut_lineage(state.where("not open").unionByName(moved))
-        left = state.where("open").count()
-        if left == remaining:
-            break
-        remaining = left
-    closed = ~F.col("open")
-    return state.select(
-        "src_ns", "src_title",
-        *[F.when(closed, F.col(x)).alias(x) for x in ("dst_ns", "dst_title", "fragment")],
+    ends = ["dst_ns", "dst_title", "fragment"]
+    found = chase(
+        edges.select("src_ns", "src_title", *ends), ["src_ns", "src_title"], ["dst_ns", "dst_title"], ["fragment"]
     )
+    return found.select("src_ns", "src_title", *[F.when(F.col("closed"), F.col(x)).alias(x) for x in ends])
 
 
 def double_redirects(edges: DataFrame) -> DataFrame:
@@ -228,7 +205,7 @@ def localized_categories_to_create(cat: Catalog, root: str = "Languages", local:
     existing = cat["page"].where("page_namespace = 14").select(F.col("page_title").alias("name"))
     parents = category_edges(cat).distinct()
     frontier = wanted_categories(cat).select("category")
-    planned = None
+    planned = Generations(cat.spark)
     while True:
         named = frontier.select(
             "category", _language(F.col("category")).alias("language"), _pure(F.col("category")).alias("name")
@@ -243,15 +220,13 @@ def localized_categories_to_create(cat: Catalog, root: str = "Languages", local:
             .when(F.lower(parent_pure) == F.lower(parent_language), F.col("language"))
             .otherwise(localized_title(parent_pure, F.col("language")))
         )
-        step = cut_lineage(lifted.select("category", localized.alias("parent")).distinct())
+        step = planned.append(lifted.select("category", localized.alias("parent")).distinct())
         if step.isEmpty():
-            break
-        planned = step if planned is None else cut_lineage(planned.unionByName(step))
-        done = planned.select(F.col("category").alias("name")).unionByName(existing)
+            return planned.all()
+        done = planned.all().select(F.col("category").alias("name")).unionByName(existing)
         frontier = step.where("parent is not null").select(F.col("parent").alias("category")).distinct().join(
             done, F.col("category") == F.col("name"), "left_anti"
         )
-    return step if planned is None else planned
 
 
 def unused_categories(cat: Catalog) -> DataFrame:
