@@ -61,6 +61,28 @@ def active_users(cat: Catalog, today: Time, active_days: int = 30, approximate:
     return recent_window(cat, today, active_days).agg(count.alias("active_users"))
 
 
+def daily_user_sketches(changes: DataFrame) -> DataFrame:
+    """``day, users``: a HyperLogLog sketch of the users who edited on each day, a few kilobytes at most.
+
+    Stored once per day, sketches answer for any window of days without a look at the changes.
+    """
+    edits = changes.where(F.col("rc_type").isin("edit", "new"))
+    return edits.groupBy(F.to_date("rc_timestamp").alias("day")).agg(F.hll_sketch_agg("rc_user_text", 14).alias("users"))
+
+
+def sketched_active_users(sketches: DataFrame, days: int) -> DataFrame:
+    """``day, active_users``: about how many users edited in the ``days`` days that end with each day of ``sketches``."""
+    spread = sketches.select(F.explode(F.sequence("day", F.date_add("day", days - 1))).alias("day"), "users")
+    ends = spread.join(sketches.select("day"), "day", "left_semi")
+    return ends.groupBy("day").agg(F.hll_sketch_estimate(F.hll_union_agg("users")).alias("active_users"))
+
+
+def sketched_monthly_users(sketches: DataFrame) -> DataFrame:
+    """``month, users``: about how many users edited in each calendar month."""
+    month = F.trunc("day", "month").alias("month")
+    return sketches.groupBy(month).agg(F.hll_sketch_estimate(F.hll_union_agg("users")).alias("users"))
+
+
 def streaks(days: DataFrame) -> DataFrame:
     """Runs of days without a gap of more than one day.
 

@@ -28,39 +28,47 @@ _LISTS = {
         **_TIME, "namespace": "namespace", "level": "level", "prop": "prop"}),
     "allrevisions": ("arv", lists.all_revisions, lists.shape_revisions, {
         **_TIME, "namespace": "namespace", "user": "user", "excludeuser": "exclude_user", "prop": "prop",
-        "slots": None}),
+        "slots": "slots"}),
     "alldeletedrevisions": ("adr", lists.all_deleted_revisions, lambda df: lists.shape_revisions(df, "ar_"), {
         **_TIME, "namespace": "namespace", "user": "user", "excludeuser": "exclude_user", "tag": "tag",
-        "from": "title_from", "to": "title_to", "prop": "prop", "slots": None}),
+        "from": "title_from", "to": "title_to", "prop": "prop", "slots": "slots"}),
     "allusers": ("au", lists.all_users, lists.shape_users, {
         "from": "start", "to": "end", "dir": "direction", "group": "group", "excludegroup": "exclude_group",
         "witheditsonly": "with_edits_only", "prop": "prop", "limit": "limit"}),
 }
-_REV = {**_TIME, "user": "user", "excludeuser": "exclude_user", "prop": "prop", "slots": None}
-_REVERSE = {"prop": "prop", "namespace": "namespace", "show": "show", "limit": None}
+_REV = {**_TIME, "user": "user", "excludeuser": "exclude_user", "prop": "prop", "slots": "slots"}
+_ENTRIES = {"dir": "entry_direction", "limit": "entry_limit"}
+_REVERSE = {"prop": "prop", "namespace": "namespace", "show": "show", "limit": "entry_limit"}
 _PROPS = {
     "info": ("in", {"prop": "display_title"}), "pageprops": ("pp", {"prop": "names"}),
     "latestrevisions": ("rv", _REV), "revisions": ("rv", _REV),
     "deletedrevisions": ("drv", {**_REV, "tag": "tag"}),
-    "templates": ("tl", {"namespace": "namespace", "templates": "titles", "dir": None, "limit": None}),
-    "links": ("pl", {"namespace": "namespace", "titles": "titles", "dir": None, "limit": None}),
+    "templates": ("tl", {"namespace": "namespace", "templates": "titles", **_ENTRIES}),
+    "links": ("pl", {"namespace": "namespace", "titles": "titles", **_ENTRIES}),
     "transcludedin": ("ti", _REVERSE), "linkshere": ("lh", _REVERSE), "redirects": ("rd", _REVERSE),
-    "images": ("im", {"dir": None, "limit": None}), "categories": ("cl", {"dir": None, "limit": None}),
-    "langlinks": ("ll", {"lang": "lang", "title": "title", "dir": None, "limit": None}),
-    "iwlinks": ("iwl", {"prefix": "prefix", "title": "title", "dir": None, "limit": None}),
-    "extlinks": ("el", {"protocol": "protocol", "query": "query", "limit": None}),
-    "sections": ("sec", {"limit": None}),
+    "images": ("im", _ENTRIES), "categories": ("cl", _ENTRIES),
+    "langlinks": ("ll", {"lang": "lang", "title": "title", **_ENTRIES}),
+    "iwlinks": ("iwl", {"prefix": "prefix", "title": "title", **_ENTRIES}),
+    "extlinks": ("el", {"protocol": "protocol", "query": "query", "limit": "entry_limit"}),
+    "sections": ("sec", {"limit": "entry_limit"}),
 }
 
 
-def _arguments(params: dict, prefix: str, names: dict[str, str | None]) -> dict:
-    """Take the parameters of one module out of ``params``; unknown ones are left."""
+def _arguments(params: dict, prefix: str, names: dict[str, str]) -> dict:
+    """Take the parameters of one module out of ``params``; unknown ones are left.
+
+    Contents have one slot, so ``slots`` may name only that.
+    """
     out = {}
     for name, argument in names.items():
         if prefix + name not in params:
             continue
         value = params.pop(prefix + name)
-        if argument is None or (name == "limit" and value == "max"):
+        if name == "limit" and value == "max":
+            continue
+        if name == "slots":
+            if value not in ("main", "*") and set(value) != {"main"}:
+                raise ValueError(f"unknown slots {value!r}")
             continue
         out[argument] = value
     return out

@@ -97,16 +97,20 @@ def with_namespace(df: DataFrame, cat: Catalog, ns: str, name: str = "nss_name")
     return df.join(names, F.col(ns) == F.col("_nss_id"), "left").drop("_nss_id")
 
 
-def tag_names(cat: Catalog, table: str) -> DataFrame:
-    """``(entity, tag_names)`` of one assignment table, names sorted.
+def tag_names(cat: Catalog, table: str, wanted: DataFrame | None = None) -> DataFrame:
+    """``(entity, tag_names)`` of one assignment table, names sorted; of the ``wanted`` entities only.
 
     Tags per entity are few (at most the tag catalogue), so the arrays stay small.
     """
     tag_id, entity = TAG_TABLES[table]
     tags = cat["tag"].select("tag_id", "tag_name")
+    assigned = cat[table].select(F.col(entity).alias("_entity"), F.col(tag_id).alias("_tag"))
+    if wanted is not None:
+        # the join leaves the rows dealt by entity, as the aggregation needs them
+        assigned = assigned.join(wanted, "_entity", "left_semi")
     return (
-        cat[table].join(tags, F.col(tag_id) == F.col("tag_id"))
-        .groupBy(F.col(entity).alias("_entity"))
+        assigned.join(tags, F.col("_tag") == F.col("tag_id"))
+        .groupBy("_entity")
         .agg(F.sort_array(F.collect_set("tag_name")).alias("tag_names"))
     )
 
@@ -120,8 +124,12 @@ TAG_TABLES = {
 
 
 def with_tags(df: DataFrame, cat: Catalog, table: str, key: str) -> DataFrame:
-    """Add ``tag_names``; entities without tags get an empty array."""
-    joined = df.join(tag_names(cat, table), F.col(key) == F.col("_entity"), "left").drop("_entity")
+    """Add ``tag_names``; entities without tags get an empty array.
+
+    Only assignments of rows that ``df`` has kept are joined to names and aggregated.
+    """
+    wanted = df.select(F.col(key).alias("_entity")).where("_entity is not null")
+    joined = df.join(tag_names(cat, table, wanted), F.col(key) == F.col("_entity"), "left").drop("_entity")
     empty = F.array().cast("array<string>")
     return joined.withColumn("tag_names", F.coalesce("tag_names", empty))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lorekeep.functions.titles import parse_titles, prefixed
 from lorekeep.operators import common as c
 from lorekeep.operators import lists
-from lorekeep.operators.props import PROPERTIES
+from lorekeep.operators.props import PROPERTIES, entries
 from lorekeep.sources.catalog import Catalog
 
 _PAGE = ["page_id", "page_namespace", "page_title"]
@@ -99,10 +99,10 @@ def query_pages(
     options = options or {}
     parts = {}
     for name in sorted(prop):
-        entries = PROPERTIES[name](cat, pages, **options.get(name, {}))
+        rows = entries(cat, name, pages, **options.get(name, {}))
         if name == "pageprops":
-            entries = entries.where("pageprops is not null").select("page_id", F.explode("pageprops"))
-        parts[name] = entries
+            rows = rows.where("pageprops is not null").select("page_id", F.explode("pageprops"))
+        parts[name] = rows
     return attach(pages, parts)
 
 

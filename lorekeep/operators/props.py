@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lorekeep.functions.langs import html_code, text_direction
 from lorekeep.operators import common as c
 from lorekeep.operators.common import Time
+from lorekeep.operators.graph import place_in_group
 from lorekeep.operators.lists import filter_revisions, revision_columns, with_content
 from lorekeep.sources.catalog import Catalog
 
@@ -80,10 +81,18 @@ def page_props(cat: Catalog, pages: DataFrame, *, names: Collection[str] | None
     return _ids(pages).join(maps, "page_id", "left")
 
 
+def _first_revisions(df: DataFrame, prefix: str, direction: str, limit: int | None) -> DataFrame:
+    """The first ``limit`` by page and time, before anything is joined to them."""
+    if limit is None:
+        return df
+    time = [F.col(prefix + "timestamp"), F.col("ar_rev_id" if prefix == "ar_" else "rev_id")]
+    return df.orderBy("page_id", *[x.asc() if direction == "newer" else x.desc() for x in time]).limit(limit)
+
+
 def revisions(
     cat: Catalog, pages: DataFrame, *, latest: bool = False, start: Time | None = None, end: Time | None = None,
     direction: str = "older", user: str | None = None, exclude_user: str | None = None,
-    prop: Collection[str] = ("ids", "timestamp", "flags", "comment", "user"),
+    prop: Collection[str] = ("ids", "timestamp", "flags", "comment", "user"), limit: int | None = None,
 ) -> DataFrame:
     """Revisions of the pages, or only the current one (``latest``). Hidden bits are selected."""
     columns = revision_columns(prop)
@@ -94,6 +103,7 @@ def revisions(
         df = df.join(current, (F.col("rev_page") == F.col("page_id")) & (F.col("rev_id") == F.col("page_latest")))
     else:
         df = df.join(_ids(pages), F.col("rev_page") == F.col("page_id"))
+    df = _first_revisions(df, "rev_", direction, limit)
     if "content" in prop:
         df = with_content(df, cat, "rev_text_id")
         columns.append("old_text")
@@ -106,7 +116,7 @@ def revisions(
 def deleted_revisions(
     cat: Catalog, pages: DataFrame, *, start: Time | None = None, end: Time | None = None,
     direction: str = "older", user: str | None = None, exclude_user: str | None = None, tag: str | None = None,
-    prop: Collection[str] = ("ids", "timestamp", "flags", "comment", "user"),
+    prop: Collection[str] = ("ids", "timestamp", "flags", "comment", "user"), limit: int | None = None,
 ) -> DataFrame:
     """Deleted revisions under the title of each page."""
     columns = revision_columns(prop, "ar_")
@@ -116,6 +126,7 @@ def deleted_revisions(
     df = df.join(
         _keys(pages), (F.col("ar_namespace") == F.col("page_namespace")) & (F.col("ar_title") == F.col("page_title"))
     )
+    df = _first_revisions(df, "ar_", direction, limit)
     if "content" in prop:
         df = with_content(df, cat, "ar_text_id")
         columns.append("old_text")
@@ -281,6 +292,36 @@ def latest_revisions(cat: Catalog, pages: DataFrame, **options) -> DataFrame:
     return revisions(cat, pages, latest=True, **options)
 
 
+def arranged(df: DataFrame, order: Collection[str], direction: str | None, limit: int | None) -> DataFrame:
+    """The first ``limit`` entries by page and ``order``, and, with a ``direction``, each entry's ``place`` on its page."""
+    if direction not in (None, "ascending", "descending"):
+        raise ValueError(f"direction must be ascending or descending, not {direction!r}")
+    if limit is not None and limit < 1:
+        raise ValueError("limit must be at least 1")
+    keys = [F.col(x).desc() if direction == "descending" else F.col(x).asc() for x in order if x in df.columns]
+    if limit is not None:
+        df = df.orderBy("page_id", *keys).limit(limit)
+    return df if direction is None else place_in_group(df, "page_id", keys)
+
+
+# what the entries of a property are ordered by; sections and revisions have orders of their own
+ENTRY_ORDER = {
+    "templates": ["ns", "title"], "links": ["ns", "title"], "images": ["title"], "categories": ["title"],
+    "langlinks": ["lang", "title"], "iwlinks": ["prefix", "title"], "extlinks": ["url"], "sections": ["number"],
+    "transcludedin": ["pageid", "ns", "title"], "linkshere": ["pageid", "ns", "title"], "redirects": ["pageid", "ns", "title"],
+}
+
+
+def entries(
+    cat: Catalog, name: str, pages: DataFrame, *, entry_direction: str | None = None, entry_limit: int | None = None, **options
+) -> DataFrame:
+    """A property by name; its entries are put in order and cut if asked for."""
+    df = PROPERTIES[name](cat, pages, **options)
+    if entry_direction is None and entry_limit is None:
+        return df
+    return arranged(df, ENTRY_ORDER[name], entry_direction, entry_limit)
+
+
 PROPERTIES = {
     "info": info, "protection": protection, "pageprops": page_props, "latestrevisions": latest_revisions,
     "revisions": revisions, "deletedrevisions": deleted_revisions, "templates": templates,

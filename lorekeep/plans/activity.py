@@ -126,9 +126,29 @@ def active_users(cat):
     return A.active_users(cat, TODAY)
 
 
-@query("a06_active_users_approx")
+_SKETCHED = "(select distinct cast(rc_timestamp as date) as day, rc_user_text as u from @recentchanges where rc_type in ('edit', 'new'))"
+
+
+@query("a06_active_users_approx", f"select cast(day as varchar) as day, true as close from {_SKETCHED} d group by day")
 def active_users_approx(cat):
-    return A.active_users(cat, TODAY, approximate=True)
+    # at most 3 % from the exact count of each window
+    edits = cat["recentchanges"].where("rc_type in ('edit', 'new')")
+    days = edits.select(F.to_date("rc_timestamp").alias("day"), "rc_user_text").distinct()
+    exact = days.select(F.explode(F.sequence("day", F.date_add("day", 29))).alias("day"), "rc_user_text").groupBy("day").agg(
+        F.countDistinct("rc_user_text").alias("exact"))
+    found = A.sketched_active_users(A.daily_user_sketches(cat["recentchanges"]), 30).join(exact, "day")
+    close = F.abs(F.col("active_users") - F.col("exact")) <= 0.03 * F.col("exact")
+    return _text(found.select("day", close.alias("close")), "day")
+
+
+@query("a12_monthly_users_approx", f"""
+  select cast(cast(date_trunc('month', day) as date) as varchar) as month, true as close from {_SKETCHED} d group by 1""")
+def monthly_users_approx(cat):
+    edits = cat["recentchanges"].where("rc_type in ('edit', 'new')")
+    exact = edits.groupBy(F.trunc(F.to_date("rc_timestamp"), "month").alias("month")).agg(F.countDistinct("rc_user_text").alias("exact"))
+    found = A.sketched_monthly_users(A.daily_user_sketches(cat["recentchanges"])).join(exact, "month")
+    close = F.abs(F.col("users") - F.col("exact")) <= 0.03 * F.col("exact")
+    return _text(found.select("month", close.alias("close")), "month")
 
 
 @query("a07_edits_per_day", f"""

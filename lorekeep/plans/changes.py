@@ -231,17 +231,40 @@ def planned_merges(cat):
     return C.merges(cat, cat["logging"])
 
 
+_REPLAY = """walk as (
+    select rev_id, rev_page as page, rev_timestamp as t, cast(-1 as bigint) as pos from @revision
+    union all
+    select w.rev_id, m.dest, w.t, m.log_id from walk w join m on m.src = w.page and m.point >= w.t and m.log_id > w.pos
+    where not exists (select 1 from m n where n.src = w.page and n.point >= w.t and n.log_id > w.pos and n.log_id < m.log_id))"""
+
+
 @query("c15_merged_history", f"""
-  select r.rev_id, coalesce(m.dest_page, r.rev_page) as rev_page
-  from @revision r left join (
-    select v.rev_id, arg_min(x.dest_page, x.log_id) as dest_page from @revision v
-    join {MERGES} x on x.src_page = v.rev_page and v.rev_timestamp <= x.mergepoint where not x.rejected group by 1) m
-  on m.rev_id = r.rev_id""")
+  with recursive m as (
+    select log_id, src_page as src, dest_page as dest, mergepoint as point from {MERGES} x
+    where not rejected and src_page <> dest_page), {_REPLAY}
+  select rev_id, arg_max(page, pos) as rev_page from walk group by 1""")
 def merged_history(cat):
     merged = C.apply_merges(cat["revision"], C.merges(cat, cat["logging"]))
     return merged.select("rev_id", "rev_page")
 
 
+@query("c15_chained_history", f"""
+  with recursive m as (
+    select log_id, log_page as src, log_page + 4 as dest, log_timestamp as point from @logging where log_page is not null),
+  {_REPLAY}
+  select rev_id, arg_max(page, pos) as rev_page, count(*) - 1 as steps from walk group by 1""")
+def chained_history(cat):
+    # every log event of a page stands for a merge of its history into the next page
+    planned = cat["logging"].where("log_page is not null").select(
+        "log_id", F.col("log_page").alias("src_page"), (F.col("log_page") + 4).alias("dest_page"),
+        F.col("log_timestamp").alias("mergepoint"), F.lit(False).alias("rejected"),
+    )
+    revision = cat["revision"].select("rev_id", "rev_page", "rev_timestamp")
+    merged = C.apply_merges(revision, planned)
+    return revision.join(merged.withColumnRenamed("rev_page", "to_page"), "rev_id").select(
+        "rev_id", F.col("to_page").alias("rev_page"), ((F.col("to_page") - F.col("rev_page")) / 4).cast("long").alias("steps"))
+
+
 @query("j11_history_join", f"""
   select r.rev_id, m.src_page, m.dest_page from @revision r join {MERGES} m on m.src_page = r.rev_page
     and r.rev_timestamp <= m.mergepoint""")

@@ -113,6 +113,21 @@ def query_surface(cat):
     return df.select("page_id", "page_title", "property", F.col("categories.title").alias("title"))
 
 
+@query("g05_entry_order", """
+  with e as (
+    select cl_from as page_id, 'categories' as property, 'Category:' || cl_to as entry,
+           row_number() over (partition by cl_from order by cl_to desc) as place from @categorylinks
+    union all
+    select el_from, 'extlinks', el_to, null from (
+      select * from @externallinks where el_from in (select page_id from @page where page_namespace = 0)
+      order by el_from, el_to limit 40) t)
+  select p.page_id, e.property, e.entry, e.place from @page p left join e on e.page_id = p.page_id where p.page_namespace = 0""")
+def entry_order(cat):
+    df = wiki_query(cat, generator="allpages", prop={"categories", "extlinks"}, cldir="descending", ellimit=40)
+    entry = F.coalesce("categories.title", "extlinks.url")
+    return df.select("page_id", "property", entry.alias("entry"), F.col("categories.place").cast("long").alias("place"))
+
+
 @query("g06_merge_partials", """
   select rc_cur_id as page_id,
          arg_max(rc_log_type, rc_id) filter (rc_log_type is not null) as last_log_type,

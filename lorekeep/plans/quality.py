@@ -8,7 +8,7 @@ from lorekeep.operators import extract as X
 from lorekeep.operators import graph as G
 from lorekeep.operators import quality as Q
 from lorekeep.operators.common import with_namespace
-from lorekeep.plans.extract import PARSED, _wikitext
+from lorekeep.plans.extract import _ENCODE, _UNIQUE, PARSED, _wikitext
 from lorekeep.plans.graph import EDGES, language
 from lorekeep.plans.registry import query
 from lorekeep.sources.catalog import MemoryCatalog
@@ -123,10 +123,28 @@ SITE = """page_list as (select page_id, title from @wikitext),
     "{up}", "((case when substr(raw, 1, 1) = 'ß' then 'SS' else upper(substr(raw, 1, 1)) end) || substr(split_part(raw, '#', 1), 2))")
 
 
-@query("q11_broken_section_links")
+@query("q11_broken_section_links", f"""
+  with recursive {SITE},
+  walk as (
+    select src, target, fragment, [src] as path from redirects
+    union all
+    select w.src, r.target, coalesce(r.fragment, w.fragment), list_append(w.path, r.src)
+    from walk w join redirects r on r.src = w.target where not list_contains(w.path, r.src)),
+  resolved as (
+    select s.src, w.target, w.fragment from redirects s
+    left join (select * from walk x where x.target not in (select src from redirects)) w on w.src = s.src),
+  known as (select page_id, unnest(anchors) as anchor from {_UNIQUE} u),
+  links as (
+    select l.page_id, l.place, case when r.src is null then l.name else r.target end as target,
+           r.fragment is not null as via_section, array_to_string({_ENCODE.format(
+               x="trim(regexp_replace(replace(l.section, '_', ' '), ' +', ' ', 'g'))")}, '') as anchor
+    from {PARSED} l left join resolved r on r.src = l.name where l.kind in ('page', 'skip') and l.section <> '')
+  select k.page_id, cast(k.place as integer) as position, p.page_id as target_page, k.anchor, k.via_section
+  from links k join page_list p on p.title = k.target
+  where (p.page_id, k.anchor) not in (select page_id, anchor from known)""")
 def broken_section_links(cat):
     site, links = _site(cat)
-    return Q.broken_section_links(site, links, G.resolve_redirects(G.redirect_edges(site)))
+    return Q.broken_section_links(site, links, G.resolve_redirects(G.redirect_edges(site))).drop("raw")
 
 
 @query("j15_anchor_suggestions", """
