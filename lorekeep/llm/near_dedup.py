@@ -40,6 +40,7 @@ from lorekeep.llm.components import merge_components, renamed
 
 BANDS, ROWS = 32, 5
 CACHED_WORDS = 300_000
+HUB_BLOCK = 512
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _VALUE_BITS = 40
@@ -153,10 +154,15 @@ def _printed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 
 def _compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int, differences: bool) -> DataFrame:
     """``pairs`` (a, b) with ``linked``; with ``n_a``, ``n_b`` and ``apart``, the shingles that only one has, if asked for."""
-    # merge joins: whether the texts are small must not decide what is shuffled
-    firsts = texts.join(pairs.select(F.col("a").alias("vertex")).distinct(), "vertex", "left_semi")
-    rows = pairs.join(texts.select(F.col("vertex").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b").join(
-        firsts.select(F.col("vertex").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a"
+    # merge joins: whether the texts are small must not decide what is shuffled; a hub with many
+    # pairs is several blocks of them, each with the hub's text
+    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_BLOCK).cast("int").alias("blocks"))
+    firsts = texts.withColumnRenamed("vertex", "a").join(blocks, "a").select(
+        "a", F.col("text").alias("text_a"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    )
+    rows = pairs.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"))
+    rows = rows.join(texts.select(F.col("vertex").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b").join(
+        firsts.hint("merge"), ["a", "block"]
     )
 
     def build():
@@ -216,7 +222,7 @@ def linked(
     nodes = settle(nodes.join(buckets.select("vertex").distinct(), "vertex", "left_semi"), "nodes")
     on = nodes.select("vertex", F.col("node").alias("id"), "print")
     # repeated rows: any one of the equal texts
-    texts = settle(_printed(docs, text, doc_id).join(on, ["id", "print"]).dropDuplicates(["vertex"]).select("vertex", "text"), "texts")
+    texts = settle(_printed(docs, text, doc_id).join(on.hint("merge"), ["id", "print"]).dropDuplicates(["vertex"]).select("vertex", "text"), "texts")
 
     central = buckets.groupBy("vertex").agg(F.sum("members").alias("met"))
     hubs = buckets.join(central, "vertex").groupBy("key").agg(
