@@ -38,7 +38,7 @@ SAMPLE = 2000
 WINDOWS, LONGEST = 50, 1000
 MAX_CHUNKS, MAX_CHARS = 7, 120
 CONTEXT = 48
-EPOCHS, RATE, RIDGE = 5, 0.15, 1e-4
+EPOCHS, RATE, RIDGE = 8, 0.5, 1e-4
 
 Span = tuple[int, int, int]  # start, kind, end
 
@@ -375,6 +375,12 @@ def _spellings(kind: int, span: str, rng: random.Random) -> list[str]:
             f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}", f"{d[:3]}.{d[3:6]}.{d[6:]}",
             f"1 ({d[:3]}) {d[3:6]}-{d[6:]}", f"+1-{d[:3]}-{d[3:6]}-{d[6:]}",
         ]
+    if kind == 4:
+        # other names and marks before the same value, and a key that stands alone
+        value = re.split(r"[=:]", span)[-1].strip("\x20\"'")
+        cut = value[: rng.randrange(10, 28)]
+        key = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(16))
+        return [f"password={cut}", f"token={cut.title()}", f"api_key: {cut}", f"secret_key='{value}'", f"AKIA{key}"]
     return []
 
 
@@ -388,7 +394,11 @@ def _nothing(rng: random.Random) -> str:
     ])
 
 
-_SEEDS = re.compile(r"\b(?:password|secret|token)=[A-Za-z0-9]{8,}|\bAKIA[A-Z0-9]{16}\b")
+# settings with a long value, and access keys by their shape: sure enough to learn the kind from
+_SEEDS = re.compile(
+    r"""\b[\w-]{0,24}?(?:password|passwd|secret|token|api_?key)[\w-]{0,24}[\x20]?[=:][\x20]?["']?[A-Za-z0-9+/_-]{8,64}"""
+    r"""|\bAKIA[A-Z0-9]{16}\b""", re.IGNORECASE,
+)
 
 
 def train(texts: list[str], seed: int = 5) -> Field:
