@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -80,29 +81,66 @@ def anchor_encode(text: Column, legacy: bool = False) -> Column:
     return F.when(prepared.rlike(r"^[^\[\]|\p{Z}\p{C}]*$"), prepared).otherwise(encoded)
 
 
-_DIGITS = "0123456789abcdefghijklmnopqrstuvwxyz"
+# 160 bits are ten limbs of 16 bits, or six groups of six base-36 digits; all steps fit 64 bits
+_LIMBS, _GROUPS, _GROUP = 10, 6, 36**6
 
 
-def _to_base36(digest: str | None) -> str | None:
-    if not digest:
-        return None
-    number, out = int(digest, 16), ""
-    while number:
-        number, rest = divmod(number, 36)
-        out = _DIGITS[rest] + out
-    return out.rjust(31, "0")
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
-@F.pandas_udf(T.StringType())
-def sha1_to_base36(digest: pd.Series) -> pd.Series:
-    """Hex digest to the 31-digit base-36 storage form (160 bits exceed ``conv``)."""
-    return digest.map(_to_base36, na_action="ignore")
+def _divided(limbs: Column) -> Column:
+    """Quotient limbs and rest of a number (highest limb first) divided by a group."""
+    start = F.struct(F.array().cast("array<bigint>").alias("quotient"), F.lit(0).cast("long").alias("rest"))
 
+    def step(done: Column, limb: Column) -> Column:
+        return _let(done["rest"] * 65536 + limb, lambda x: F.struct(
+            F.concat(done["quotient"], F.array(F.floor(x / _GROUP))).alias("quotient"), (x % _GROUP).alias("rest")
+        ))
 
-@F.pandas_udf(T.StringType())
-def sha1_from_base36(stored: pd.Series) -> pd.Series:
-    """31-digit base-36 storage form to the 40-digit hex digest."""
-    return stored.map(lambda x: f"{int(x, 36):040x}" if x else None, na_action="ignore")
+    return F.aggregate(limbs, start, step)
+
+
+def _digits36(limbs: Column, groups: int) -> Column:
+    """The last ``groups`` groups of base-36 digits of a number."""
+
+    def one(part: Column) -> Column:
+        own = F.lpad(F.lower(F.conv(part["rest"].cast("string"), 10, 36)), 6, "0")
+        return own if groups == 1 else F.concat(_digits36(part["quotient"], groups - 1), own)
+
+    return _let(_divided(limbs), one)
+
+
+def sha1_to_base36(digest: Column | str) -> Column:
+    """Hex digest to the 31-digit base-36 storage form; NULL for no digest. Folded in the JVM, limb by limb."""
+    digest = F.col(digest) if isinstance(digest, str) else digest
+    padded = F.lpad(digest, 4 * _LIMBS, "0")
+    limbs = F.transform(
+        F.sequence(F.lit(0), F.lit(_LIMBS - 1)), lambda i: F.conv(F.substring(padded, i * 4 + 1, F.lit(4)), 16, 10).cast("long")
+    )
+    return F.when(F.length(digest) > 0, F.right(_digits36(limbs, _GROUPS), F.lit(31)))
+
+
+def sha1_from_base36(stored: Column | str) -> Column:
+    """31-digit base-36 storage form to the 40-digit hex digest; NULL for none."""
+    stored = F.col(stored) if isinstance(stored, str) else stored
+    padded = F.lpad(stored, 6 * _GROUPS, "0")
+    groups = F.transform(
+        F.sequence(F.lit(0), F.lit(_GROUPS - 1)), lambda i: F.conv(F.substring(padded, i * 6 + 1, F.lit(6)), 36, 10).cast("long")
+    )
+    none = F.array_repeat(F.lit(0).cast("long"), _LIMBS)
+
+    def add(limbs: Column, group: Column) -> Column:
+        # lowest limb first, so that the carry goes on to the next
+        start = F.struct(F.array().cast("array<bigint>").alias("limbs"), group.alias("carry"))
+        return F.aggregate(limbs, start, lambda done, limb: _let(limb * _GROUP + done["carry"], lambda x: F.struct(
+            F.concat(done["limbs"], F.array(x % 65536)).alias("limbs"), F.floor(x / 65536).alias("carry")
+        )))["limbs"]
+
+    limbs = F.reverse(F.aggregate(groups, none, add))
+    digits = F.array_join(F.transform(limbs, lambda x: F.lower(F.lpad(F.hex(x), 4, "0"))), "")
+    return F.when(F.length(stored) > 0, digits)
 
 
 @F.pandas_udf(T.StringType())

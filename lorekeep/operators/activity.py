@@ -17,6 +17,7 @@ from lorekeep.functions.times import as_timestamp, days_between, never
 from lorekeep.operators.common import Time
 from lorekeep.operators.graph import place_in_group
 from lorekeep.operators.lists import user_group_sets
+from lorekeep.session import cut_lineage
 from lorekeep.sources.catalog import Catalog
 
 
@@ -275,12 +276,13 @@ def rolling_counts(daily: DataFrame, period_days: int = 30) -> DataFrame:
     return daily.select("user_name", "day", F.sum("edits").over(frame).alias("edits"))
 
 
-def top_per_day(rolling: DataFrame, n: int = 10, skip_days: int = 30) -> DataFrame:
+def top_per_day(rolling: DataFrame, n: int = 10, skip_days: int = 30, days: DataFrame | None = None) -> DataFrame:
     """The ``n`` busiest users of each day, ties by name, from ``skip_days`` after the first day.
 
+    The first day is that of ``days``, rows that need no window, or else that of ``rolling``.
     Spark keeps only ``n`` rows per day and task before the shuffle.
     """
-    first = rolling.agg(F.min("day").alias("d")).scalar()
+    first = (rolling if days is None else days).agg(F.min("day").alias("d")).scalar()
     kept = rolling.where(F.col("day") >= F.date_add(first, skip_days))
     order = Window.partitionBy("day").orderBy(F.col("edits").desc(), F.col("user_name").asc())
     return kept.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
@@ -291,8 +293,10 @@ def fill_race(top: DataFrame, carry_days: int = 30) -> DataFrame:
 
     A user who drops out keeps the last value for ``carry_days`` days, then 0. The
     users are few because the ranking was pruned first, and each of them unfolds
-    the day range, which needs no join of all users with all days.
+    the day range, which needs no join of all users with all days. The ranking is
+    written once, a few rows per day, as both ends and the users are read from it.
     """
+    top = cut_lineage(top.select("user_name", "day", "edits"))
     first, last = top.agg(F.min("day").alias("d")).scalar(), top.agg(F.max("day").alias("d")).scalar()
     users = top.select("user_name").distinct()
     spine = users.select("user_name", F.explode(F.sequence(first, last, F.expr("interval 1 day"))).alias("day"))

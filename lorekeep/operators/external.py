@@ -116,17 +116,63 @@ def read_rules(spark: SparkSession, path: str, schema: str = URL_RULES) -> DataF
     return spark.read.schema(schema).json(path)
 
 
+GRAM = 4
+# what most URLs begin with tells no rules apart
+_COMMON_START = r"^\^?https?:(?://)?(?:www\.)?"
+_BREAK = "\x00"
+
+
+def required_literal(pattern: Column) -> Column:
+    """The longest text that every match of a pattern contains, NULL if none is sure to be GRAM long.
+
+    Groups, classes and optional characters count for nothing; patterns with alternatives or inline
+    flags have no literal.
+    """
+    out = F.regexp_replace(pattern, r"\\\\", _BREAK)
+    out = F.regexp_replace(out, r"\[(?:\\.|[^\]\\])*\]", _BREAK)
+    for _ in range(4):  # groups from the inside out
+        out = F.regexp_replace(out, r"(?<!\\)\((?:\\.|[^()\\])*\)", _BREAK)
+    nested = out.rlike(r"(?<!\\)[()]")
+    out = F.regexp_replace(out, r"\\[A-Za-z0-9]", _BREAK)
+    # what may be missing, then what may come more than once
+    out = F.regexp_replace(out, r"(?:\\.|[^\\])(?:[?*]|\{[^}]*\})[?+]?", _BREAK)
+    out = F.regexp_replace(out, r"(?<!\\)\+", _BREAK)
+    out = F.regexp_replace(out, r"(?<!\\)[.^$]", _BREAK)
+    out = F.regexp_replace(F.regexp_replace(out, r"\\(.)", "$1"), _COMMON_START, _BREAK)
+    pieces = F.split(out, _BREAK)
+    longest = F.aggregate(pieces, F.lit(""), lambda best, x: F.when(F.length(x) > F.length(best), x).otherwise(best))
+    unsure = nested | F.contains(pattern, F.lit("|")) | F.contains(pattern, F.lit("(?")) | F.contains(pattern, F.lit("\\Q"))
+    return F.when(~unsure & (F.length(longest) >= GRAM), longest)
+
+
+def _grams(text: Column) -> Column:
+    return F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(text) - GRAM + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(GRAM))
+    ))
+
+
 def _with_rules(urls: DataFrame, rules: DataFrame, text: str) -> DataFrame:
     """Rows of ``urls`` with each rule that matches ``text``; ``_whole`` is the rule's whole-URL pattern.
 
-    An equi join on the host and its parent domains, so a URL meets only the rules of
-    its own site and those without a host.
+    One equi join: a URL meets the rules of its host and of the parent domains, and those without a
+    host of which it holds a piece of the text that a match must contain. Only rules that have
+    neither, such as ``.*``, meet every URL.
     """
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    keyed = urls.withColumn("_host", F.explode(F.array_union(F.array(F.lit("")), host_suffixes(host))))
     whole = F.concat(F.lit("^(?:"), "pattern", F.lit(")$"))
-    known = rules.withColumns({"_host": F.coalesce(F.lower("host"), F.lit("")), "_whole": whole})
-    return keyed.join(known, "_host").where(F.rlike(text, F.col("_whole")))
+    literal = F.when(F.col("host").isNull(), required_literal(F.col("pattern")))
+    # the end of a literal says more than its beginning
+    key = F.coalesce(
+        F.concat(F.lit("host "), F.lower("host")), F.concat(F.lit("text "), F.right("_literal", F.lit(GRAM))), F.lit("")
+    )
+    known = rules.withColumns({"_literal": literal, "_whole": whole}).withColumn("_key", key)
+    keys = F.concat(
+        F.array(F.lit("")), F.transform(host_suffixes(host), lambda x: F.concat(F.lit("host "), x)),
+        F.transform(_grams(F.col(text)), lambda x: F.concat(F.lit("text "), x)),
+    )
+    met = urls.withColumn("_key", F.explode(F.array_distinct(keys))).join(known, "_key")
+    held = F.col("_literal").isNull() | F.contains(F.col(text), F.col("_literal"))
+    return met.where(F.when(held, F.rlike(text, F.col("_whole"))).otherwise(False)).drop("_literal")
 
 
 def rewrite_urls(urls: DataFrame, rules: DataFrame) -> DataFrame:

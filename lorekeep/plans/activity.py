@@ -266,7 +266,7 @@ def _rolling(cat):
 
 
 def _top(cat):
-    return A.top_per_day(_rolling(cat), 5, 7)
+    return A.top_per_day(_rolling(cat), 5, 7, _days(cat))
 
 
 @query("w04_rolling_counts", f"select user_name, cast(day as varchar) as day, edits from {ROLLING} r")

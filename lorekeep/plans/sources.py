@@ -50,6 +50,20 @@ def history_dump(cat):
         "rev_id", "rev_page", "page_title", "rev_user", "rev_user_text", "rev_timestamp", "rev_minor_edit", "rev_sha1", "old_text")
 
 
+@query("s02_long_histories", """
+  select r.rev_id, p.page_id as rev_page, p.page_title, r.rev_user_text, r.rev_minor_edit,
+         r.rev_comment || ' <a & b>' || chr(10) as old_text
+  from @revision r join @page p on p.page_id = (r.rev_page - 1) % 20 + 1""")
+def long_histories(cat):
+    # histories of many pages put together, so that each page has very many revisions
+    path = S.scratch_folder(cat.spark, "dump")
+    text = F.concat("rev_comment", F.lit(" <a & b>\n"))
+    rows = cat["revision"].withColumn("rev_page", (F.col("rev_page") - 1) % 20 + 1).join(
+        cat["page"], F.col("rev_page") == F.col("page_id")).withColumns({"old_text": text, "sha1": sha1_to_base36("rev_sha1")})
+    S.write_dump(rows, path)
+    return S.read_dump(cat.spark, path).select("rev_id", "rev_page", "page_title", "rev_user_text", "rev_minor_edit", "old_text")
+
+
 @query("s03_change_feed", """
   select rc_id, rc_user_text, date_trunc('second', rc_timestamp + interval 500 millisecond) as rc_timestamp, rc_type, rc_params
   from @recentchanges where date_trunc('second', rc_timestamp + interval 500 millisecond) >= '2024-01-10'""")

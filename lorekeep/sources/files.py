@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions.encodings import sha1_from_base36
@@ -37,23 +39,101 @@ def write_partitioned(df: DataFrame, path: str, timestamp: str) -> None:
     keyed.write.mode("overwrite").partitionBy("ym").parquet(path)
 
 
+def _element(name: str, value: Column) -> Column:
+    """An XML element, or nothing for NULL."""
+    safe = value.cast("string")
+    for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        safe = F.replace(safe, F.lit(mark), F.lit(entity))
+    return F.coalesce(F.concat(F.lit(f"<{name}>"), safe, F.lit(f"</{name}>")), F.lit(""))
+
+
+def write_dump(rows: DataFrame, path: str) -> None:
+    """Revisions (columns of ``revision`` plus page, ``sha1`` in base 36 and text) as a page history dump.
+
+    A page lies in one file, its revisions in order of their ids; a revision is a row, so no page is gathered.
+    """
+    edges = rows.groupBy("rev_page").agg(F.min("rev_id").alias("_first"), F.max("rev_id").alias("_last"))
+    user = F.concat(_element("username", F.col("rev_user_text")), _element("id", F.col("rev_user")))
+    revision = F.concat(
+        F.lit("<revision>"), _element("id", F.col("rev_id")), _element("parentid", F.col("rev_parent_id")),
+        _element("timestamp", F.date_format("rev_timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'")), F.lit("<contributor>"), user,
+        F.lit("</contributor>"), F.when(F.col("rev_minor_edit"), F.lit("<minor/>")).otherwise(F.lit("")),
+        _element("comment", F.col("rev_comment")), _element("model", F.col("rev_content_model")),
+        _element("format", F.col("rev_content_format")), _element("text", F.coalesce("old_text", F.lit(""))),
+        _element("sha1", F.col("sha1")), F.lit("</revision>"),
+    )
+    head = F.concat(
+        F.lit("<page>"), _element("title", F.col("page_title")), _element("ns", F.col("page_namespace")), _element("id", F.col("rev_page"))
+    )
+    line = F.concat(
+        F.when(F.col("rev_id") == F.col("_first"), head).otherwise(F.lit("")), revision,
+        F.when(F.col("rev_id") == F.col("_last"), F.lit("</page>")).otherwise(F.lit("")),
+    )
+    ordered = rows.join(edges, "rev_page").repartitionByRange("rev_page").sortWithinPartitions("rev_page", "rev_id")
+    ordered.select(line.alias("value")).write.text(path)
+
+
 # ---- sources ------------------------------------------------------------------------------
 
-_DUMP = """
-    title string, ns int, id long,
-    revision array<struct<
-        id: long, parentid: long, timestamp: string, contributor: struct<username: string, id: long, ip: string>,
-        minor: string, comment: string, model: string, format: string, sha1: string,
-        text: struct<_VALUE: string, _bytes: long>>>
+_PAGE_HEAD = "title string, ns int, id long"
+_REVISION = """
+    id long, parentid long, timestamp string, contributor struct<username: string, id: long, ip: string>,
+    minor string, comment string, model string, format string, sha1 string, text struct<_VALUE: string, _bytes: long>
 """
 
 
+def _dump_pieces(spark: SparkSession, path: str) -> DataFrame:
+    """The text up to the end of each revision, with the split it lies in and the head of a page if one begins.
+
+    Marks never stand in contents, where they are escaped. A split starts with the first piece that
+    begins in it, so pieces of a file are ordered by split and, within one, as they are read.
+    """
+    pieces = spark.read.option("lineSep", "</revision>").text(path)
+    begins = F.contains("value", F.lit("<page>"))
+    head = F.concat(F.lit("<page>"), F.substring_index(F.substring_index("value", "<page>", -1), "<revision>", 1), F.lit("</page>"))
+    return pieces.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+        F.when(begins, F.from_xml(head, _PAGE_HEAD)).alias("page"), "value",
+    )
+
+
+def _carry_page(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``page`` filled forward within each split; texts pass through untouched."""
+    split = page = None
+    for batch in batches:
+        places = zip(batch.column("file").to_pylist(), batch.column("split").to_pylist(), strict=True)
+        filled = []
+        for place, own in zip(places, batch.column("page").to_pylist(), strict=True):
+            if place != split:
+                split, page = place, None
+            page = own or page
+            filled.append(page)
+        yield batch.set_column(2, batch.schema.field("page"), pa.array(filled, batch.schema.field("page").type))
+
+
 def read_dump(spark: SparkSession, path: str) -> DataFrame:
-    """Page history dump: one row per revision in the columns of ``revision`` plus page and text."""
-    pages = spark.read.format("xml").option("rowTag", "page").schema(_DUMP).load(path)
-    rows = pages.select(
-        F.col("id").alias("rev_page"), F.col("ns").alias("page_namespace"), F.col("title").alias("page_title"),
-        F.explode("revision").alias("r"),
+    """Page history dump: one row per revision in the columns of ``revision`` plus page and text.
+
+    Dumps are cut at revisions, not at pages, so a page of any length is many rows and tasks. The
+    head of a page is carried forward to its revisions: within a split by the task that reads it,
+    and into the following splits by a table of one row per split.
+    """
+    pieces = _dump_pieces(spark, path)
+    heads = pieces.where("page is not null").withColumn("_at", F.monotonically_increasing_id())
+    lasts = heads.groupBy("file", "split").agg(F.max_by("page", "_at").alias("last"))
+    splits = pieces.select("file", "split").distinct().join(lasts, ["file", "split"], "left")
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    inherited = splits.select("file", "split", F.last("last", ignorenulls=True).over(before).alias("inherited"))
+    # written, so that Spark knows its size and does not shuffle texts to it while it is small
+    stored = scratch_folder(spark, "splits")
+    inherited.write.parquet(stored)
+    inherited = spark.read.schema(inherited.schema).parquet(stored)
+    rows = pieces.mapInArrow(_carry_page, pieces.schema).join(inherited, ["file", "split"], "left")
+    begins = F.instr("value", "<revision>")
+    revision = F.from_xml(F.concat(F.expr("substring(value, instr(value, '<revision>'))"), F.lit("</revision>")), _REVISION, {"ignoreSurroundingSpaces": "false"})
+    page = F.coalesce("page", "inherited")
+    rows = rows.where(begins > 0).select(page.alias("page"), revision.alias("r")).select(
+        F.col("page.id").alias("rev_page"), F.col("page.ns").alias("page_namespace"), F.col("page.title").alias("page_title"), "r"
     )
     text = F.coalesce("r.text._VALUE", F.lit(""))
     return rows.select(

@@ -2,9 +2,9 @@
 
 The functions take and return streaming DataFrames; ``run_available`` and
 ``start`` connect them to a sink. State lives in the RocksDB provider, and every
-stateful step has a watermark, so state stays bounded by the retention time. Last
-actions per key keep no state: each batch is reduced to its last action per key, and
-reading takes the last one of all batches.
+stateful step has a watermark, so state stays bounded by the retention time. Tables
+and last actions per key are kept in a ``store``, one row per key, of which a batch
+rewrites only the parts that it touches.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from lorekeep.operators.activity import spam_flags
 from lorekeep.sources.catalog import Catalog
 from lorekeep.sources.files import normalize_feed
 from lorekeep.sources.schemas import SCHEMAS
+from lorekeep.streaming.store import KeyedStore, id_range, key_hash
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -88,9 +89,13 @@ def sessions(stream: DataFrame, user: str, column: str, gap: str = "1 day", dela
 
 
 def last_actions(stream: DataFrame, key: Collection[str], path: str, checkpoint: str) -> DataFrame:
-    """Last event per key of ``tag_events`` or ``page_events`` that has landed so far, by ``log_id``."""
-    written = run_available(stream, path, checkpoint, reduce=lambda df: C.last_rows(df, key, "log_id"))
-    return C.last_rows(written.drop("batch"), key, "log_id")
+    """Last event per key of ``tag_events`` or ``page_events`` that has landed so far, by ``log_id``.
+
+    Kept as one row per key, in parts by id where the key has one; an event that comes late loses
+    against a later one that came before it.
+    """
+    part = id_range("id") if "id" in key else key_hash(key)
+    return KeyedStore(stream.sparkSession, path, stream.schema, key, part, "log_id").run_available(stream, checkpoint)
 
 
 def spam_alerts(
@@ -166,13 +171,15 @@ def first_rows(written: DataFrame, key: Collection[str]) -> DataFrame:
 def ingest(changes: DataFrame, log: DataFrame, root: str) -> dict[str, DataFrame]:
     """Ingest both feeds as they land and return the tables as they stand now.
 
-    Batches are only appended. Reading merges them: repeated events are ignored,
-    and visibility, patrol and tag events are applied to the rows they name, so no
-    batch rewrites the history.
+    Repeated events are ignored. A batch rewrites only the id ranges that it brings rows for; visibility,
+    patrol and tag events are applied on reading to the rows they name, one net change each.
     """
-    rc = run_available(changes, f"{root}/recentchanges", f"{root}/_recentchanges")
-    le = run_available(log, f"{root}/logging", f"{root}/_logging")
-    rc, le = first_rows(rc, ["rc_id"]), first_rows(le, ["log_id"])
+
+    def stored(stream: DataFrame, table: str, key: str) -> DataFrame:
+        store = KeyedStore(stream.sparkSession, f"{root}/{table}", stream.schema, [key], id_range(key))
+        return store.run_available(stream, f"{root}/_{table}")
+
+    rc, le = stored(changes, "recentchanges", "rc_id"), stored(log, "logging", "log_id")
     visible = C.apply_bitmask(rc, "rc_this_oldid", "rc_deleted", C.bitmask_changes(le, "revision"))
     visible = C.apply_bitmask(visible, "rc_logid", "rc_deleted", C.bitmask_changes(le, "event"))
     return {

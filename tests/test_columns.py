@@ -176,3 +176,11 @@ def test_parameters_and_hidden_text_are_no_links(values):
     assert values(T.external_urls, ["<!-- http://a.b --> http://c.d<nowiki>http://e.f</nowiki>"]) == [["http://c.d"]]
     links = values(T.wikilinks, ["<!-- [[Gone]] --> <nowiki>[[No]]</nowiki> <pre>[[Not]]</pre> [[Here|x]]"])
     assert [x.target for x in links[0]] == ["Here"]
+
+
+def test_sha1_codec_matches_big_numbers(spark):
+    numbers = [0, 1, 35, 36, 36**6 - 1, 36**6, 2**16, 2**64, 2**159, 2**160 - 1, *(7**k % 2**160 for k in range(10, 200, 7))]
+    df = spark.createDataFrame([(f"{n:040x}",) for n in numbers] + [("",), (None,)], "d string")
+    got = df.select("d", enc.sha1_to_base36("d").alias("s")).withColumn("back", enc.sha1_from_base36("s")).collect()
+    assert [int(r.s, 36) for r in got[:-2]] == numbers and all(len(r.s) == 31 for r in got[:-2])
+    assert [r.back for r in got[:-2]] == [r.d for r in got[:-2]] and [r.s for r in got[-2:]] == [None, None]

@@ -4,11 +4,12 @@ import json
 
 from pyspark.sql import functions as F
 
-from lorekeep.operators import activity
+from lorekeep.operators import activity, changes
 from lorekeep.sources import files
 from lorekeep.sources.catalog import Catalog
 from lorekeep.sources.schemas import SCHEMAS
 from lorekeep.streaming import feeds
+from lorekeep.streaming.store import KeyedStore, id_range
 
 DUMP = """<mediawiki><siteinfo><sitename>x</sitename></siteinfo>
 <page><title>Main page</title><ns>0</ns><id>1</id>
@@ -28,6 +29,33 @@ def test_dump(spark, tmp_path):
     assert (second.rev_user_text, second.rev_user, second.rev_minor_edit, second.rev_parent_id) == ("1.2.3.4", 0, True, 1)
 
 
+def test_dump_of_long_histories_is_read_in_many_tasks(spark, tmp_path):
+    """Pages of thousands of revisions over many splits; marks in texts stay text."""
+    n = 6000
+    rows = spark.range(n).selectExpr(
+        "id as rev_id", "case when id < 5000 then 1 when id < 5001 then 2 else 3 end as rev_page", "0 as page_namespace",
+        "0 as rev_user", "'U & <V>' as rev_user_text", "timestamp_ntz'2020-01-01 00:00:00' as rev_timestamp",
+        "id % 2 = 0 as rev_minor_edit", "cast(null as long) as rev_parent_id", "'c' as rev_comment", "'w' as rev_content_model",
+        "'t' as rev_content_format", "concat('<page><title>no</title></revision> ', id) as old_text", "cast(null as string) as sha1",
+    ).withColumn("page_title", F.concat(F.lit("T<"), F.col("rev_page")))
+    files.write_dump(rows, str(tmp_path / "dump"))
+    small = {"spark.sql.files.maxPartitionBytes": "100000", "spark.sql.files.openCostInBytes": "0"}
+    before = {k: spark.conf.get(k) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        read = files.read_dump(spark, str(tmp_path / "dump"))
+        assert files._dump_pieces(spark, str(tmp_path / "dump")).rdd.getNumPartitions() > 10
+        got = read.select("rev_id", "rev_page", "page_title", "rev_user_text", "rev_minor_edit", "old_text").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    page = lambda i: 1 if i < 5000 else 2 if i < 5001 else 3
+    assert sorted(map(tuple, got)) == [
+        (i, page(i), f"T<{page(i)}", "U & <V>", i % 2 == 0, f"<page><title>no</title></revision> {i}") for i in range(n)
+    ]
+
+
 def test_site_and_lists(spark, tmp_path):
     site = {
         "namespaces": [{"id": 0, "case": "first-letter", "*": "", "content": ""},
@@ -130,3 +158,54 @@ def test_stream_and_batch_spam_agree(spark, sample, tmp_path):
     got = feeds.run_available(stream, str(tmp_path / "alerts"), str(tmp_path / "ckpt"))
     batch = activity.spam_flags(docs, "source", "text", ["the with"], 2).where("is_spam")
     assert {r.doc_id for r in got.collect()} == {r.doc_id for r in batch.collect()}
+
+
+def test_store_keeps_one_row_per_key_and_rewrites_touched_parts_only(spark, tmp_path):
+    schema = spark.createDataFrame([], "id long, x string, log_id long").schema
+    rows = lambda *r: spark.createDataFrame(r, schema)
+    first = KeyedStore(spark, f"{tmp_path}/first", schema, ["id"], id_range("id", 100))
+    assert first.table().count() == 0
+    first.apply(rows((1, "a", 0), (150, "b", 0), (1, "a", 0)), 0)
+    first.apply(rows((2, "c", 0), (150, "later", 0)), 1)
+    first.apply(rows((250, "d", 0)), 2)
+    first.apply(rows(), 3)
+    expected = {(1, "a"), (2, "c"), (150, "b"), (250, "d")}
+    seen = lambda: {(r.id, r.x) for r in first.table().collect()}
+    assert seen() == expected and first.table().count() == 4
+    assert first._commit_before() == {0: 1, 1: 1, 2: 2}
+    # a repeated batch changes nothing, and reads before its commit see the one before
+    first.apply(rows(), 3)
+    first.apply(rows((250, "d", 0)), 4)
+    first.apply(rows((250, "d", 0)), 4)
+    assert seen() == expected and first._commit_before(4) == {0: 1, 1: 1, 2: 2}
+    last = KeyedStore(spark, f"{tmp_path}/last", schema, ["id"], id_range("id", 100), "log_id")
+    last.apply(rows((1, "old", 5), (1, "new", 9), (7, "x", 1)), 0)
+    last.apply(rows((1, "late", 7), (7, "y", 2)), 1)
+    assert {(r.id, r.x) for r in last.table().collect()} == {(1, "new"), (7, "y")}
+
+
+def test_reading_does_not_grow_with_batches(spark, tmp_path):
+    schema = spark.createDataFrame([], "id long, x string").schema
+    store = KeyedStore(spark, f"{tmp_path}/s", schema, ["id"], id_range("id", 50))
+    for k in range(24):
+        store.apply(spark.range(5 * k, 5 * k + 7).selectExpr("id", f"'{k}' as x"), k)
+        if k == 3:
+            files_after_few = len(store.table().inputFiles())
+    got = {r.id: int(r.x) for r in store.table().collect()}
+    assert got == {i: max(0, (i - 2) // 5) if i % 5 < 2 and i > 1 else min(i // 5, 23) for i in range(122)}
+    # one set of files per part, and as many commits as are kept
+    assert len(store._commit_before()) == 3 and files_after_few <= 8 and len(store.table().inputFiles()) <= 24
+    assert len(list((tmp_path / "s" / "commits").iterdir())) <= 4 + 1
+
+
+def test_streamed_last_actions_match_batch(spark, sample, tmp_path):
+    log = sample["logging"].withColumn("n", F.pmod(F.xxhash64("log_id"), F.lit(5)))
+    # not in order: late events come after the ones that overrule them
+    for k in range(5):
+        log.where(F.col("n") == k).drop("n").coalesce(1).write.json(f"{tmp_path}/in/{k}")
+    stream = feeds.read_changes(spark, f"{tmp_path}/in", "logging", files_per_batch=1)
+    got = feeds.last_actions(changes.tag_events(stream), ["id", "tag_name"], f"{tmp_path}/out", f"{tmp_path}/ckpt")
+    batch = changes.last_rows(changes.tag_events(sample["logging"]), ["id", "tag_name"], "log_id")
+    columns = ["id", "tag_name", "added"]
+    assert batch.count() > 5
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, batch.select(*columns).collect()))

@@ -3,11 +3,12 @@
 import collections
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from lorekeep.operators import activity, changes, external, extract, graph, lists, pageset, quality
+from lorekeep.operators import activity, changes, external, extract, graph, lists, pageset, props, quality
 from lorekeep.operators.api import query
 from lorekeep.sources.catalog import MemoryCatalog
 
@@ -343,3 +344,69 @@ def test_registered_checks(sample):
     with pytest.raises(ValueError):
         quality.register_check("no-such-pages", lambda cat: None)
     assert quality.run_check("closed-discussions", sample).count() > 0
+
+
+def test_only_ranges_that_differ_are_compared(spark):
+    rows = spark.range(5000).selectExpr("id", "if(id % 3 = 0, null, 'x') as a", "if(id % 3 = 0, 'x', null) as b", "array('p', 'q') as c")
+    other = rows.where("id <> 7").withColumn("a", F.when(F.col("id") == 9, F.lit("x")).otherwise(F.col("a"))).withColumn(
+        "b", F.when(F.col("id") == 9, None).otherwise(F.col("b"))).withColumn("c", F.reverse("c"))
+    found = quality.compare_ranges(rows, other, ["id"]).collect()
+    assert sorted(map(tuple, found)) == [(7, "only left", ""), (9, "differs", "a,b")]
+    assert sorted(map(tuple, found)) == sorted(map(tuple, quality.compare(rows, other, ["id"]).collect()))
+    equal = quality.compare_ranges(rows, rows.withColumn("c", F.reverse("c")), ["id"])
+    assert equal.count() == 0
+
+
+def test_entries_in_order_and_cut(spark):
+    pages = spark.createDataFrame([(1, 0, "A"), (2, 0, "B")], "page_id long, page_namespace int, page_title string")
+    cat = MemoryCatalog(spark, {
+        "page": pages, "categorylinks": spark.createDataFrame([(1, "x"), (1, "z"), (2, "y")], "cl_from long, cl_to string"),
+        "namespace_starname": spark.createDataFrame([(14, "Category")], "nss_id int, nss_name string"),
+    })
+    got = props.entries(cat, "categories", pages, entry_direction="descending").select("page_id", "title", "place").collect()
+    assert sorted(map(tuple, got)) == [(1, "Category:x", 2), (1, "Category:z", 1), (2, "Category:y", 1)]
+    got = props.entries(cat, "categories", pages, entry_limit=2).select("page_id", "title").collect()
+    assert sorted(map(tuple, got)) == [(1, "Category:x"), (1, "Category:z")]
+    for bad in ({"entry_direction": "sideways"}, {"entry_limit": 0}):
+        with pytest.raises(ValueError):
+            props.entries(cat, "categories", pages, **bad)
+    for bad in ({"cldir": "up"}, {"cllimit": 0}):
+        with pytest.raises(ValueError):
+            query(cat, pageids={1}, prop={"categories"}, **bad)
+    with pytest.raises(ValueError):
+        query(cat, list="allrevisions", arvslots="other")
+
+
+def test_literal_of_a_rule_is_in_every_match(spark):
+    cases = {
+        r"https://issues\.example\.org/(\d+)": "issues.example.org/", r"https?://x\.y/ab+cde": "://x.y/ab", r".*": None, r"abc": None,
+        r"foo(bar)?bazqux": "bazqux", r"aaaa|bbbb": None, r"(?i)abcdef": None, r"abcd?efghi": "efghi", r"[abc]+wxyz\w": "wxyz",
+        r"http://www\.(a(b)c)/page\.html$": "/page.html", r"abcde{2}fg": "abcd", r"a\\bcdef": "bcdef", r"\Qabcd\E": None,
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, p string")
+    got = [r.x for r in df.orderBy("i").select(external.required_literal(F.col("p")).alias("x")).collect()]
+    assert dict(zip(cases, got, strict=True)) == cases
+
+
+def test_rules_without_host_match_as_if_tried_on_every_url(spark):
+    rng = random.Random(9)
+    hosts = [f"site{k}.example.org" for k in range(6)]
+    urls = [(f"http://{rng.choice(hosts)}/{rng.choice(['wiki', 'page', 'item'])}/{rng.randrange(40)}{rng.choice(['', '.html', '?x=1'])}",)
+            for _ in range(300)]
+    rules = []
+    for k in range(120):
+        pattern = rng.choice([
+            f"http://(.+)/item/{k % 40}", rf"http://([a-z0-9.]+)/page/{k % 40}\.html", f".*/wiki/({k % 40})", ".+x=1" if k == 60 else f"none{k}.*",
+            f"http://site{k % 6}(.*)/wiki/.*", f"http://(site1|site2).*/{k % 40}",
+        ])
+        rules.append((rng.randrange(10**6), rng.choice([None, None, None, hosts[k % 6], "example.org"]), pattern, "https://new/$0", False, f"s{k}"))
+    df = spark.createDataFrame(urls, "url string")
+    table = spark.createDataFrame(rules, external.URL_RULES)
+    expected = {}
+    for (url,) in set(urls):
+        host = url.split("/")[2]
+        hits = [r for r in rules if (r[1] is None or host == r[1] or host.endswith("." + r[1])) and re.fullmatch(r[2], url)]
+        if hits:
+            expected[url] = min(hits)[5]
+    got = {r.url: r.summary for r in external.rewrite_urls(df, table).collect()}
+    assert got == expected and len(got) > 50
