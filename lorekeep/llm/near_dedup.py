@@ -330,7 +330,7 @@ def near_duplicates(
 
 
 def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """One document of each group, with the columns of ``docs``: the smallest id; of repeated rows one."""
+    """One document of each group, with the columns of ``docs``: the rows of its smallest id."""
     names = docs.columns
     safe = docs.toDF(*[f"_in{i}" for i in range(len(names))])
     own = f"_in{names.index(doc_id)}"
