@@ -14,6 +14,7 @@ from lorekeep.functions.langs import (
 from lorekeep.functions.text import count_capitalized, is_struck_through, word_count
 from lorekeep.functions.titles import article_space, parse_titles, prefixed
 from lorekeep.operators import common as c
+from lorekeep.operators.closure import Generations
 from lorekeep.operators.families import CONTENT_NAMESPACES
 from lorekeep.sources.catalog import Catalog
 
@@ -437,45 +438,58 @@ def compare(left: DataFrame, right: DataFrame, key: Collection[str], ignore: Col
 RANGES = 4096
 
 
-def _range_digests(df: DataFrame, key: list[str], fields: list[str]) -> DataFrame:
-    """``range, rows, digest`` of the rows of each range of keys, combined on the map side."""
-    cells = [x for f in [*key, *fields] for x in (F.col(f), F.col(f).isNull())]  # a hash takes no notice of NULL
-    return df.select(_range(key), F.xxhash64(*cells).alias("h")).groupBy("range").agg(
-        F.count(F.lit(1)).alias("rows"), F.bit_xor("h").alias("digest"), F.sum(F.col("h").bitwiseAND(2**31 - 1)).alias("total")
-    )
-
-
 def _range(key: list[str]) -> Column:
     return F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in key]), F.lit(RANGES)).alias("range")
 
 
-def compare_ranges(left: DataFrame, right: DataFrame, key: Collection[str], ignore: Collection[str] = ()) -> DataFrame:
-    """As :func:`compare`, but only ranges of keys whose digests differ are joined.
+def _range_digests(name: str, df: DataFrame, key: list[str], fields: list[str]) -> DataFrame:
+    """``name, range, digest`` of the rows of each range of keys, combined on the map side."""
+    kinds = dict(df.dtypes)
+    values = [
+        F.lit(None).cast("string") if x not in kinds else F.array_sort(x) if kinds[x].startswith("array") else F.col(x)
+        for x in fields
+    ]
+    # a hash takes no notice of NULL
+    cells = [x for value in [*map(F.col, key), *values] for x in (value, value.isNull())]
+    digest = F.struct(
+        F.count(F.lit(1)).alias("rows"), F.bit_xor("h").alias("mix"), F.sum(F.col("h").bitwiseAND(2**31 - 1)).alias("total")
+    )
+    return df.select(_range(key), F.xxhash64(*cells).alias("h")).groupBy(F.lit(name).alias("name"), "range").agg(digest.alias("digest"))
 
-    Equal tables cost one aggregation each: without a range that differs, neither is read again.
-    """
-    key = list(key)
-    fields = [x for x in dict.fromkeys([*left.columns, *right.columns]) if x not in key and x not in set(ignore)]
 
-    def digests(df: DataFrame, side: str) -> DataFrame:
-        kinds = dict(df.dtypes)
-        values = [
-            (F.lit(None).cast("string") if x not in kinds else F.array_sort(x) if kinds[x].startswith("array") else F.col(x)).alias(x)
-            for x in fields
-        ]
-        found = _range_digests(df.select(*key, *values), key, fields)
-        return found.select("range", F.struct("rows", "digest", "total").alias(side))
+def differing_ranges(pairs: dict[str, tuple[DataFrame, DataFrame, list[str], set[str]]]) -> DataFrame:
+    """``name, range`` of the ranges whose digests differ; ``pairs`` has left, right, key and fields to ignore by name.
 
-    differing = digests(left, "a").join(digests(right, "b"), "range", "full_outer").where(~F.col("a").eqNullSafe(F.col("b")))
-    # at most RANGES rows; both sides use one broadcast
-    differing = F.broadcast(differing.select("range"))
+    One job for all pairs: an aggregation per table, and a join of at most RANGES rows for each.
+    """
+    sides = []
+    for side in (0, 1):
+        rows = None
+        for name, (left, right, key, ignore) in pairs.items():
+            fields = [x for x in dict.fromkeys([*left.columns, *right.columns]) if x not in key and x not in ignore]
+            part = _range_digests(name, (left, right)[side], list(key), fields)
+            rows = part if rows is None else rows.unionByName(part)
+        sides.append(rows.withColumnRenamed("digest", f"d{side}"))
+    both = sides[0].join(sides[1], ["name", "range"], "full_outer").where(~F.col("d0").eqNullSafe(F.col("d1")))
+    return Generations(both.sparkSession).append(both.select("name", "range"))
+
+
+def _compare_where(differing: DataFrame, left: DataFrame, right: DataFrame, key: list[str], ignore: set[str]) -> DataFrame:
+    # at most RANGES rows
+    ranges = F.broadcast(differing.select("range"))
 
     def reduced(df: DataFrame) -> DataFrame:
-        return df.withColumn("range", _range(key)).join(differing, "range", "left_semi").drop("range")
+        return df.withColumn("range", _range(key)).join(ranges, "range", "left_semi").drop("range")
 
     return compare(reduced(left), reduced(right), key, ignore)
 
 
+def compare_ranges(left: DataFrame, right: DataFrame, key: Collection[str], ignore: Collection[str] = ()) -> DataFrame:
+    """As :func:`compare`, but only ranges of keys whose digests differ are joined."""
+    key, ignore = list(key), set(ignore)
+    return _compare_where(differing_ranges({"": (left, right, key, ignore)}), left, right, key, ignore)
+
+
 # dataset -> table, key, fields that may differ
 MIRROR_CHECKS = {
     "pages": ("page", ["page_id"], ["page_touched"]),
@@ -502,13 +516,20 @@ MIRROR_CHECKS = {
 
 
 def mirror_differences(mirror: Catalog, source: Catalog, checks: dict = MIRROR_CHECKS) -> DataFrame:
-    """Differences of a mirror's tables from their source: ``dataset, key, status, columns``."""
-    out = None
-    for dataset, (table, key, ignore) in checks.items():
-        found = compare_ranges(mirror[table], source[table], key, ignore)
+    """Differences of a mirror's tables from their source: ``dataset, key, status, columns``.
+
+    Digests of ranges come first; a table whose digests are equal is not read again.
+    """
+    pairs = {name: (mirror[table], source[table], list(key), set(ignore)) for name, (table, key, ignore) in checks.items()}
+    differing = differing_ranges(pairs)
+    # at most one name per dataset
+    names = {r.name for r in differing.select("name").distinct().collect()}
+    out = mirror.spark.createDataFrame([], "dataset string, key string, status string, columns string")
+    for name in (n for n in pairs if n in names):
+        left, right, key, ignore = pairs[name]
+        found = _compare_where(differing.where(F.col("name") == name), left, right, key, ignore)
         text = F.concat_ws("/", *[F.col(x).cast("string") for x in key])
-        part = found.select(F.lit(dataset).alias("dataset"), text.alias("key"), "status", "columns")
-        out = part if out is None else out.unionByName(part)
+        out = out.unionByName(found.select(F.lit(name).alias("dataset"), text.alias("key"), "status", "columns"))
     return out
 
 
