@@ -33,6 +33,9 @@ def last_rows(new: DataFrame, key: Collection[str], sequence: str | None = None)
     rest = [x for x in new.columns if x not in key]
     if not rest:
         return new.distinct()
+    if len(rest) == 1 and sequence in (None, *rest):
+        # the largest row is the largest value, NULL only if there is no other; numbers are hashed, not sorted
+        return new.groupBy(*key).agg(F.max(rest[0]).alias(rest[0]))
     order = [F.col(x) for x in ([sequence] if sequence else [])] + [F.struct(*rest).alias("_row")]
     return new.groupBy(*key).agg(F.max(F.struct(*order)).alias("_last")).select(*key, "_last._row.*")
 

@@ -18,28 +18,34 @@ from lorekeep.functions.titles import absolute_link, canonical_title, computed_o
 from lorekeep.functions.urls import has_host
 from lorekeep.operators.activity import keep_last
 from lorekeep.operators.changes import CASCADES, upsert
-from lorekeep.operators.closure import reachable
+from lorekeep.operators.closure import Generations, reachable
 from lorekeep.sources.catalog import Catalog
 
 # ---- which pages --------------------------------------------------------------------------
 
 
+_IS_STALE = "wspc_rev_id is null or wspc_rev_id <> page_latest"
+
+
+def _with_extracted(cat: Catalog) -> DataFrame:
+    return cat["page"].join(cat["ws_parser_cache_sync"], F.col("page_id") == F.col("wspc_page_id"), "left")
+
+
 def stale_pages(cat: Catalog) -> DataFrame:
     """Pages never extracted, or extracted from another than the current revision."""
-    done = cat["ws_parser_cache_sync"]
-    df = cat["page"].join(done, F.col("page_id") == F.col("wspc_page_id"), "left")
-    return df.where("wspc_rev_id is null or wspc_rev_id <> page_latest").select(
-        "page_id", "page_namespace", "page_title"
-    )
+    return _with_extracted(cat).where(_IS_STALE).select("page_id", "page_namespace", "page_title")
 
 
 def pages_to_extract(cat: Catalog) -> DataFrame:
-    """Stale pages and the pages that transclude one of them (``page_id``)."""
-    stale = stale_pages(cat)
+    """Stale pages and the pages that transclude one of them (``page_id``).
+
+    One pass over the pages by id: both reasons are marks beside them.
+    """
     on = (F.col("tl_namespace") == F.col("page_namespace")) & (F.col("tl_title") == F.col("page_title"))
-    users = cat["templatelinks"].join(stale, on, "left_semi").select(F.col("tl_from").alias("page_id"))
-    users = users.join(cat["page"].select("page_id"), "page_id", "left_semi")
-    return stale.select("page_id").union(users).distinct()
+    users = cat["templatelinks"].join(stale_pages(cat), on, "left_semi").select(F.col("tl_from").alias("_user"))
+    users = users.distinct()
+    pages = _with_extracted(cat).join(users, F.col("page_id") == F.col("_user"), "left")
+    return pages.where(f"{_IS_STALE} or _user is not null").select("page_id").distinct()
 
 
 def forced_pages(cat: Catalog, page_ids: DataFrame | None = None) -> DataFrame:
@@ -56,8 +62,13 @@ def drop_derived(cat: Catalog, page_ids: DataFrame) -> dict[str, DataFrame]:
 
 
 def record_extracted(cat: Catalog, page_ids: DataFrame) -> DataFrame:
-    """Note the revision each page was extracted from."""
-    current = cat["page"].join(page_ids.select("page_id"), "page_id", "left_semi").select(
+    """Note the revision each page was extracted from.
+
+    The ids are written once: the joins that find them and the join that records them would otherwise
+    lie in the same tasks, all by page, and hold their sorted rows together.
+    """
+    page_ids = Generations(cat.spark).append(page_ids.select("page_id"))
+    current = cat["page"].join(page_ids, "page_id", "left_semi").select(
         F.col("page_id").alias("wspc_page_id"), F.col("page_latest").alias("wspc_rev_id")
     )
     return upsert(cat["ws_parser_cache_sync"], current, ["wspc_page_id"])
