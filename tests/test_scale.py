@@ -63,3 +63,8 @@ def test_last_row_of_one_column(spark):
     last = changes.last_rows(df, ["k"])
     assert sorted(map(tuple, last.collect())) == [(1, 4), (2, None)]
     assert "SortAggregate" not in last._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tasks_read_few_compressed_bytes(spark):
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m")
+    assert prepare(spark).conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "8m"
