@@ -76,8 +76,12 @@ def recent_changes(
         df = c.with_namespace(df, cat, "rc_namespace")
         columns.append("nss_name")
     if "sha1" in prop:
-        revision = cat["revision"].select("rev_id", "rev_sha1")
-        df = df.join(revision, F.col("rc_this_oldid") == F.col("rev_id"), "left")
+        # changes without a revision match nothing; dealt by their own ids they do not meet in one task
+        none = F.when(F.col("rc_this_oldid").isNull(), F.xxhash64("rc_id")).otherwise(F.lit(0))
+        there = F.when(F.col("rev_id").isNotNull(), F.lit(0).cast("long"))
+        revision = cat["revision"].select("rev_id", "rev_sha1", there.alias("_there"))
+        df = df.withColumn("_none", none)
+        df = df.join(revision, (F.col("rc_this_oldid") == F.col("rev_id")) & (F.col("_none") == F.col("_there")), "left")
         columns.append("rev_sha1")
     if "tags" in prop:
         df = c.with_tags(df, cat, "tagged_recentchange", "rc_id")

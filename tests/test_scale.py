@@ -65,6 +65,19 @@ def test_last_row_of_one_column(spark):
     assert "SortAggregate" not in last._jdf.queryExecution().executedPlan().toString()
 
 
+def test_changes_without_revision_are_dealt_by_their_own_ids(plain):
+    cat = MemoryCatalog(plain, {
+        "recentchanges": _table(plain, "recentchanges", [
+            {"rc_id": i, "rc_type": "edit", "rc_this_oldid": None if i % 2 else i} for i in range(6)]),
+        "revision": _table(plain, "revision", [{"rev_id": i, "rev_sha1": f"s{i}"} for i in (0, 1, 2, None)]),
+    })
+    df = lists.recent_changes(cat, prop={"ids", "sha1"})
+    got = sorted((r.rc_id, r.rev_sha1) for r in df.collect())
+    assert got == [(0, "s0"), (1, None), (2, "s2"), (3, None), (4, None), (5, None)]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert any("hashpartitioning(rc_this_oldid" in x and "_none" in x for x in plan.splitlines())
+
+
 def test_tasks_read_few_compressed_bytes(spark):
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m")
     assert prepare(spark).conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "8m"
