@@ -81,3 +81,13 @@ def test_changes_without_revision_are_dealt_by_their_own_ids(plain):
 def test_tasks_read_few_compressed_bytes(spark):
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m")
     assert prepare(spark).conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "8m"
+
+
+def test_batches_sent_to_python_are_bounded_in_bytes(spark):
+    @F.arrow_udf("long")
+    def weight(cells: pa.Array) -> pa.Array:
+        return pa.array([cells.nbytes] * len(cells), pa.int64())
+
+    texts = prepare(spark).range(0, 600, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("text"))
+    largest = texts.select(weight("text").alias("n")).agg(F.max("n").alias("n")).first().n
+    assert largest < 20_000_000
