@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 from collections.abc import Callable
+from functools import reduce
+from operator import add
 
 import pandas as pd
 from pyspark.sql import Column
@@ -90,36 +92,36 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _divided(limbs: Column) -> Column:
-    """Quotient limbs and rest of a number (highest limb first) divided by a group."""
-    start = F.struct(F.array().cast("array<bigint>").alias("quotient"), F.lit(0).cast("long").alias("rest"))
+def _recoded(parts: Column, base: int, n: int, other: int, m: int) -> Column:
+    """The last ``m`` digits in base ``other`` of a number of ``n`` digits in ``base``, both highest first.
 
-    def step(done: Column, limb: Column) -> Column:
-        return _let(done["rest"] * 65536 + limb, lambda x: F.struct(
-            F.concat(done["quotient"], F.array(F.floor(x / _GROUP))).alias("quotient"), (x % _GROUP).alias("rest")
-        ))
+    The places of one base are constants in the other: each new digit is one sum, and the carries go up once.
+    """
 
-    return F.aggregate(limbs, start, step)
+    def sums(part: Column) -> Column:
+        places = [[base**i // other**j % other for i in range(n)] for j in range(m)]
+        return F.array(*[reduce(add, [part[n - 1 - i] * F.lit(x).cast("long") for i, x in enumerate(row)]) for row in places])
 
+    def carried(total: Column) -> Column:
+        out, value = [], None
+        for j in range(m):
+            value = total[j] if value is None else total[j] + F.floor(value / other)
+            out.append(value % other)
+        return F.array(*reversed(out))
 
-def _digits36(limbs: Column, groups: int) -> Column:
-    """The last ``groups`` groups of base-36 digits of a number."""
-
-    def one(part: Column) -> Column:
-        own = F.lpad(F.lower(F.conv(part["rest"].cast("string"), 10, 36)), 6, "0")
-        return own if groups == 1 else F.concat(_digits36(part["quotient"], groups - 1), own)
-
-    return _let(_divided(limbs), one)
+    return _let(_let(parts, sums), carried)
 
 
 def sha1_to_base36(digest: Column | str) -> Column:
-    """Hex digest to the 31-digit base-36 storage form; NULL for no digest. Folded in the JVM, limb by limb."""
+    """Hex digest to the 31-digit base-36 storage form; NULL for no digest. Worked out in the JVM."""
     digest = F.col(digest) if isinstance(digest, str) else digest
     padded = F.lpad(digest, 4 * _LIMBS, "0")
     limbs = F.transform(
         F.sequence(F.lit(0), F.lit(_LIMBS - 1)), lambda i: F.conv(F.substring(padded, i * 4 + 1, F.lit(4)), 16, 10).cast("long")
     )
-    return F.when(F.length(digest) > 0, F.right(_digits36(limbs, _GROUPS), F.lit(31)))
+    groups = _recoded(limbs, 65536, _LIMBS, _GROUP, _GROUPS)
+    digits = F.transform(groups, lambda x: F.lpad(F.lower(F.conv(x.cast("string"), 10, 36)), 6, "0"))
+    return F.when(F.length(digest) > 0, F.right(F.array_join(digits, ""), F.lit(31)))
 
 
 def sha1_from_base36(stored: Column | str) -> Column:
@@ -129,16 +131,7 @@ def sha1_from_base36(stored: Column | str) -> Column:
     groups = F.transform(
         F.sequence(F.lit(0), F.lit(_GROUPS - 1)), lambda i: F.conv(F.substring(padded, i * 6 + 1, F.lit(6)), 36, 10).cast("long")
     )
-    none = F.array_repeat(F.lit(0).cast("long"), _LIMBS)
-
-    def add(limbs: Column, group: Column) -> Column:
-        # lowest limb first, so that the carry goes on to the next
-        start = F.struct(F.array().cast("array<bigint>").alias("limbs"), group.alias("carry"))
-        return F.aggregate(limbs, start, lambda done, limb: _let(limb * _GROUP + done["carry"], lambda x: F.struct(
-            F.concat(done["limbs"], F.array(x % 65536)).alias("limbs"), F.floor(x / 65536).alias("carry")
-        )))["limbs"]
-
-    limbs = F.reverse(F.aggregate(groups, none, add))
+    limbs = _recoded(groups, _GROUP, _GROUPS, 65536, _LIMBS)
     digits = F.array_join(F.transform(limbs, lambda x: F.lower(F.lpad(F.hex(x), 4, "0"))), "")
     return F.when(F.length(stored) > 0, digits)
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,12 +49,29 @@ def _element(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"<{name}>"), safe, F.lit(f"</{name}>")), F.lit(""))
 
 
+def _page_marks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``page, head, revision`` as lines: a head where a page begins in this file, its end where it ends."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        page, head, revision = batch.columns
+        before = pa.concat_arrays([pa.array([last], page.type), page[:-1]])
+        begins = pc.fill_null(pc.not_equal(page, before), True)
+        ends = pc.if_else(pc.is_valid(before), "</page>", "")
+        marks = pc.if_else(begins, pc.binary_join_element_wise(ends, head, ""), "")
+        last = page[-1].as_py()
+        yield pa.record_batch([pc.binary_join_element_wise(marks, revision, "")], ["value"])
+    if last is not None:
+        yield pa.record_batch([pa.array(["</page>"])], ["value"])
+
+
 def write_dump(rows: DataFrame, path: str) -> None:
     """Revisions (columns of ``revision`` plus page, ``sha1`` in base 36 and text) as a page history dump.
 
-    A page lies in one file, its revisions in order of their ids; a revision is a row, so no page is gathered.
+    A revision is a row, dealt by page and id, so no page is gathered. A page that is longer than a file goes
+    on in the next one under its head again; its revisions are in order of their ids throughout.
     """
-    edges = rows.groupBy("rev_page").agg(F.min("rev_id").alias("_first"), F.max("rev_id").alias("_last"))
     user = F.concat(_element("username", F.col("rev_user_text")), _element("id", F.col("rev_user")))
     revision = F.concat(
         F.lit("<revision>"), _element("id", F.col("rev_id")), _element("parentid", F.col("rev_parent_id")),
@@ -65,12 +84,9 @@ def write_dump(rows: DataFrame, path: str) -> None:
     head = F.concat(
         F.lit("<page>"), _element("title", F.col("page_title")), _element("ns", F.col("page_namespace")), _element("id", F.col("rev_page"))
     )
-    line = F.concat(
-        F.when(F.col("rev_id") == F.col("_first"), head).otherwise(F.lit("")), revision,
-        F.when(F.col("rev_id") == F.col("_last"), F.lit("</page>")).otherwise(F.lit("")),
-    )
-    ordered = rows.join(edges, "rev_page").repartitionByRange("rev_page").sortWithinPartitions("rev_page", "rev_id")
-    ordered.select(line.alias("value")).write.text(path)
+    ordered = rows.where("rev_page is not null").repartitionByRange("rev_page", "rev_id").sortWithinPartitions("rev_page", "rev_id")
+    marked = ordered.select(F.col("rev_page").cast("long").alias("page"), head.alias("head"), revision.alias("revision"))
+    marked.mapInArrow(_page_marks, "value string").write.text(path)
 
 
 # ---- sources ------------------------------------------------------------------------------
@@ -93,22 +109,40 @@ def _dump_pieces(spark: SparkSession, path: str) -> DataFrame:
     head = F.concat(F.lit("<page>"), F.substring_index(F.substring_index("value", "<page>", -1), "<revision>", 1), F.lit("</page>"))
     return pieces.select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
-        F.when(begins, F.from_xml(head, _PAGE_HEAD)).alias("page"), "value",
+        F.when(begins, head).alias("head"), "value",
     )
 
 
+def _last_heads(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last head of each split in a batch, NULL where no page begins, and the number of the batch."""
+    for number, batch in enumerate(batches):
+        last = pa.table(batch).group_by(["file", "split"], use_threads=False).aggregate([("head", "last")])
+        columns = [last["file"], last["split"], last["head_last"], pa.array([number] * last.num_rows, pa.int64())]
+        yield from pa.table(columns, names=["file", "split", "head", "number"]).to_batches()
+
+
 def _carry_page(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``page`` filled forward within each split; texts pass through untouched."""
-    split = page = None
+    place, page = (None, None), None
     for batch in batches:
-        places = zip(batch.column("file").to_pylist(), batch.column("split").to_pylist(), strict=True)
-        filled = []
-        for place, own in zip(places, batch.column("page").to_pylist(), strict=True):
-            if place != split:
-                split, page = place, None
-            page = own or page
-            filled.append(page)
-        yield batch.set_column(2, batch.schema.field("page"), pa.array(filled, batch.schema.field("page").type))
+        n = batch.num_rows
+        if not n:
+            continue
+        file, split, own = batch.column("file"), batch.column("split"), batch.column("page")
+        changes = np.zeros(n, bool)
+        for column, last in zip((file, split), place, strict=True):
+            before = pa.concat_arrays([pa.array([last], column.type), column[:-1]])
+            changes |= pc.fill_null(pc.not_equal(column, before), True).to_numpy(zero_copy_only=False)
+        at = np.arange(n)
+        start = np.maximum.accumulate(np.where(changes, at, -1))
+        head = np.maximum.accumulate(np.where(own.is_valid().to_numpy(zero_copy_only=False), at, -1))
+        # row n is the page of the batch before
+        wanted = np.where((head >= 0) & (head >= start), head, n)
+        none = (wanted == n) & (start >= 0)
+        known = pa.concat_arrays([own, pa.nulls(1, own.type) if page is None else page])
+        filled = known.take(pa.array(wanted, mask=none))
+        place, page = (file[-1].as_py(), split[-1].as_py()), filled[-1:]
+        yield batch.set_column(2, batch.schema.field("page"), filled)
 
 
 def read_dump(spark: SparkSession, path: str) -> DataFrame:
@@ -119,15 +153,17 @@ def read_dump(spark: SparkSession, path: str) -> DataFrame:
     and into the following splits by a table of one row per split.
     """
     pieces = _dump_pieces(spark, path)
-    heads = pieces.where("page is not null").withColumn("_at", F.monotonically_increasing_id())
-    lasts = heads.groupBy("file", "split").agg(F.max_by("page", "_at").alias("last"))
-    splits = pieces.select("file", "split").distinct().join(lasts, ["file", "split"], "left")
+    # one row per split and batch; only the heads that others inherit are parsed here
+    heads = pieces.select("file", "split", "head").mapInArrow(_last_heads, "file string, split long, head string, number long")
+    lasts = heads.groupBy("file", "split").agg(F.max_by("head", F.when(F.col("head").isNotNull(), F.col("number"))).alias("last"))
     before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    inherited = splits.select("file", "split", F.last("last", ignorenulls=True).over(before).alias("inherited"))
+    inherited = lasts.select("file", "split", F.last("last", ignorenulls=True).over(before).alias("head"))
+    inherited = inherited.select("file", "split", F.from_xml("head", _PAGE_HEAD).alias("inherited"))
     # written, so that Spark knows its size and does not shuffle texts to it while it is small
     stored = scratch_folder(spark, "splits")
     inherited.write.parquet(stored)
     inherited = spark.read.schema(inherited.schema).parquet(stored)
+    pieces = pieces.select("file", "split", F.when(F.col("head").isNotNull(), F.from_xml("head", _PAGE_HEAD)).alias("page"), "value")
     rows = pieces.mapInArrow(_carry_page, pieces.schema).join(inherited, ["file", "split"], "left")
     begins = F.instr("value", "<revision>")
     revision = F.from_xml(F.concat(F.expr("substring(value, instr(value, '<revision>'))"), F.lit("</revision>")), _REVISION, {"ignoreSurroundingSpaces": "false"})

@@ -91,3 +91,22 @@ def test_batches_sent_to_python_are_bounded_in_bytes(spark):
     texts = prepare(spark).range(0, 600, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("text"))
     largest = texts.select(weight("text").alias("n")).agg(F.max("n").alias("n")).first().n
     assert largest < 20_000_000
+
+
+def test_long_page_is_written_in_several_files(plain, tmp_path):
+    n = 4000
+    rows = plain.range(n).selectExpr(
+        "case when id = 7 then null else id end as rev_id", "case when id < 3900 then 1 else 2 end as rev_page", "0 as page_namespace",
+        "0 as rev_user", "'U' as rev_user_text", "timestamp_ntz'2020-01-01 00:00:00' as rev_timestamp",
+        "false as rev_minor_edit", "cast(null as long) as rev_parent_id", "'c' as rev_comment", "'w' as rev_content_model",
+        "'t' as rev_content_format", "concat('text ', id) as old_text", "cast(null as string) as sha1",
+    ).withColumn("page_title", F.concat(F.lit("T"), F.col("rev_page")))
+    path = str(tmp_path / "dump")
+    files.write_dump(rows, path)
+    parts = [open(f"{path}/{x}").read() for x in sorted(os.listdir(path)) if x.endswith(".txt")]
+    assert sum("<title>T1</title>" in x for x in parts) > 1
+    assert all(x.startswith("<page>") and x.endswith("</page>\n") and x.count("<page>") == x.count("</page>") for x in parts if x)
+    got = files.read_dump(plain, path).select("rev_id", "page_title", "old_text").collect()
+    assert sorted((r.old_text, r.rev_id, r.page_title) for r in got if r.rev_id is not None) == sorted(
+        (f"text {i}", i, "T1" if i < 3900 else "T2") for i in range(n) if i != 7)
+    assert [(r.old_text, r.page_title) for r in got if r.rev_id is None] == [("text 7", "T1")]
