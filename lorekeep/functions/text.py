@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lorekeep.functions.markup import external_urls, transclusions, wikilinks  # noqa: F401
+
 _REDIRECT = r"(?i)^\s*#redirect\s*:?\s*\[\[([^\[\]{}]+)\]\]"
 
 
