@@ -420,18 +420,12 @@ def compare(left: DataFrame, right: DataFrame, key: Collection[str], ignore: Col
         ]
         return df.select(*key, F.struct(*values, F.lit(True).alias("_there")).alias(side))
 
-    df = normal(left, "_a").join(normal(right, "_b"), key, "full_outer")
+    # rows are compared whole; only of those that differ is every field looked at
+    df = normal(left, "_a").join(normal(right, "_b"), key, "full_outer").where(~F.col("_a").eqNullSafe(F.col("_b")))
     in_a, in_b = F.col("_a._there").isNotNull(), F.col("_b._there").isNotNull()
-    differing = F.filter(
-        F.array(*[F.when(~F.col(f"_a.{x}").eqNullSafe(F.col(f"_b.{x}")), F.lit(x)) for x in fields]) if fields
-        else F.array().cast("array<string>"),
-        lambda x: x.isNotNull(),
-    )
-    status = F.when(~in_b, F.lit("only left")).when(~in_a, F.lit("only right")).when(F.size(differing) > 0, F.lit("differs"))
-    both = in_a & in_b
-    return df.select(
-        *key, status.alias("status"), F.when(both, F.array_join(differing, ",")).otherwise(F.lit("")).alias("columns")
-    ).where("status is not null")
+    differing = F.concat_ws(",", *[F.when(~F.col(f"_a.{x}").eqNullSafe(F.col(f"_b.{x}")), F.lit(x)) for x in fields])
+    status = F.when(~in_b, F.lit("only left")).when(~in_a, F.lit("only right")).otherwise(F.lit("differs"))
+    return df.select(*key, status.alias("status"), F.when(in_a & in_b, differing).otherwise(F.lit("")).alias("columns"))
 
 
 # ranges of a table whose digests are compared before any row is

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from lorekeep.operators import extract as X
 from lorekeep.operators import graph as G
 from lorekeep.operators import quality as Q
+from lorekeep.operators.closure import Generations
 from lorekeep.operators.common import with_namespace
 from lorekeep.plans.extract import _ENCODE, _UNIQUE, PARSED, _wikitext
 from lorekeep.plans.graph import EDGES, language
 from lorekeep.plans.registry import query
+from lorekeep.session import ensure_checkpoint_dir
 from lorekeep.sources.catalog import MemoryCatalog
 
 
@@ -388,12 +393,23 @@ def _mirror_sql() -> str:
     return " union all ".join(parts)
 
 
+def _landed(cat, names):
+    """Tables by name, each worked out and written once; a comparison reads either side for its digests and for its rows."""
+    ensure_checkpoint_dir(cat.spark)
+    tables = {name: cat[name] for name in names}
+    land = inheritable_thread_target(cat.spark)(lambda name: Generations(cat.spark).append(tables[name]))
+    # no table waits for the last tasks of another
+    with ThreadPool(4) as pool:
+        return dict(zip(tables, pool.map(land, tables, 1), strict=True))
+
+
 @query("q24_mirror", _mirror_sql())
 def mirror(cat):
     left, right = {}, {}
+    tables = _landed(cat, [Q.MIRROR_CHECKS[dataset][0] for dataset in _MIRRORED])
     for dataset, (number, text) in _MIRRORED.items():
         table, _, ignore = Q.MIRROR_CHECKS[dataset]
-        rows = cat[table]
+        rows = tables[table]
         left[table] = rows.where(f"{number} % 7 <> 0")
         right[table] = rows.where(f"{number} % 5 <> 0").drop(*ignore)
         if text:

@@ -6,7 +6,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lorekeep.operators import changes, extract, lists
+from lorekeep.operators import changes, extract, lists, quality
+from lorekeep.plans.quality import mirror
 from lorekeep.session import prepare
 from lorekeep.sources import files
 from lorekeep.sources.catalog import MemoryCatalog
@@ -110,3 +111,43 @@ def test_long_page_is_written_in_several_files(plain, tmp_path):
     assert sorted((r.old_text, r.rev_id, r.page_title) for r in got if r.rev_id is not None) == sorted(
         (f"text {i}", i, "T1" if i < 3900 else "T2") for i in range(n) if i != 7)
     assert [(r.old_text, r.page_title) for r in got if r.rev_id is None] == [("text 7", "T1")]
+
+
+def test_fields_are_not_looked_at_one_by_one_for_every_row(spark):
+    kind = "k long, x double, xs array<string>, s string, m int"
+    nan = float("nan")
+    left = spark.createDataFrame([
+        (1, nan, ["a", None], None, 1), (2, 0.0, None, "s", 1), (3, 1.0, ["a"], None, 1), (4, None, None, None, None), (None, 1.0, [], "", 1),
+        (5, 1.0, [], "t", 1), (5, 2.0, [], "t", 1)], kind)
+    right = spark.createDataFrame([
+        (1, nan, [None, "a"], None, 2), (2, -0.0, None, "s", 2), (3, nan, None, "", 2), (6, None, None, None, None), (None, 1.0, [], "", 2),
+        (5, 1.0, [], "u", 2)], kind)
+    found = quality.compare(left, right, ["k"], ignore=["m"])
+    got = sorted((tuple(r) for r in found.collect()), key=str)
+    assert got == sorted([
+        (3, "differs", "x,xs,s"), (4, "only left", ""), (6, "only right", ""), (None, "only left", ""), (None, "only right", ""),
+        (5, "differs", "s"), (5, "differs", "x,s")], key=str)
+    assert quality.compare(left.select("k"), right.select("k"), ["k"]).where("status = 'differs'").count() == 0
+    assert "filter(array(" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_mirrored_tables_are_worked_out_once(spark, tmp_path):
+    rows = {
+        "page": [{"page_id": i, "page_title": None if i == 6 else f"T{i}"} for i in range(1, 41)],
+        "pagelinks": [{"pl_from": 5, "pl_namespace": 0, "pl_title": "A"}, {"pl_from": 1, "pl_namespace": 0, "pl_title": "A"}] * 2,
+    }
+    tables = {}
+    for table, _, _ in quality.MIRROR_CHECKS.values():
+        _table(spark, table, rows.get(table, [])).write.parquet(str(tmp_path / table))
+        tables[table] = spark.read.schema(SCHEMAS[table]).parquet(str(tmp_path / table))
+    found = mirror(MemoryCatalog(spark, tables))
+    # what the tables come from is not read for every side and pass
+    assert found.inputFiles() and not any(str(tmp_path) in x for x in found.inputFiles())
+
+    def expected(i):
+        if i % 7 == 0:
+            return None if i % 5 == 0 else ("only right", "")
+        return ("only left", "") if i % 5 == 0 else ("differs", "page_title") if i % 3 == 0 and i != 6 else None
+
+    assert sorted(map(tuple, found.collect())) == sorted(
+        [("pages", str(i), *expected(i)) for i in range(1, 41) if expected(i)] + [("page links", "5/0/A", "only left", "")] * 2)
